@@ -1,15 +1,27 @@
-"""The queries of this subpackage and, where SQL can express them, their SQL."""
+"""The queries of this subpackage. SQL expresses none of them; tests hold each against a brute-force version."""
 
 from __future__ import annotations
 
 from prosemill.llm.bpe import op8_bpe
+from prosemill.llm.chat import op7_chat
+from prosemill.llm.html_text import op3_html
+from prosemill.llm.langid import op6_language
+from prosemill.llm.mixing import op5_mixing
+from prosemill.llm.pii import op9_personal_data
+from prosemill.llm.secrets import op10_secrets
 from prosemill.llm.simhash import op1_simhash
 from prosemill.llm.sketch import op4_fingerprints
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_html": op3_html,
     "op4_fingerprints": op4_fingerprints,
+    "op5_mixing": op5_mixing,
+    "op6_language": op6_language,
+    "op7_chat": op7_chat,
     "op8_bpe": op8_bpe,
+    "op9_personal_data": op9_personal_data,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
