@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prosemill.llm._shared import table
 
@@ -262,7 +263,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
     """
     path = vocabulary or default_vocabulary()
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = docs.select(*kept).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     at = kept.index(text_col)
 
     def batches(it):

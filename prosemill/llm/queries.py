@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from prosemill.llm.ann import op2_neighbours
 from prosemill.llm.bpe import op8_bpe
 from prosemill.llm.chat import op7_chat
 from prosemill.llm.html_text import op3_html
@@ -14,6 +15,7 @@ from prosemill.llm.sketch import op4_fingerprints
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_neighbours": op2_neighbours,
     "op3_html": op3_html,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
