@@ -93,7 +93,7 @@ def parse(page: str) -> Tree:
             for depth in range(len(stack) - 1, 0, -1):
                 open_tag = tree.tag[stack[depth]]
                 if open_tag == name:
-                    articles -= sum(tree.tag[i] in ("article", "main") for i in stack[depth:])
+                    articles -= sum(tree.tag[i] == "article" for i in stack[depth:])
                     del stack[depth:]
                     break
                 if name in INLINE and open_tag in SCOPES or name == "p" and open_tag in SCOPES:
@@ -124,7 +124,7 @@ def parse(page: str) -> Tree:
         if m["attrs"].endswith("/") and name in ("svg", "path"):
             continue
         stack.append(node)
-        articles += name in ("article", "main")
+        articles += name == "article"
     return tree
 
 

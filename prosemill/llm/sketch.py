@@ -109,7 +109,8 @@ def with_successors(docs: DataFrame, pieces: int) -> DataFrame:
     )
     keys = rows.select("ord")
     cuts = keys.agg(F.percentile_approx("ord", [i / pieces for i in range(1, pieces)] or [0.5], 10 * pieces).alias("q")).first()["q"]
-    splits = [float("-inf"), *sorted({float(c) for c in cuts or []} - {float(LOWEST)}), float("inf")]
+    inner = sorted({float(c) for c in cuts or []} - {float(LOWEST)}) or [0.0]
+    splits = [float("-inf"), *inner, float("inf")]
     piece_of = Bucketizer(splits=splits, inputCol="key", outputCol="bucket")
 
     def placed(df):
