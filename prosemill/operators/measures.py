@@ -184,26 +184,30 @@ def echoes(tokens: DataFrame, options: EchoOptions = EchoOptions()) -> DataFrame
         F.lead("from").over(order).alias("second"), (F.col("tok") > 0).alias("mid"),
         ((F.col("tok") > 0) & (F.substr("token", F.lit(1), F.lit(1)) != F.substr("lower", F.lit(1), F.lit(1)))).alias("cap"),
     )
-    words = rows.where(~F.col("stop") & (F.length("lower") >= options.min_length)).select(
-        "doc_id", F.lit("word").alias("kind"), F.col("lower").alias("term"), "sent_idx", "from", F.lit(None).cast("int").alias("second")
+    word = F.when(
+        ~F.col("stop") & (F.length("lower") >= options.min_length),
+        F.struct(F.lit("word").alias("kind"), F.col("lower").alias("term"), F.lit(None).cast("int").alias("second")),
     )
-    pairs = rows.where(F.col("next").isNotNull() & ~(F.col("stop") & F.col("next_stop"))).select(
-        "doc_id", F.lit("phrase").alias("kind"), F.concat_ws(" ", "lower", "next").alias("term"), "sent_idx", "from", "second"
+    pair = F.when(
+        F.col("next").isNotNull() & ~(F.col("stop") & F.col("next_stop")),
+        F.struct(F.lit("phrase").alias("kind"), F.concat_ws(" ", "lower", "next").alias("term"), F.col("second").alias("second")),
     )
-    terms = words.unionByName(pairs)
-    recent = Window.partitionBy("doc_id", "kind", "term").orderBy("sent_idx").rangeBetween(-(options.window - 1), 0)
-    counted = terms.groupBy("doc_id", "kind", "term", "sent_idx").agg(
-        F.count("*").alias("n"), F.collect_list("from").alias("a"), F.collect_list("second").alias("b")
+    # Exploded rather than united, so that everything below keeps the partitioning by document.
+    terms = rows.select("doc_id", "sent_idx", "from", F.explode(F.array_compact(F.array(word, pair))).alias("t")).select(
+        "doc_id", "sent_idx", "from", "t.*"
     )
-    found = (
-        counted.withColumn("near", F.sum("n").over(recent))
-        .groupBy("doc_id", "kind", "term")
-        .agg(
-            F.max("near").alias("near"), F.sum("n").alias("count"),
-            F.sort_array(F.flatten(F.collect_list("a"))).alias("offsets"), F.sort_array(F.flatten(F.collect_list("b"))).alias("seconds"),
-        )
+    recent = Window.partitionBy("doc_id", "kind", "term").orderBy("sent_idx").rangeBetween(-(options.window - 1), 0)
+    echoed = (
+        terms.groupBy("doc_id", "kind", "term", "sent_idx")
+        .agg(F.count("*").alias("n"))
+        .withColumn("near", F.sum("n").over(recent))
         .where(F.col("near") >= options.min_count)
-    )
+        .select("doc_id", "kind", "term")
+        .distinct()
+    )
+    found = terms.join(echoed, ["doc_id", "kind", "term"], "left_semi").groupBy("doc_id", "kind", "term").agg(
+        F.count("*").alias("count"), F.sort_array(F.collect_list("from")).alias("offsets"), F.sort_array(F.collect_list("second")).alias("seconds")
+    )
     proper = (
         rows.where("mid").groupBy("doc_id", F.col("lower").alias("name")).agg(F.bool_and("cap").alias("always")).where("always").drop("always")
     )

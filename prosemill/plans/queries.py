@@ -29,12 +29,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain(spark: SparkSession, sf_dir: str, options: RuleOptions = RELATIONAL) -> ProseEngine:
     """Documents as plain prose, regex sentences: the form whose results SQL can state."""
-    return ProseEngine(_documents(spark, sf_dir), options, markdown=False, segmenter="regex")
+    return ProseEngine(_documents(spark, sf_dir), options, markdown=False, segmenter="regex", keep=True)
 
 
 def full(spark: SparkSession, sf_dir: str) -> ProseEngine:
     """Documents as Markdown, Unicode sentences, every rule."""
-    return ProseEngine(_documents(spark, sf_dir), RuleOptions(is_pro=True))
+    return ProseEngine(_documents(spark, sf_dir), RuleOptions(is_pro=True), keep=True)
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,10 +27,10 @@ def debounce(revisions: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFr
     return last.select("doc_id", "x.version", "x.ts", "x.text", "revisions")
 
 
-def classify(revisions: DataFrame, ttl: str = "1 hour") -> DataFrame:
+def classify(revisions: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
     """What to do with each revision, from keyed state: ``first``, ``changed`` or ``same`` as the one before.
 
-    State is one hash and version for each open document; it is dropped after ``ttl`` without a revision, or by a
+    State is one hash and version for each open document; it is dropped after ``ttl_ms`` without a revision, or by a
     revision whose text is null, which closes the document (kind ``closed``).
     """
 
@@ -51,7 +51,7 @@ def classify(revisions: DataFrame, ttl: str = "1 hour") -> DataFrame:
             state.remove()
         else:
             state.update((known,))
-            state.setTimeoutDuration(ttl)
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["doc_id", "version", "text_hash", "kind"])
 
     hashed = revisions.select("doc_id", "version", "ts", F.sha2("text", 256).alias("text_hash"))
