@@ -34,8 +34,9 @@ class AnnSettings:
     replicas: int = 8
     prune: float = 1.35
     beam: int = 96
+    beam_share: float = 0.6
     degree: int = 24
-    part: int = 4096
+    part: int = 16384
     block: int = 1024
 
 
@@ -138,14 +139,41 @@ def closure_lists(vectors: np.ndarray, centroids: np.ndarray, s: AnnSettings) ->
     return out
 
 
-def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest scores, ties to smaller ids."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= edge)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+def best_of(
+    ids: np.ndarray, base: np.ndarray, at: np.ndarray, rough: np.ndarray, query: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k best, ties to smaller ids, an id once with its best score.
+
+    ``rough`` are the scores as a matrix product gives them, whose last bits depend on a row's place; what comes
+    near the k-th is scored again, each row in the same way.
+    """
+    want = 4 * k
+    while True:
+        if len(rough) > want:
+            edge = np.partition(rough, len(rough) - want)[len(rough) - want]
+            keep = np.flatnonzero(rough >= edge - 1e-9 * max(1.0, abs(edge)))
+        else:
+            keep = np.arange(len(rough))
+        scores = np.einsum("ij,j->i", base[at[keep]], query)
+        order = np.lexsort((ids[keep], -scores))
+        _, first = np.unique(ids[keep][order], return_index=True)
+        if len(first) >= k or len(keep) == len(rough):
+            order = order[np.sort(first)[:k]]
+            return ids[keep][order], scores[order]
+        want *= 8
+
+
+def shelves(sizes: np.ndarray, centroids: np.ndarray, part: int) -> np.ndarray:
+    """Shelf of each list: lists in the order of their centroids' main direction, filled to about ``part`` vectors."""
+    middle = centroids - centroids.mean(axis=0)
+    along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
+    out, shelf, held = np.zeros(len(sizes), np.int64), 0, 0
+    for i in np.argsort(along, kind="stable"):
+        if held and held + sizes[i] > part:
+            shelf, held = shelf + 1, 0
+        out[i] = shelf
+        held += sizes[i]
+    return out
 
 
 def nearest(
@@ -195,63 +223,79 @@ def nearest(
 
     posted = cut(rows.select("vec_id", "vec").mapInPandas(assign, "list int, vec_id long, vec array<double>"))
     list_sizes = posted.groupBy("list").count().toPandas().set_index("list")["count"].reindex(range(len(centroids)), fill_value=0).to_numpy()
-    sized = spark.sparkContext.broadcast((list_sizes, CentroidGraph(centroids, s.degree)))
-    need = 4 * (top + 1)
+    shelf_of = shelves(list_sizes, centroids, s.part)
+    sized = spark.sparkContext.broadcast((list_sizes, shelf_of, CentroidGraph(centroids, s.degree)))
+    need, beam = 4 * (top + 1), max(s.beam, int(s.beam_share * len(centroids)))
 
     def probe(it):
-        counts, graph = sized.value
+        counts, shelf, graph = sized.value
         for pdf in it:
             if not len(pdf):
                 continue
             raw = np.stack(pdf["vec"].to_numpy())
             scaled = raw * (largest / np.linalg.norm(raw, axis=1))[:, None]
-            chosen = []
-            for q in np.hstack((scaled, np.zeros((len(raw), 1)))):
-                ids, d = graph.search(q, s.beam)
+            out = {"shelf": [], "vec_id": [], "vec": [], "lists": []}
+            for vec_id, vec, q in zip(pdf["vec_id"], pdf["vec"], np.hstack((scaled, np.zeros((len(raw), 1))))):
+                ids, d = graph.search(q, beam)
                 reach = max(1, int(np.searchsorted(d, s.prune * d[0], side="right")))
                 while reach < len(ids) and counts[ids[:reach]].sum() < need:
                     reach += 1
                 ids = ids[:reach]
                 if counts[ids].sum() < need:
                     ids = np.arange(len(counts))
-                chosen.append(ids[counts[ids] > 0].tolist())
-            yield pdf.assign(list=chosen).explode("list")[["list", "vec_id", "vec"]].astype({"list": "int32"})
-
-    asked = cut(rows.where("is_query").select("vec_id", "vec").mapInPandas(probe, "list int, vec_id long, vec array<double>"))
-    # One row for each list: at most max_lists, so small whatever the table's size.
-    parts = spark.createDataFrame(
-        [(i, int(-(-n // s.part) or 1)) for i, n in enumerate(list_sizes.tolist())], "list int, parts int"
+                ids = ids[counts[ids] > 0]
+                for place in np.unique(shelf[ids]).tolist():
+                    out["shelf"].append(place)
+                    out["vec_id"].append(vec_id)
+                    out["vec"].append(vec)
+                    out["lists"].append(ids[shelf[ids] == place].tolist())
+            yield pd.DataFrame(out).astype({"shelf": "int32", "vec_id": "int64"})
+
+    asked = cut(
+        rows.where("is_query").select("vec_id", "vec").mapInPandas(probe, "shelf int, vec_id long, vec array<double>, lists array<int>")
     )
-    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-    grid = F.broadcast(parts.join(F.broadcast(blocks), "list"))
-
-    def dealt(df: DataFrame, own: str, count: str, other: str, other_count: str) -> DataFrame:
-        return df.join(grid, "list").select(
-            "list",
+    # One row for each list or shelf: at most max_lists, so small whatever the table's size.
+    held = np.bincount(shelf_of, weights=list_sizes)
+    places = spark.createDataFrame([(i, int(x)) for i, x in enumerate(shelf_of.tolist())], "list int, shelf int")
+    parts = spark.createDataFrame([(i, max(1, int(-(-n // s.part)))) for i, n in enumerate(held.tolist())], "shelf int, parts int")
+    blocks = asked.groupBy("shelf").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    grid = F.broadcast(parts.join(F.broadcast(blocks), "shelf"))
+
+    def dealt(df: DataFrame, own: str, count: str, other: str, other_count: str, extra: str) -> DataFrame:
+        return df.join(grid, "shelf").select(
+            "shelf",
             F.pmod(F.xxhash64("vec_id"), F.col(count)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)).alias(other),
             "vec_id",
             "vec",
+            extra,
         )
 
     def compare(asked_pdf: pd.DataFrame, posted_pdf: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(asked_pdf) and len(posted_pdf):
-            ids = posted_pdf["vec_id"].to_numpy()
-            base = np.stack(posted_pdf["vec"].to_numpy())
-            for query_id, q in zip(asked_pdf["vec_id"].to_numpy(), asked_pdf["vec"]):
-                scores = np.einsum("ij,j->i", base, q)
-                scores[ids == query_id] = -np.inf
-                keep = best_of(ids, scores, top)
-                keep = keep[scores[keep] > -np.inf]
-                out["query_id"] += [query_id] * len(keep)
-                out["vec_id"] += ids[keep].tolist()
-                out["score"] += scores[keep].tolist()
+            order = np.argsort(posted_pdf["list"].to_numpy(), kind="stable")
+            names, starts = np.unique(posted_pdf["list"].to_numpy()[order], return_index=True)
+            span = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(order)])))
+            ids = posted_pdf["vec_id"].to_numpy()[order]
+            base = np.stack(posted_pdf["vec"].to_numpy()[order])
+            asking = np.stack(asked_pdf["vec"].to_numpy())
+            for low in range(0, len(asking), 64):
+                rough = asking[low : low + 64] @ base.T
+                for i, row in enumerate(rough, low):
+                    ranges = [np.arange(*span[x]) for x in asked_pdf["lists"].iloc[i] if x in span]
+                    at = np.concatenate(ranges) if ranges else np.empty(0, np.int64)
+                    at = at[ids[at] != asked_pdf["vec_id"].iloc[i]]
+                    if len(at):
+                        best, scores = best_of(ids[at], base, at, row[at], asking[i], top)
+                        out["query_id"] += [asked_pdf["vec_id"].iloc[i]] * len(best)
+                        out["vec_id"] += best.tolist()
+                        out["score"] += scores.tolist()
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    key = ["list", "part", "block"]
-    left = dealt(asked, "block", "blocks", "part", "parts").groupBy(*key)
-    right = dealt(posted, "part", "parts", "block", "blocks").groupBy(*key)
+    key = ["shelf", "part", "block"]
+    left = dealt(asked, "block", "blocks", "part", "parts", "lists").groupBy(*key)
+    right = dealt(posted.join(F.broadcast(places), "list"), "part", "parts", "block", "blocks", "list").groupBy(*key)
     found = left.cogroup(right).applyInPandas(compare, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
