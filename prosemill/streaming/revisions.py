@@ -27,17 +27,14 @@ def debounce(revisions: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFr
     return last.select("doc_id", "x.version", "x.ts", "x.text", "revisions")
 
 
-def classify(revisions: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+def classify(revisions: DataFrame) -> DataFrame:
     """What to do with each revision, from keyed state: ``first``, ``changed`` or ``same`` as the one before.
 
-    State is one hash and version for each open document; it is dropped after ``ttl_ms`` without a revision, or by a
-    revision whose text is null, which closes the document (kind ``closed``).
+    State is one hash for each open document; a revision whose text is null closes the document (kind ``closed``)
+    and drops its state.
     """
 
     def step(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         known = state.get[0] if state.exists else None
         out = []
         for row in pd.concat(frames).sort_values(["ts", "version"]).itertuples():
@@ -47,16 +44,15 @@ def classify(revisions: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
                 kind = "first" if known is None else "same" if known == row.text_hash else "changed"
                 known = row.text_hash
             out.append((key[0], row.version, row.text_hash, kind))
-        if known is None:
-            state.remove()
-        else:
+        if known is not None:
             state.update((known,))
-            state.setTimeoutDuration(ttl_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["doc_id", "version", "text_hash", "kind"])
 
     hashed = revisions.select("doc_id", "version", "ts", F.sha2("text", 256).alias("text_hash"))
     return hashed.groupBy("doc_id").applyInPandasWithState(
-        step, SKIPS, "text_hash string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, SKIPS, "text_hash string", "append", GroupStateTimeout.NoTimeout
     )
 
 
