@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prosemill.llm._shared import table
+from prosemill.llm._shared import slices, table
 
-CACHE_ENTRIES = 500_000
-GROUP_CHARS = 4_000_000
+CACHE_ENTRIES = 150_000
+GROUP_CHARS = 1_500_000
 BULK_BYTES = 32
 BULK_ROWS = 1 << 12
 NO_RANK = (1 << 31) - 1
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
 
     def batches(it):
         bpe = load(path)
-        for batch in it:
+        for batch in slices(it, at):
             ids = list(bpe.encode_batch(batch.column(at).to_pylist()))
             decoded = [bpe.decode(i) for i in ids]
             lists = pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32()))
@@ -284,7 +284,7 @@ def digests(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
 
     def batches(it):
         bpe = load(path)
-        for batch in it:
+        for batch in slices(it, 1):
             rows = ([], [], [])
             for ids in bpe.encode_batch(batch.column(1).to_pylist()):
                 rows[0].append(len(ids) // 4)

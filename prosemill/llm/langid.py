@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.llm._shared import table
+from prosemill.llm._shared import slices, table
 
 BINS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -135,7 +135,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(BINS, np.int64), 0
-        for batch in it:
+        for batch in slices(it, 0):
             for text in batch.column(0).to_pylist():
                 bins, _ = ngram_counts(text)
                 seen[bins] += 1
@@ -180,7 +180,7 @@ def train(
     sample = rows.where(draw < share[F.col("lang")])
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it, 1):
             pairs = [ngram_counts(t) for t in batch.column("text").to_pylist()]
             packed = [[a.astype("<u2").tobytes() for a, _ in pairs], [c.astype("<u4").tobytes() for _, c in pairs]]
             yield pa.RecordBatch.from_arrays(
@@ -223,7 +223,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in it:
+        for batch in slices(it, at):
             found = [own.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in sent), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

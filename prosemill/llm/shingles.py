@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 CHUNK_BYTES = 1 << 20
-SLICE = 1 << 18
+SLICE = 1 << 16
 
 # The primes of XXH64.
 P1, P2, P3, P4, P5 = (
