@@ -1,16 +1,26 @@
-"""Chat formatting by event-sourced reconstruction. DataFrame functions only."""
+"""Chat formatting by event-sourced reconstruction.
+
+DataFrame functions only, but for the digests of conversations too long for one row.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm._shared import table
+from prosemill.llm._shared import cut, table
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 CHUNK_TURNS = 64
 LOSS_ROLE = "assistant"
 NO_TURN = -(1 << 62)
+#: A conversation that may be longer than this many bytes once formatted is hashed in a stream of pieces.
+ROW_BYTES = 128 << 20
+PIECE_CHARS = 1 << 16
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, formatted_sha256 string"
 
 
 def escape(text: Column) -> Column:
@@ -112,21 +122,23 @@ def loss_text(formatted: Column, loss: Column) -> Column:
     )
 
 
-def format_digests(events: DataFrame) -> DataFrame:
-    """Digests of each formatted conversation, read back from the output chunk by chunk and joined in order."""
-    read = render(fold_events(events)).select(
+def read_back(events: DataFrame) -> DataFrame:
+    """conv_id, chunk, formatted, and turns, their number and the masked text as read back from it, of each chunk."""
+    turns = F.array_join(F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return render(fold_events(events)).select(
         "conv_id",
-        F.struct(
-            "chunk",
-            "formatted",
-            F.array_join(
-                F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
-            ).alias("turns"),
-            F.size(parse(F.col("formatted"))).alias("n"),
-            loss_text(F.col("formatted"), F.col("loss")).alias("masked"),
-        ).alias("c"),
+        "chunk",
+        "formatted",
+        turns.alias("turns"),
+        F.size(parse(F.col("formatted"))).cast("long").alias("n"),
+        loss_text(F.col("formatted"), F.col("loss")).alias("masked"),
     )
-    chunks = read.groupBy("conv_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+
+
+def row_digests(events: DataFrame) -> DataFrame:
+    """Digests of conversations short enough for their chunks to meet in one row."""
+    chunk = F.struct("chunk", "formatted", "turns", "n", "masked").alias("c")
+    chunks = read_back(events).select("conv_id", chunk).groupBy("conv_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
 
     def joined(field: str) -> Column:
         return F.array_join(F.transform("cs", lambda c: c[field]), "")
@@ -142,6 +154,70 @@ def format_digests(events: DataFrame) -> DataFrame:
     )
 
 
+def stream_digests(events: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """Digests of conversations of any length: sorted pieces of text pass through running hashes, one at a time."""
+
+    def pieces(name: str) -> Column:
+        count = F.greatest(F.ceil(F.length(name) / piece_chars), F.lit(1))
+        return F.transform(
+            F.sequence(F.lit(0).cast("long"), count.cast("long") - 1),
+            lambda i: F.struct(
+                F.lit(name).alias("field"), i.alias("at"),
+                F.substr(F.col(name), (i * piece_chars + 1).cast("int"), F.lit(piece_chars)).alias("piece"),
+                F.when((F.lit(name) == "formatted") & (i == 0), F.col("n")).otherwise(F.lit(0)).alias("n"),
+            ),
+        )
+
+    fields = ("turns", "masked", "formatted")
+    split = read_back(events).select("conv_id", "chunk", F.explode(F.concat(*map(pieces, fields))).alias("p"))
+    rows = split.select("conv_id", "chunk", "p.field", "p.at", "p.piece", "p.n")
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "field", "at")
+    schema = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in DIGESTS.split(", ")])
+
+    def run(it):
+        current, state = None, None
+
+        def done():
+            turns, masked, formatted = (state[f] for f in fields)
+            out = [current, state["n"], turns[1].hexdigest(), masked[0], masked[1].hexdigest(), formatted[0], formatted[1].hexdigest()]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, schema)], schema=schema)
+
+        for batch in it:
+            columns = [batch.column(i) for i in (0, 2, 4, 5)]
+            for i in range(batch.num_rows):
+                conv, field, piece, n = (c[i].as_py() for c in columns)
+                if state is None or conv != current:
+                    if state is not None:
+                        yield done()
+                    current, state = conv, {"n": 0, **{f: [0, hashlib.sha256()] for f in fields}}
+                state["n"] += n
+                state[field][0] += len(piece)
+                state[field][1].update(piece.encode())
+        if state is not None:
+            yield done()
+
+    return ordered.mapInArrow(run, DIGESTS)
+
+
+def format_digests(events: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """Digests of each formatted conversation, read back from the output chunk by chunk and joined in order.
+
+    A conversation that may be longer than ``row_bytes`` (its texts and roles, each byte escaped, and its turns'
+    frames) never meets in one row; the others need no Python.
+    """
+    def size(name: str) -> Column:
+        return F.coalesce(F.octet_length(name), F.lit(0)).cast("long")
+
+    most = F.sum(2 * size("text") + 2 * size("role") + 32)
+    long = cut(events.groupBy("conv_id").agg(most.alias("most")).where(F.col("most") > row_bytes).select(F.col("conv_id").alias("long_id")))
+    if long.isEmpty():
+        return row_digests(events)
+    own = F.col("conv_id").eqNullSafe(F.col("long_id"))
+    # At most one row for each row_bytes of input: small whatever the table's size.
+    short, rest = (events.join(F.broadcast(long), own, how) for how in ("left_anti", "left_semi"))
+    return row_digests(short).unionByName(stream_digests(rest))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")

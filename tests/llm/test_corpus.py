@@ -104,6 +104,18 @@ def test_chat_round_trip(spark):
     assert chat.format_digests(events.limit(0)).count() == 0
 
 
+def test_long_conversations_are_hashed_in_pieces(spark):
+    rows = [(c, t, 0, "message", ["user", "assistant"][t % 2], f"é🎯<\\{t} " * (t % 7 * c)) for c in (1, 2, 30) for t in range(200)]
+    rows += [(None, 1, 0, "message", "assistant", "no id " * 400), (4, 1, 0, "message", "user", None)]
+    events = spark.createDataFrame(rows, EVENTS)
+    want = sorted(map(tuple, chat.row_digests(events).collect()), key=str)
+    for limit in (0, 5000, 60000, 1 << 30):
+        assert sorted(map(tuple, chat.format_digests(events, limit).collect()), key=str) == want
+    assert sorted(map(tuple, chat.stream_digests(events, 7).collect()), key=str) == want
+    assert "collect_list(c" not in chat.stream_digests(events)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in chat.format_digests(events)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_language(spark, sf_dir, docs, rows, empty):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = langid.op6_language(spark, sf_dir).collect()
