@@ -15,12 +15,14 @@ from prosemill.plans.options import RuleOptions
 from prosemill.sources.documents import guard
 from prosemill.streaming.revisions import baselines, debounce
 
-#: Rules that SQL expresses in full; the phrase rules are covered by ``marks`` and tests.
+#: Rules that SQL expresses in full. Hedges, cliches and machine prose do not run under these, so their counts are
+#: zero by definition; the ``full_`` queries run every rule.
 RELATIONAL = RuleOptions(rules={"hedge": False, "cliche": False})
 GUARD_CHARS = 5000
 BURST = "10 minutes"
 
 Query = Callable[[SparkSession, str], DataFrame]
+Engine = Callable[[SparkSession, str], ProseEngine]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +49,8 @@ def syllable_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("doc_id").agg(F.sum(syllables(F.col("token"))).alias("syllables"))
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plain(spark, sf_dir).sentences
+def sentences(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
+    rows = engine(spark, sf_dir).sentences
     return rows.select("doc_id", "sent_idx", F.col("from").alias("start"), F.col("to").alias("stop"), "words", "syllables")
 
 
@@ -101,34 +103,34 @@ def ignored_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(resolve.drop_ignored(found, RuleOptions(ignored_words=(" Erly", "thly", "inly")).ignored()))
 
 
-def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(spark, sf_dir).counts
+def rule_counts(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
+    return engine(spark, sf_dir).counts
 
 
-def legend_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(spark, sf_dir).legend().select("doc_id", "rule", "n", "total")
+def legend_counts(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
+    return engine(spark, sf_dir).legend().select("doc_id", "rule", "n", "total")
 
 
-def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_rollup(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "lang", "source")
-    counts = plain(spark, sf_dir).counts.join(docs, "doc_id")
+    counts = engine(spark, sf_dir).counts.join(docs, "doc_id")
     return counts.rollup("lang", "source", "rule").agg(F.sum("n").alias("marks"), F.countDistinct("doc_id").alias("docs"))
 
 
-def sentence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(spark, sf_dir).bands().select("doc_id", "sent_idx", "words", "band", "bar_width")
+def sentence_bands(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
+    return engine(spark, sf_dir).bands().select("doc_id", "sent_idx", "words", "band", "bar_width")
 
 
-def variety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(spark, sf_dir).rhythm().select("doc_id", "variety")
+def variety(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
+    return engine(spark, sf_dir).rhythm().select("doc_id", "variety")
 
 
-def monotone_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.flat_sentences(plain(spark, sf_dir).rhythm())
+def monotone_runs(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
+    return measures.flat_sentences(engine(spark, sf_dir).rhythm())
 
 
-def echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plain(spark, sf_dir).echoes()
+def echoes(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
+    rows = engine(spark, sf_dir).echoes()
     return rows.select("doc_id", "term", "kind", "count", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
 
 
@@ -138,12 +140,18 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revision_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last turn of each conversation as two versions of one document."""
+    """First and last turn of each conversation as two versions of one document; see RELATIONAL for what runs."""
+    return _delta(spark, sf_dir, lambda docs: ProseEngine(docs, RELATIONAL, markdown=False, segmenter="regex"))
+
+
+def full_revision_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every rule."""
+    return _delta(spark, sf_dir, lambda docs: ProseEngine(docs, RuleOptions(is_pro=True)))
+
+
+def _delta(spark: SparkSession, sf_dir: str, engine: Callable[[DataFrame], ProseEngine]) -> DataFrame:
     ends = baselines(_turns(spark, sf_dir))
-    sides = [
-        ProseEngine(ends.select("doc_id", F.col(side)["text"].alias("text")), RELATIONAL, markdown=False, segmenter="regex").snapshot
-        for side in ("before", "after")
-    ]
+    sides = [engine(ends.select("doc_id", F.col(side)["text"].alias("text"))).snapshot for side in ("before", "after")]
     return measures.delta(*sides).select("doc_id", "key", "before", "after", "delta", "better")
 
 
@@ -155,9 +163,9 @@ def next_mark(spark: SparkSession, sf_dir: str, forward: bool = True) -> DataFra
     return found.select("doc_id", "cursor", F.col("from").alias("start"), F.col("to").alias("stop"), "rule")
 
 
-def cursor_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cursor_sentence(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
     cursors = _documents(spark, sf_dir).select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("cursor"))
-    found = navigate.sentence_at(plain(spark, sf_dir).sentences, cursors)
+    found = navigate.sentence_at(engine(spark, sf_dir).sentences, cursors)
     return found.select("doc_id", "cursor", F.col("from").alias("start"), F.col("to").alias("stop"), "sent_idx")
 
 
@@ -223,4 +231,14 @@ QUERIES: dict[str, Query] = {
     "markdown_readability": markdown_readability,
     "machine_prose": machine_prose,
     "page_masks": page_masks,
+    "full_rule_counts": partial(rule_counts, engine=full),
+    "full_legend_counts": partial(legend_counts, engine=full),
+    "full_corpus_rollup": partial(corpus_rollup, engine=full),
+    "full_revision_delta": full_revision_delta,
+    "full_sentences": partial(sentences, engine=full),
+    "full_sentence_bands": partial(sentence_bands, engine=full),
+    "full_variety": partial(variety, engine=full),
+    "full_monotone_runs": partial(monotone_runs, engine=full),
+    "full_echoes": partial(echoes, engine=full),
+    "full_cursor_sentence": partial(cursor_sentence, engine=full),
 }
