@@ -28,8 +28,9 @@ SENSITIVE = {
 }
 THRESHOLD = 4.5
 MIN_CHARS = 8
+STRINGS = {q: re.compile(rf"{q}(?:[^{q}\\\n]++|\\.)*+{q}") for q in "\"'"} | {"`": re.compile(r"`[^`\n]*+`")}
 LEX = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.){0,2000}"|'(?:[^'\\\n]|\\.){0,2000}'|`[^`\n]{0,2000}`)"""
+    r"""(?P<quote>["'`])"""
     r"""|(?P<name>[A-Za-z_][A-Za-z0-9_]{0,200}(?:[.-][A-Za-z0-9_]{1,200}){0,20})|(?P<op>:=|=>|==|!=|<=|>=|[=:+])|(?P<end>[\n;,{}()\[\]])|(?P<other>[^\s"'`;,{}()\[\]]+)"""
 )
 
@@ -58,7 +59,8 @@ def literals(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
     """(name, value, literal spans) of every assignment, constants and concatenations propagated.
 
     ``name = a + b`` takes strings and names assigned before; a bare word right of ``=`` or ``:`` counts as a
-    literal unless it names a constant. Spans are those of the literals that make up the value.
+    literal unless it names a constant. Spans are those of the literals that make up the value. A quote that is not
+    closed in its line opens nothing: it is skipped, and what follows is read as code.
     """
     known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
     found = []
@@ -73,10 +75,18 @@ def literals(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
         target, value, spans, more = None, "", [], False
 
     upto = 0
-    for m in LEX.finditer(text):
-        kind, word = m.lastgroup, m.group()
-        if m.start() < upto:
-            continue
+    # Up to where a quote is known to be unclosed: each line is searched once for each kind.
+    unclosed = dict.fromkeys(STRINGS, 0)
+    while m := LEX.search(text, upto):
+        kind, word, upto = m.lastgroup, m.group(), m.end()
+        if kind == "quote":
+            string = STRINGS[word].match(text, m.start()) if m.start() >= unclosed[word] else None
+            if string is None:
+                if m.start() >= unclosed[word]:
+                    line = text.find("\n", m.start())
+                    unclosed[word] = line if line >= 0 else len(text)
+                continue
+            kind, word, upto = "string", string.group(), string.end()
         if kind == "op":
             if word in ("=", ":", ":=", "=>") and last is not None and not more:
                 close()
