@@ -26,6 +26,7 @@ INLINE = frozenset(
 NEVER = frozenset(
     "script style noscript template head title nav footer aside form iframe button select textarea input svg canvas object audio video dialog menu map noembed noframes".split()
 )
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 HINT_WORDS = frozenset(
     "nav navbar navigation menu menubar masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored banner promo "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social comment comments commentlist "
@@ -42,45 +43,61 @@ SCOPES = frozenset("article aside body button caption div form header footer mai
 
 
 class Tree:
-    """Elements in document order: parent, tag, whether a hint marks it as page furniture, and text runs."""
+    """Elements in document order: parent, tag, whether it is page furniture, whether hint words say so, and text runs."""
 
-    __slots__ = ("parent", "tag", "junk", "runs")
+    __slots__ = ("parent", "tag", "junk", "hint", "runs")
 
     def __init__(self):
-        self.parent, self.tag, self.junk = [-1], ["#root"], [False]
+        self.parent, self.tag, self.junk, self.hint = [-1], ["#root"], [False], [False]
         self.runs: list[tuple[int, str]] = []  # element, text
 
-    def add(self, parent: int, tag: str, junk: bool) -> int:
+    def add(self, parent: int, tag: str, junk: bool, hint: bool) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.junk.append(junk)
+        self.hint.append(hint)
         return len(self.tag) - 1
 
 
-def _is_junk(tag: str, attrs: str, inside_article: bool) -> bool:
+def _is_junk(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is page furniture whatever it holds, and whether hint words call it so."""
+    hint = False
     if tag in NEVER or (tag == "header" and not inside_article):
-        return True
+        return True, hint
     if not attrs.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return False, hint
     for m in HINTS.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return True, hint
         if key in ("class", "id", "role") and value:
             words = re.split(r"[^a-z]+", value)
             if not HINT_WORDS.isdisjoint(words) or ("header" in words and not inside_article):
-                return True
-    return False
+                hint = True
+    return False, hint
 
 
 def parse(page: str) -> Tree:
-    """A forgiving parse: implied end tags, raw-text elements, unclosed and stray tags, cut-off pages."""
+    """A forgiving parse: implied end tags, raw-text elements, unclosed and stray tags, cut-off pages.
+
+    An open head ends at the first text or element that cannot be in one, unless a template holds it.
+    """
     tree, stack, at, size = Tree(), [0], 0, len(page)
-    articles = 0
+    articles, head = 0, 0  # head: depth of the open one
+
+    def end_head():
+        nonlocal articles, head
+        if not any(tree.tag[i] == "template" for i in stack[head:]):
+            articles -= sum(tree.tag[i] == "article" for i in stack[head:])
+            del stack[head:]
+            head = 0
+
     while at < size:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else size]
         if text:
+            if head and not text.isspace():
+                end_head()
             tree.runs.append((stack[-1], text))
         if not m:
             break
@@ -95,10 +112,13 @@ def parse(page: str) -> Tree:
                 if open_tag == name:
                     articles -= sum(tree.tag[i] == "article" for i in stack[depth:])
                     del stack[depth:]
+                    head = head if head < len(stack) else 0
                     break
                 if name in INLINE and open_tag in SCOPES or name == "p" and open_tag in SCOPES:
                     break
             continue
+        if head and name not in IN_HEAD:
+            end_head()
         ends, within = SAME_ENDS.get(name, (None, None))
         if ends is None and name in P_ENDERS:
             ends, within = {"p"}, SCOPES
@@ -111,7 +131,7 @@ def parse(page: str) -> Tree:
                         break
                 elif open_tag in within:
                     break
-        node = tree.add(stack[-1], name, _is_junk(name, m["attrs"], articles > 0))
+        node = tree.add(stack[-1], name, *_is_junk(name, m["attrs"], articles > 0))
         if name not in INLINE:
             tree.runs.append((node, ""))
         if name in RAW:
@@ -124,10 +144,36 @@ def parse(page: str) -> Tree:
         if m["attrs"].endswith("/") and name in ("svg", "path"):
             continue
         stack.append(node)
+        if name == "head" and not head:
+            head = len(stack) - 1
         articles += name == "article"
     return tree
 
 
+def settle_hints(tree: Tree, texts: list[str]) -> None:
+    """Make elements with hint words page furniture, but for those that hold most of the page's unlinked text.
+
+    Where there is an article or main element, only one that holds such an element is spared: a class as in
+    ``layout has-sidebar`` then tells of its parts, while long comments beside a short article stay comments.
+    """
+    if True not in tree.hint:
+        return
+    n = len(tree.tag)
+    chars, outside, holds = [0] * n, [False] * n, [False] * n
+    for (node, _), text in zip(tree.runs, texts):
+        chars[node] += len(text)
+    for i in range(1, n):
+        outside[i] = outside[tree.parent[i]] or tree.tag[i] == "a" or tree.junk[i]
+        chars[i] = 0 if outside[i] else chars[i]
+    for i in range(n - 1, 0, -1):
+        holds[i] |= tree.tag[i] in ("article", "main") and chars[i] > 0
+        holds[tree.parent[i]] |= holds[i]
+        chars[tree.parent[i]] += chars[i]
+    for i in range(1, n):
+        if tree.hint[i] and (2 * chars[i] <= chars[0] or holds[0] > holds[i]):
+            tree.junk[i] = True
+
+
 def densities(tree: Tree, texts: list[str]) -> tuple[list[float], list[float]]:
     """Composite text density of every element and the sum over its children.
 
@@ -173,6 +219,7 @@ def main_text(page: str | None) -> str:
     """
     tree = parse(page or "")
     texts = [" ".join(html.unescape(t).split()) if not t.isspace() else "" for _, t in tree.runs]
+    settle_hints(tree, texts)
     own, sums = densities(tree, texts)
     n = len(tree.tag)
     drop = [False] * n
