@@ -17,8 +17,9 @@ BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = ("email", "ip", "card", "phone", "id")
 
 #: What may be an identifier of a kind without a pattern of its own: at most four letters, then mostly digits.
-CANDIDATE = r"(?<![A-Za-z0-9_.@+-])[A-Za-z]{0,4}[#-]?[0-9](?:[.-]?[0-9A-Za-z]){5,30}+(?![A-Za-z0-9_@])"
-CONTEXT = r"(?:[^\s]+[ \t]+)?[^\s]+[ \t]*$"
+CANDIDATE = r"(?<![A-Za-z0-9_.@+-])[A-Za-z]{0,4}[#-]?[0-9](?:[.-]?[0-9A-Za-z]){5,}+(?![A-Za-z0-9_@])"
+#: The last two whole words; starts only where a word starts, so long gaps stay linear.
+CONTEXT = r"(?<!\S)(?:\S++[ \t]++)?\S++[ \t]*+$"
 ROUNDS = 3
 MIN_SUPPORT = 3
 CONFIDENT = 0.75
@@ -35,7 +36,7 @@ def _located(text: Column, pattern: str, kind: int, maybe: Column) -> Column:
     def step(a: Column, x: Column) -> Column:
         at = a["at"] + F.length(x["g"])
         end = at + F.length(x["m"])
-        left = F.lower(F.trim(F.regexp_extract(F.right(x["g"], F.lit(40)), CONTEXT, 0)))
+        left = F.lower(F.trim(F.regexp_extract(x["g"], CONTEXT, 0)))
         span = F.struct(
             at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"),
             F.regexp_replace(left, "[0-9]", "0").alias("left"),
