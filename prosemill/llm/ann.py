@@ -80,7 +80,10 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int, seed: int = 11)
 
 
 class CentroidGraph:
-    """Neighbour graph over the centroids, searched best-first from a few fixed entry points."""
+    """Neighbour graph over the centroids, searched best-first from a few fixed entry points and one in each part.
+
+    Well separated clusters fall into parts without a link between them, which no walk from elsewhere reaches.
+    """
 
     def __init__(self, centroids: np.ndarray, degree: int):
         self.centroids = centroids
@@ -91,7 +94,20 @@ class CentroidGraph:
             for j in row:
                 linked[j].add(i)
         self.links = [np.array(sorted(s), np.int64) for s in linked]
-        self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(8, len(centroids))).astype(int))
+        fixed = np.unique(np.linspace(0, len(centroids) - 1, min(8, len(centroids))).astype(int)).tolist()
+        reached = np.zeros(len(centroids), bool)
+        entries = []
+        for i in [*fixed, *range(len(centroids))]:
+            if i in fixed or not reached[i]:
+                entries.append(i)
+                todo = [i]
+                while todo:
+                    near = self.links[todo.pop()]
+                    fresh = near[~reached[near]]
+                    reached[fresh] = True
+                    todo += fresh.tolist()
+                reached[i] = True
+        self.entries = np.unique(entries)
 
     def search(self, query: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids found, nearest first, and their distances."""

@@ -1,0 +1,36 @@
+"""Neighbours in clusters whose centroids share no link."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from prosemill.llm import ann
+
+
+def test_every_part_of_the_graph_is_searched():
+    rng = np.random.default_rng(3)
+    centroids = np.concatenate([100.0 * c + rng.normal(size=(40, 8)) for c in rng.normal(size=(20, 8))])
+    graph = ann.CentroidGraph(centroids, 24)
+    for i in range(0, 800, 10):
+        assert graph.search(centroids[i] + 0.01, 96)[0][0] == i
+
+
+def recall(spark, degree, clusters=20, each=600, list_size=15):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(clusters, 8))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    v = np.repeat(centres, each, axis=0) + 0.004 * rng.normal(size=(clusters * each, 8))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(8)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 60 == 0, 20, ann.AnnSettings(list_size=list_size, degree=degree)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = 0
+    for q in range(0, len(v), 60):
+        scores = v.astype(float) @ v[q].astype(float)
+        scores[q] = -np.inf
+        found += len(got.get(q, set()) & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    return found / (20 * len(range(0, len(v), 60)))
+
+
+def test_the_graph_loses_nothing_to_a_complete_one(spark):
+    assert recall(spark, 24) >= recall(spark, 1 << 20) - 0.02
