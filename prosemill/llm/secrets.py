@@ -11,30 +11,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.llm._shared import table
+from prosemill.llm._shared import slices, table
 
 # The base patterns; letters of the names in either case.
 NAMES = "password|passwd|secret|token|api_?key"
-ASSIGN = re.compile(rf"(?i:{NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ASSIGN = re.compile(rf"(?ai:{NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 KINDS = ("assign", "access", "hex", "literal")
 
-#: Words of a name that make its value sensitive, and how much.
+#: Words of a name that make its value sensitive, and how much; words that say the value is something else.
 SENSITIVE = {
-    "password": 3.0, "passwd": 3.0, "pwd": 3.0, "pass": 2.0, "secret": 3.0, "token": 3.0, "apikey": 3.0, "credential": 3.0,
+    "password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 3.0, "pass": 2.0, "secret": 3.0, "token": 3.0, "apikey": 3.0, "credential": 3.0,
     "credentials": 3.0, "auth": 2.0, "bearer": 2.0, "private": 1.0, "access": 1.0, "api": 1.0, "key": 1.5, "signature": 1.5,
-}
+} | dict.fromkeys("url uri path file name id count type length size field header param label expires ttl version format".split(), -3.0)
 THRESHOLD = 4.5
 MIN_CHARS = 8
+MIN_DIGITS = 12
+SATURATED = 1 << 40
 STRINGS = {q: re.compile(rf"{q}(?:[^{q}\\\n]++|\\.)*+{q}") for q in "\"'"} | {"`": re.compile(r"`[^`\n]*+`")}
+KEY = re.compile(r"[\"'][A-Za-z0-9_.$ -]++[\"'](?=\s*+(?::|=))")
 LEX = re.compile(
-    r"""(?P<quote>["'`])"""
-    r"""|(?P<name>[A-Za-z_][A-Za-z0-9_]{0,200}(?:[.-][A-Za-z0-9_]{1,200}){0,20})|(?P<op>:=|=>|==|!=|<=|>=|[=:+])|(?P<end>[\n;,{}()\[\]])|(?P<other>[^\s"'`;,{}()\[\]]+)"""
+    r"""(?P<prefix>(?<![A-Za-z0-9_])(?:[rbfuRBFU]|[rR][bfBF]|[bfBF][rR])(?=["']))|(?P<quote>["'`])"""
+    r"""|(?P<name>[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z0-9_]++)*+)|(?P<op>:=|=>|==|!=|<=|>=|[=:+])|(?P<end>[\n;,{}()\[\]])|(?P<other>[^\s"'`;,{}()\[\]]++)"""
 )
-
-BARE = re.compile(r"[^\s\"'`;,{}()\[\]]+")
+BARE = re.compile(r"[^\s\"'`;,{}()\[\]]++")
+PLACEHOLDER = re.compile(r"(?:[xX*.<>_-]+|\$\{?\w+\}?|%\w+%|<\w+>|\{\{?[\w. ]+\}?\})")
+PLAIN_WORD = re.compile(r"[A-Za-z]?[a-z_./-]*")
 
 
 def name_score(name: str) -> float:
@@ -44,61 +48,117 @@ def name_score(name: str) -> float:
     return sum(SENSITIVE.get(p, 0.0) for p in set(parts) | {"".join(parts)})
 
 
-def value_score(value: str) -> float:
-    """How much a literal looks like a secret: entropy, length, no spaces; placeholders score nothing."""
-    if len(value) < MIN_CHARS or any(c.isspace() for c in value):
-        return 0.0
-    if re.fullmatch(r"(?:[xX*.<>_-]+|\$\{?\w+\}?|%\w+%|<\w+>)", value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    return entropy * 0.6 + (0.5 if len(value) >= 16 else 0.0) + (0.5 if re.search(r"\d", value) else 0.0)
+class Value:
+    """What a name holds, by reference: a literal's span or two other values, and sums that tell whether it is a secret.
 
+    Values are never copied, so a constant that is doubled a thousand times costs a thousand small objects.
+    """
 
-def literals(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, literal spans) of every assignment, constants and concatenations propagated.
+    __slots__ = ("size", "counts", "plain", "placeholder", "parts")
+
+    @classmethod
+    def literal(cls, text: str, span: tuple[int, int]) -> Value:
+        self = cls()
+        self.size, self.parts = len(text), span
+        self.counts = Counter(c if c < "\x80" else "\x80" for c in text)
+        if any(c.isspace() for c in text):
+            self.counts[" "] += 1
+        self.plain, self.placeholder = bool(PLAIN_WORD.fullmatch(text)), bool(PLACEHOLDER.fullmatch(text))
+        if "://" in text and "@" not in text:
+            self.placeholder = True
+        return self
+
+    def __add__(self, other: Value) -> Value:
+        both = Value()
+        both.size, both.parts = self.size + other.size, (self, other)
+        both.counts = self.counts + other.counts
+        if both.size > SATURATED:
+            both.counts = Counter({c: n >> 20 for c, n in both.counts.items() if n >> 20 or c == " "})
+            both.size = sum(both.counts.values())
+        both.plain, both.placeholder = self.plain and other.plain, self.placeholder and other.placeholder
+        return both
+
+    def score(self) -> float:
+        """How much the value looks like a secret: entropy, length, digits; no spaces, placeholders or plain words."""
+        digits = sum(self.counts[d] for d in "0123456789")
+        if self.size < MIN_CHARS or " " in self.counts or self.placeholder or (digits == self.size and digits < MIN_DIGITS):
+            return 0.0
+        entropy = -sum(n / self.size * math.log2(n / self.size) for n in self.counts.values())
+        return max(0.0, entropy * 0.6 + (0.5 if self.size >= 16 else 0.0) + (0.5 if digits else 0.0) - (1.5 if self.plain else 0.0))
+
+    def spans(self, seen: set[int]) -> list[tuple[int, int]]:
+        """Spans of the literals that make it up, but for values that ``seen`` has already; adds the new ones."""
+        out, todo = [], [self]
+        while todo:
+            value = todo.pop()
+            if id(value) not in seen:
+                seen.add(id(value))
+                if isinstance(value.parts[0], Value):
+                    todo += value.parts
+                else:
+                    out.append(value.parts)
+        return out
+
+
+def pairs(text: str) -> list[tuple[str, Value]]:
+    """(name, value) of every assignment, constants and concatenations propagated.
 
     ``name = a + b`` takes strings and names assigned before; a bare word right of ``=`` or ``:`` counts as a
-    literal unless it names a constant. Spans are those of the literals that make up the value. A quote that is not
-    closed in its line opens nothing: it is skipped, and what follows is read as code.
+    literal unless it names a constant; a string that is a call's first argument goes with the called name. A quote
+    right after a letter or digit is an apostrophe or inch mark. A single quote opens a string after an operator, bracket
+    or comma, else only a name with an operator behind it. A quote that is not closed in its line opens nothing.
     """
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    found = []
-    target, value, spans, more = None, "", [], False
+    known: dict[str, Value] = {}
+    found: list[tuple[str, Value]] = []
+    target: str | None = None
+    value: Value | None = None
+    more = False
     last: str | None = None
+    call: str | None = None
+    before = "\n"  # the token before: its kind, or an end's character
 
     def close():
-        nonlocal target, value, spans, more
-        if target is not None and spans:
-            known[target] = (value, spans)
-            found.append((target, value, spans))
-        target, value, spans, more = None, "", [], False
+        nonlocal target, value, more
+        if target is not None and value is not None:
+            known[target] = value
+            found.append((target, value))
+        target, value, more = None, None, False
 
     upto = 0
     # Up to where a quote is known to be unclosed: each line is searched once for each kind.
     unclosed = dict.fromkeys(STRINGS, 0)
     while m := LEX.search(text, upto):
         kind, word, upto = m.lastgroup, m.group(), m.end()
+        if kind == "prefix":
+            before = "prefix"
+            continue
         if kind == "quote":
-            string = STRINGS[word].match(text, m.start()) if m.start() >= unclosed[word] else None
+            at = m.start()
+            joined = at > 0 and before != "prefix" and (text[at - 1].isalnum() or text[at - 1] == "_")
+            string = STRINGS[word].match(text, at) if at >= unclosed[word] and not joined else None
+            if string is None and at >= unclosed[word] and not joined:
+                line = text.find("\n", at)
+                unclosed[word] = line if line >= 0 else len(text)
+            if string is not None and word == "'" and before not in ("op", "prefix", "(", "[", "{", ",") and not KEY.match(text, at):
+                string = None
             if string is None:
-                if m.start() >= unclosed[word]:
-                    line = text.find("\n", m.start())
-                    unclosed[word] = line if line >= 0 else len(text)
                 continue
             kind, word, upto = "string", string.group(), string.end()
         if kind == "op":
             if word in ("=", ":", ":=", "=>") and last is not None and not more:
                 close()
                 target, more, last = last, True, None
-            elif word == "+" and target is not None and spans:
+            elif word == "+" and target is not None and value is not None:
                 more = True
             else:
                 close()
                 last = None
+            call = None
         elif kind == "end":
+            call = last if word == "(" and not more else None
+            kept = last if word == "]" else None
             close()
-            last = None
+            last = kept
         else:
             at = m.start()
             if kind == "string":
@@ -108,13 +168,18 @@ def literals(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
                     word = BARE.match(text, at)[0]
                     upto = at + len(word)
                 if kind == "name" and word in known:
-                    value, spans = value + known[word][0], spans + known[word][1]
+                    value = known[word] if value is None else value + known[word]
                 elif word:
-                    value, spans = value + word, [*spans, (at, at + len(word))]
+                    one = Value.literal(word, (at, at + len(word)))
+                    value = one if value is None else value + one
                 more = False
             else:
                 close()
+                if kind == "string" and call is not None and word:
+                    found.append((call, Value.literal(word, (at, at + len(word)))))
             last = word if kind in ("name", "string") else None
+            call = None
+        before = word if kind == "end" else kind
     close()
     return found
 
@@ -124,12 +189,16 @@ def scan(text: str) -> dict[str, list[tuple[int, int]]]:
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if "=" in text or ":" in text:
         spans["assign"] = [m.span() for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_CHARS]
-        seen = set()
-        for name, value, parts in literals(text):
-            weight = name_score(name)
-            if weight >= 2.0 and weight + value_score(value) >= THRESHOLD and value_score(value) > 0:
-                seen.update(parts)
-        spans["literal"] = sorted(seen)
+    if "=" in text or ":" in text or "(" in text:
+        seen: set[int] = set()
+        scores: dict[str, float] = {}
+        held = pairs(text)  # keeps the values alive, so that their ids stay their own
+        for name, value in held:
+            if name not in scores:
+                scores[name] = name_score(name)
+            if scores[name] >= 2.0 and scores[name] + value.score() >= THRESHOLD and value.score() > 0:
+                spans["literal"] += value.spans(seen)
+        spans["literal"] = sorted(set(spans["literal"]))
     if "AKIA" in text:
         spans["access"] = [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_CHARS]
     spans["hex"] = [m.span() for m in HEX.finditer(text)]
@@ -151,7 +220,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 spans = scan(text or "")
