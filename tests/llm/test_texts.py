@@ -195,4 +195,4 @@ def test_deep_and_broken_pages():
 
 def test_located_matches_offsets_after_astral_characters(spark):
     df = spark.createDataFrame([(1, "🎯🎯 a@b.c")], "doc_id long, text string")
-    assert [(s["start"], s["end"]) for s in df.select(pii.base_spans(F.col("text")).alias("s")).first()["s"]] == [(3, 8)]
+    assert [(s["start"], s["end"]) for s in pii.with_base(df, "text").first()["base"]] == [(3, 8)]
