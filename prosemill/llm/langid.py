@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +19,20 @@ SAMPLE_PER_LANGUAGE = 600
 EPOCHS = 2
 CALIBRATION_SHARE = 5
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
-NOT_LETTERS = re.compile(r"[\W\d_]+")
 SLICE = 1 << 20
 
 
+class _Letters(dict):
+    """Each code point of category L as itself, all others as a space; for ``str.translate``."""
+
+    def __missing__(self, point: int) -> int:
+        self[point] = value = point if unicodedata.category(chr(point))[0] == "L" else 32
+        return value
+
+
+_LETTERS = _Letters()
+
+
 @dataclass(frozen=True)
 class FtrlSettings:
     alpha: float = 0.5
@@ -35,12 +44,13 @@ class FtrlSettings:
 def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Bins and counts of the hashed character n-grams of a whole text.
 
-    Letters are lower-cased and every run of other characters becomes one space, also at both ends. A text
-    without letters, or null, has none.
+    Letters (Unicode category L) are lower-cased and every run of other characters becomes one space, also at both
+    ends. A text without letters, or null, has none.
     """
-    if not text or not LETTER.search(text):
+    words = (text or "").lower().translate(_LETTERS).split()
+    if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    points = np.frombuffer(f" {NOT_LETTERS.sub(' ', text.lower()).strip()} ".encode("utf-32-le"), np.uint32)
+    points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32)
     total = np.zeros(BINS, np.int64)
     for at in range(0, len(points), SLICE):
         part = points[at : at + SLICE + max(ORDERS) - 1]
@@ -164,10 +174,12 @@ def train(
 
     Document frequencies cover every such text. The classifier itself is fitted on a sample of about
     ``sample_per_language`` whole texts for each language (a documented bound), chosen by a hash of the id, of
-    which a fifth is kept for the temperature. Only the n-gram counts of the sample reach the driver.
+    which a fifth is kept for the temperature. Only the n-gram counts of the sample reach the driver. Ids may be of any
+    type that casts to string, null or repeated; rows with null text or no letters teach nothing; an empty table gives
+    a model without languages.
     """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+        F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
     frequencies, total = document_frequencies(rows.select("text"))
     idf = np.log((1.0 + total) / (1.0 + frequencies)) + 1.0
@@ -188,9 +200,9 @@ def train(
                 ["doc_id", "lang", "bins", "counts"],
             )
 
-    rows = sample.mapInArrow(counted, "doc_id long, lang string, bins binary, counts binary").collect()
+    rows = sample.mapInArrow(counted, "doc_id string, lang string, bins binary, counts binary").collect()
     rng = np.random.default_rng(7)
-    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["bins"]))
+    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or "", r["bins"]))
     label = {k: i for i, k in enumerate(languages)}
     examples = []
     for r in rows:
