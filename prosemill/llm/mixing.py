@@ -114,21 +114,44 @@ def mix(
     """``docs`` with ``copies`` (0 to ``max_repeats``), ``size``, ``source_size`` and ``target`` added.
 
     Sizes are words; a null text has size 0 and a null source is a source of its own, last in order. Rows that
-    agree in id and text are taken or left together. An empty table gives no rows. Existing columns with the
+    repeat an id and text are taken or left one by one. An empty table gives no rows. Existing columns with the
     added names are replaced. The per-source plan is joined without a hint: Spark broadcasts it only below its
     size threshold.
     """
     rows = docs.drop("copies", "size", "source_size", "target").withColumn("size", word_count(F.col(text_col))).withColumn(
         "mix_h", row_hash(id_col, text_col)
     )
+    rows = numbered(rows)
     slim = cut(rows.select(F.col(source_col).alias("source"), "size", F.col("mix_h").alias("h")))
-    return _apply(rows, plan(slim, weights, max_repeats), source_col)
+    return _apply(rows, plan(slim, weights, max_repeats), source_col, max_repeats)
 
 
-def _apply(rows: DataFrame, by_source: DataFrame, source_col: str) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` whose ``mix_h`` differs for rows that repeat an id and text, so that they are not all taken or all left.
+
+    The c rows of a hash get the numbers 1 to c, in any order, since they are alike: counts for each part of the input
+    give each part its first number, so a row that is a third of the table is numbered in many tasks. Only repeated
+    rows are moved.
+    """
+    again = cut(rows.groupBy("mix_h").count().where("count > 1").select("mix_h"))
+    if again.isEmpty():
+        return rows
+    more = cut(rows.join(again, "mix_h", "left_semi").withColumn("mix_part", F.spark_partition_id()))
+    counts = more.groupBy("mix_h", "mix_part").count()
+    earlier = Window.partitionBy("mix_h").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("mix_h", "mix_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("mix_first"))
+    own = F.row_number().over(Window.partitionBy("mix_h", "mix_part").orderBy(F.lit(0)))
+    place = more.withColumn("mix_own", own).join(firsts, ["mix_h", "mix_part"])
+    fresh = F.pmod(F.xxhash64("mix_h", F.col("mix_first") + F.col("mix_own")), F.lit(1 << (LEVELS * LEVEL_BITS)))
+    renewed = place.withColumn("mix_h", fresh).select(*rows.columns)
+    return rows.join(again, "mix_h", "left_anti").select(*rows.columns).unionByName(renewed)
+
+
+def _apply(rows: DataFrame, by_source: DataFrame, source_col: str, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    copies = F.least(F.col("repeats") + (F.col("mix_h") < F.col("edge")).cast("long"), F.lit(max_repeats).cast("long"))
     return (
         rows.join(by_source, F.col(source_col).eqNullSafe(F.col("mix_source")))
-        .withColumn("copies", F.col("repeats") + (F.col("mix_h") < F.col("edge")).cast("long"))
+        .withColumn("copies", copies)
         .drop("mix_source", "repeats", "edge", "mix_h")
     )
 
@@ -137,8 +160,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     slim = cut(
         docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), row_hash("doc_id", "text").alias("h")
+            "doc_id", "source", word_count(F.col("text")).alias("size"), row_hash("doc_id", "text").alias("mix_h")
         )
     )
-    mixed = _apply(slim.withColumnRenamed("h", "mix_h"), plan(slim.select("source", "size", "h")), "source")
+    slim = numbered(slim)
+    mixed = _apply(slim, plan(slim.select("source", "size", F.col("mix_h").alias("h"))), "source")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
