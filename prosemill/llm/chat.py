@@ -38,8 +38,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     ``events``: conv_id, turn, seq, kind, role, text. Within a turn, by seq: ``message`` starts a message with
     its text, ``delta`` appends, ``edit`` replaces what is there, ``regenerate`` discards it so that later
     deltas start anew; any other kind counts as delta. Null texts and roles count as empty, null turns come
-    first, ties go by role and text. Returns conv_id, chunk, place, role and text; chunk groups CHUNK_TURNS
-    turns, so a conversation with very many turns is sorted in many tasks, and place orders within the chunk.
+    first, ties go by role and text. Returns conv_id, chunk, part, place, role and text; chunk groups CHUNK_TURNS turn
+    numbers, so a conversation with very many turns is sorted in many tasks; part cuts a chunk after CHUNK_TURNS
+    messages, as many may share a turn number or have none; and place orders within the chunk.
     """
     chunk = F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(NO_TURN)).cast("long")
     rows = events.select(
@@ -63,11 +64,11 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
     return live.groupBy("conv_id", "chunk", "place").agg(
         F.first("speaker").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text")
-    )
+    ).withColumn("part", F.floor((F.col("place") - 1) / CHUNK_TURNS).cast("long"))
 
 
 def render(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
-    """One row for each conversation and chunk: ``formatted`` and ``loss`` (start, end of each masked text in it).
+    """One row for each conversation, chunk and part: ``formatted`` and ``loss`` (start, end of each masked text in it).
 
     A turn is ``<turn>role\\ntext</turn>\\n`` with role and text escaped (line feeds in a role too), so no text
     can hold a control string. The loss mask covers the escaped texts of ``loss_role``; offsets are code points.
@@ -77,7 +78,7 @@ def render(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
     body = escape(F.col("text"))
     whole = F.length(head) + F.length(body) + F.lit(len(CLOSE))
     so_far = F.sum(whole).over(
-        Window.partitionBy("conv_id", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("conv_id", "chunk", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     )
     start = F.coalesce(so_far, F.lit(0)) + F.length(head)
     piece = F.struct(
@@ -88,12 +89,13 @@ def render(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
     )
     pieces = F.sort_array(F.collect_list("piece"))
     return (
-        turns.select("conv_id", "chunk", piece.alias("piece"))
-        .groupBy("conv_id", "chunk")
+        turns.select("conv_id", "chunk", "part", piece.alias("piece"))
+        .groupBy("conv_id", "chunk", "part")
         .agg(pieces.alias("pieces"))
         .select(
             "conv_id",
             "chunk",
+            "part",
             F.array_join(F.transform("pieces", lambda p: p["shown"]), "").alias("formatted"),
             F.transform(F.filter("pieces", lambda p: p["masked"]), lambda p: p["span"]).alias("loss"),
         )
@@ -123,11 +125,12 @@ def loss_text(formatted: Column, loss: Column) -> Column:
 
 
 def read_back(events: DataFrame) -> DataFrame:
-    """conv_id, chunk, formatted, and turns, their number and the masked text as read back from it, of each chunk."""
+    """conv_id, chunk, part, formatted, and turns, their number and the masked text as read back from it, of each chunk."""
     turns = F.array_join(F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return render(fold_events(events)).select(
         "conv_id",
         "chunk",
+        "part",
         "formatted",
         turns.alias("turns"),
         F.size(parse(F.col("formatted"))).cast("long").alias("n"),
@@ -137,7 +140,7 @@ def read_back(events: DataFrame) -> DataFrame:
 
 def row_digests(events: DataFrame) -> DataFrame:
     """Digests of conversations short enough for their chunks to meet in one row."""
-    chunk = F.struct("chunk", "formatted", "turns", "n", "masked").alias("c")
+    chunk = F.struct("chunk", "part", "formatted", "turns", "n", "masked").alias("c")
     chunks = read_back(events).select("conv_id", chunk).groupBy("conv_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
 
     def joined(field: str) -> Column:
@@ -169,9 +172,9 @@ def stream_digests(events: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFra
         )
 
     fields = ("turns", "masked", "formatted")
-    split = read_back(events).select("conv_id", "chunk", F.explode(F.concat(*map(pieces, fields))).alias("p"))
-    rows = split.select("conv_id", "chunk", "p.field", "p.at", "p.piece", "p.n")
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "field", "at")
+    split = read_back(events).select("conv_id", "chunk", "part", F.explode(F.concat(*map(pieces, fields))).alias("p"))
+    rows = split.select("conv_id", "chunk", "part", "p.field", "p.at", "p.piece", "p.n")
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "part", "field", "at")
     schema = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in DIGESTS.split(", ")])
 
     def run(it):
@@ -183,7 +186,7 @@ def stream_digests(events: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, schema)], schema=schema)
 
         for batch in it:
-            columns = [batch.column(i) for i in (0, 2, 4, 5)]
+            columns = [batch.column(i) for i in (0, 3, 5, 6)]
             for i in range(batch.num_rows):
                 conv, field, piece, n = (c[i].as_py() for c in columns)
                 if state is None or conv != current:
