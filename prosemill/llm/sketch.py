@@ -8,10 +8,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm._shared import table
+from prosemill.llm._shared import slices, table
 from prosemill.llm.shingles import chunks, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """``doc_id`` and ``fingerprint`` (a text form of the sketch) of every row; null texts count as empty."""
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it, 1):
             prints = [to_text(s) for s in text_sketches(batch.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
@@ -95,6 +95,41 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     )
 
 
+def merged(sketched: DataFrame, by: str, k: int = SIZE, print_col: str = "fingerprint") -> DataFrame:
+    """``by``, the fingerprint of the union of each group's texts, and ``n_distinct``, the estimated number of its shingles.
+
+    ``sketched`` has a fingerprint for each part. Of each task's hashes the k smallest of a group go on, so a group
+    of any size is merged from a bounded number of hashes; texts are not read again.
+    """
+
+    def hashes(it):
+        for batch in it:
+            groups, prints = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            parts: dict = {}
+            for g, p in zip(groups, prints):
+                own = from_text(p or "")
+                parts[g] = merge(parts[g], own, k) if g in parts else own
+            names = pa.array([g for g, own in parts.items() for _ in range(max(1, len(own)))], batch.schema.field(0).type)
+            flat = [x for own in parts.values() for x in (own.astype(np.int64).tolist() or [None])]
+            yield pa.RecordBatch.from_arrays([names, pa.array(flat, pa.int64())], ["by", "hash"])
+
+    rows = sketched.select(F.col(by).alias("by"), F.col(print_col).alias("print"))
+    smallest = rows.mapInArrow(hashes, rows.select("by").schema.add("hash", "long")).distinct()
+    place = F.row_number().over(Window.partitionBy("by").orderBy(F.col("hash").asc_nulls_last()))
+    kept = smallest.withColumn("place", place).where(F.col("place") <= k).groupBy("by").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+
+    def shown(it):
+        for batch in it:
+            own = [np.array(h, np.uint64) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(to_text, own), pa.string()), pa.array([distinct_count(o, k) for o in own], pa.float64())],
+                ["by", "fingerprint", "n_distinct"],
+            )
+
+    schema = kept.select("by").schema.add("fingerprint", "string").add("n_distinct", "double")
+    return kept.mapInArrow(shown, schema).withColumnRenamed("by", by)
+
+
 def with_successors(docs: DataFrame, pieces: int) -> DataFrame:
     """Rows dealt into ``pieces`` ranges of descending doc_id, each followed by the first row of the next range.
 
@@ -139,16 +174,17 @@ def edited_pairs(docs: DataFrame, pieces: int | None = None, k: int = SIZE) -> D
 
     Next means descending doc_id, null ids last, equal ids by text; the last is followed by the first. The last
     floor(n_chars / 2) code points are replaced by the first as many of the next text, or all of it if shorter.
-    Null texts count as empty; a single row is followed by itself; an empty table gives no rows.
+    Null texts count as empty; a single row is followed by itself; an empty table gives no rows. ``n_distinct`` estimates
+    the text's distinct shingles and ``kept_by_edited`` the share of them that the edited text contains.
     """
     spark = docs.sparkSession
     pieces = pieces or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next".split()
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next n_distinct kept_by_edited".split()
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
 
     def batches(it):
         last = None
-        for batch in it:
+        for batch in slices(it, 3):
             piece, extra, doc_id, text = (batch.column(i).to_pylist() for i in (0, 1, 2, 3))
             rows, edited = [], []
             for p, e, d, t, own in zip(piece, extra, doc_id, text, text_sketches(text, k)):
@@ -165,12 +201,14 @@ def edited_pairs(docs: DataFrame, pieces: int | None = None, k: int = SIZE) -> D
             columns = [
                 ids, sizes, [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in edited], map(to_text, own),
                 map(to_text, changed), [resemblance(a, b, k) for a, b in zip(own, changed)], near_next,
+                [distinct_count(a, k) for a in own], [containment(a, b, k) for a, b in zip(own, changed)],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names)
 
     return with_successors(docs, pieces).select("piece", "extra", "doc_id", "text").mapInArrow(
         batches,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+        "n_distinct double, kept_by_edited double",
     )
 
 
