@@ -69,9 +69,14 @@ def word_at(line: Column, column: Column) -> Column:
 
 
 def signed(delta: Column) -> Column:
-    """A change with its sign, one decimal, and no trailing ``.0``."""
+    """A change with its sign, one decimal, and no trailing ``.0``; null, as hidden, if there is none."""
     shown = F.regexp_replace(F.format_string("%.1f", delta), "\\.0$", "")
-    return F.when(delta > 0, F.concat(F.lit("+"), shown)).otherwise(shown)
+    return F.when(delta > 0, F.concat(F.lit("+"), shown)).when(delta < 0, shown)
+
+
+def sane_count(x: Column) -> Column:
+    """A count from outside: null, negative and non-finite ones are 0, fractions are cut."""
+    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")) & (x > 0) & (x.cast("double") < float("inf")), F.floor(x)).otherwise(0).cast("int")
 
 
 def singular(label: Column) -> Column:

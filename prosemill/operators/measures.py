@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import lexicons as L
-from prosemill.functions.text import band, bar_width, base_form, clamp, ease_label, round1
+from prosemill.functions.arrays import each, positions, runs
+from prosemill.functions.text import band, bar_width, base_form, clamp, ease_label, round1, sane_count
 
 # The compared metrics in order, their labels, and whether more is better (1), worse (-1) or neither.
 METRICS = (
@@ -118,7 +119,7 @@ def rhythm(documents: DataFrame, sentences: DataFrame, options: RhythmOptions =
     def runs(lengths: pd.Series) -> pd.Series:
         return lengths.map(lambda x: monotone_runs([] if x is None else list(x), run, spread))
 
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "words"))), lambda s: s["words"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", sane_count(F.col("words")).alias("words")))), lambda s: s["words"])
     grouped = sentences.groupBy("doc_id").agg(
         ordered.alias("lengths"), F.count("*").alias("n"), F.stddev_pop("words").alias("deviation")
     )
@@ -169,33 +170,58 @@ class EchoOptions:
         return cls(**ok)
 
 
-def echoes(tokens: DataFrame, options: EchoOptions = EchoOptions()) -> DataFrame:
+def _repeated_terms(sentence_arrays: DataFrame, options: EchoOptions) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of the terms that a document has often enough, and its words that are always capitalised.
+
+    Both are worked out inside the document's row: its terms are sorted and only runs of equal ones leave it, which
+    are few, so nothing else is shuffled.
+    """
+
+    def stop(lower: Column) -> Column:
+        return lower.isin(*L.STOPWORDS) | base_form(lower).isin(*L.STOPWORDS)
+
+    def entries(s: Column) -> Column:
+        def entry(t: Column, i: Column) -> Column:
+            capital = F.substr(t["token"], F.lit(1), F.lit(1)) != F.substr(t["lower"], F.lit(1), F.lit(1))
+            return F.struct(
+                t["from"].alias("from"), t["lower"].alias("lower"), stop(t["lower"]).alias("stop"), capital.alias("cap"), (i > 0).alias("mid")
+            )
+
+        return F.transform(s["toks"], entry)
+
+    def terms(e: Column, sent_idx: Column) -> Column:
+        none = F.lit(None).cast("int")
+        ones = F.transform(
+            F.filter(e, lambda x: ~x["stop"] & (F.length(x["lower"]) >= options.min_length)),
+            lambda x: F.struct(F.lit("word").alias("kind"), x["lower"].alias("term"), sent_idx.alias("sent_idx"), x["from"].alias("from"), none.alias("second")),
+        )
+        twos = F.transform(
+            F.filter(positions(e, 1), lambda i: ~(F.get(e, i)["stop"] & F.get(e, i - 1)["stop"])),
+            lambda i: F.struct(
+                F.lit("phrase").alias("kind"), F.concat_ws(" ", F.get(e, i - 1)["lower"], F.get(e, i)["lower"]).alias("term"),
+                sent_idx.alias("sent_idx"), F.get(e, i - 1)["from"].alias("from"), F.get(e, i)["from"].alias("second"),
+            ),
+        )
+        return F.concat(ones, twos)
+
+    rows = sentence_arrays.select("doc_id", F.transform("sents", entries).alias("_e"))
+    names = F.transform(F.filter(F.flatten("_e"), lambda x: x["mid"]), lambda x: F.struct(x["lower"].alias("name"), x["cap"].alias("cap")))
+    listed = rows.withColumn("terms", F.sort_array(F.flatten(F.transform("_e", terms))))
+    frequent = each(listed, ["doc_id"], runs(F.col("terms"), lambda a, b: (a["term"] == b["term"]) & (a["kind"] == b["kind"]), options.min_count))
+    named, own = rows.withColumn("names", F.sort_array(names)), F.col("names")
+    first = F.filter(positions(own), lambda i: F.get(own, i)["cap"] & ((i == 0) | (F.get(own, i - 1)["name"] != F.get(own, i)["name"])))
+    proper = each(named, ["doc_id"], F.transform(first, lambda i: F.struct(F.get(own, i)["name"].alias("name"))))
+    return frequent, proper
+
+
+def echoes(sentence_arrays: DataFrame, options: EchoOptions = EchoOptions()) -> DataFrame:
     """Words and word pairs repeated within a few sentences: doc_id, term, kind, count, offsets.
 
     A term qualifies if its count over some window of sentences reaches the least count (a range window over its
     sentences). Proper nouns (always capitalised inside sentences) and pairs that land exactly on a reported word are
     left out; the most frequent ``most`` terms of each document stay.
     """
-    order = Window.partitionBy("doc_id", "sent_idx").orderBy("tok")
-    stop = F.col("lower").isin(*L.STOPWORDS) | base_form(F.col("lower")).isin(*L.STOPWORDS)
-    rows = tokens.select("doc_id", "sent_idx", "tok", "from", "token", "lower", stop.alias("stop"))
-    rows = rows.select(
-        "*", F.lead("lower").over(order).alias("next"), F.lead("stop").over(order).alias("next_stop"),
-        F.lead("from").over(order).alias("second"), (F.col("tok") > 0).alias("mid"),
-        ((F.col("tok") > 0) & (F.substr("token", F.lit(1), F.lit(1)) != F.substr("lower", F.lit(1), F.lit(1)))).alias("cap"),
-    )
-    word = F.when(
-        ~F.col("stop") & (F.length("lower") >= options.min_length),
-        F.struct(F.lit("word").alias("kind"), F.col("lower").alias("term"), F.lit(None).cast("int").alias("second")),
-    )
-    pair = F.when(
-        F.col("next").isNotNull() & ~(F.col("stop") & F.col("next_stop")),
-        F.struct(F.lit("phrase").alias("kind"), F.concat_ws(" ", "lower", "next").alias("term"), F.col("second").alias("second")),
-    )
-    # Exploded rather than united, so that everything below keeps the partitioning by document.
-    terms = rows.select("doc_id", "sent_idx", "from", F.explode(F.array_compact(F.array(word, pair))).alias("t")).select(
-        "doc_id", "sent_idx", "from", "t.*"
-    )
+    terms, proper = _repeated_terms(sentence_arrays, options)
     recent = Window.partitionBy("doc_id", "kind", "term").orderBy("sent_idx").rangeBetween(-(options.window - 1), 0)
     echoed = (
         terms.groupBy("doc_id", "kind", "term", "sent_idx")
@@ -208,9 +234,6 @@ def echoes(tokens: DataFrame, options: EchoOptions = EchoOptions()) -> DataFrame
     found = terms.join(echoed, ["doc_id", "kind", "term"], "left_semi").groupBy("doc_id", "kind", "term").agg(
         F.count("*").alias("count"), F.sort_array(F.collect_list("from")).alias("offsets"), F.sort_array(F.collect_list("second")).alias("seconds")
     )
-    proper = (
-        rows.where("mid").groupBy("doc_id", F.col("lower").alias("name")).agg(F.bool_and("cap").alias("always")).where("always").drop("always")
-    )
     halves = found.select("*", F.substring_index("term", " ", 1).alias("first"), F.substring_index("term", " ", -1).alias("last"))
     for side in ("first", "last"):
         halves = halves.join(proper.withColumnRenamed("name", side), ["doc_id", side], "left_anti")
@@ -247,17 +270,27 @@ def snapshot(stats: DataFrame, counts: DataFrame) -> DataFrame:
 
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """The metrics of two snapshots side by side: doc_id, ord, key, label, before, after, delta, better."""
-    keys = [k for k, _, _ in METRICS]
-
-    def tall(df: DataFrame, value: str) -> DataFrame:
-        return df.unpivot(["doc_id"], keys, "key", value)
-
-    table = [(i, k, label, sign) for i, (k, label, sign) in enumerate(METRICS)]
-    metrics = before.sparkSession.createDataFrame(table, "ord int, key string, label string, sign int")
-    rows = tall(before, "before").join(tall(after, "after"), ["doc_id", "key"]).join(F.broadcast(metrics), "key")
+    sides = [df.withColumn("side", F.lit(side)) for side, df in (("before", before), ("after", after))]
+    return side_delta(sides[0].unionByName(sides[1]))
+
+
+def side_delta(snapshots: DataFrame) -> DataFrame:
+    """The same from one table with a ``side`` column (before, after), in one grouping; documents with one side are left out."""
+    item = F.struct(*[k for k, _, _ in METRICS])
+    ends = snapshots.groupBy("doc_id").agg(*[F.max(F.when(F.col("side") == side, item)).alias(side) for side in ("before", "after")])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("ord"), F.lit(k).alias("key"), F.lit(label).alias("label"), F.lit(sign).alias("sign"),
+                F.col("before")[k].alias("before"), F.col("after")[k].alias("after"),
+            )
+            for i, (k, label, sign) in enumerate(METRICS)
+        ]
+    )
+    both = ends.where("before is not null and after is not null").select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*")
     change = round1(F.col("after") - F.col("before"))
     moved = F.when((F.col("sign") != 0) & (F.col("delta") != 0), F.signum("delta") == F.col("sign"))
-    return rows.withColumn("delta", F.when(change == 0, 0.0).otherwise(change)).select(
+    return both.withColumn("delta", F.when(change == 0, 0.0).otherwise(change)).select(
         "doc_id", "ord", "key", "label", "before", "after", "delta", moved.alias("better")
     )
 

@@ -14,7 +14,7 @@ def drop_ignored(marks: DataFrame, words: list[str]) -> DataFrame:
     if not words:
         return marks
     ignored = marks.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    return marks.join(F.broadcast(ignored), "word", "left_anti").select(*marks.columns)
+    return marks.join(ignored, "word", "left_anti").select(*marks.columns)
 
 
 def rank(rule: Column) -> Column:

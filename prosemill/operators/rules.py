@@ -1,14 +1,20 @@
-"""Rules: each turns sentences or words into candidate marks. Lists are small fixed tables joined by broadcast."""
+"""Rules: each turns sentences or words into candidate marks.
+
+Rules of a sentence are array expressions over its words, so that one pass over a document's row finds them all and
+only marks leave it. Phrases start at few words; those alone meet the fixed phrase table.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.functions import lexicons as L
+from prosemill.functions.arrays import among, each, positions, running
 from prosemill.functions.text import SPACES, WORD, fold_apostrophes
 from prosemill.operators.mask import masked
 from prosemill.operators.segment import plain, tight
@@ -36,251 +42,322 @@ REFRAMES = (
     f"(?i){_NOT_JUST}{_B}but{_E}",
     f"(?i){_NOT_JUST}[,:—–.]{_S}{{0,4}}(?:it['’]s|it{_S}{{1,3}}is|they['’]re|that['’]s|this{_S}{{1,3}}is){_E}",
 )
+#: Apostrophes that machine terms take for plain ones.
+FOLDED = "’‘‛"
 MARK = "doc_id long, from int, to int, rule string, severity string, message string, word string, seq int"
 
 
-def _mark(rule: Column | str, severity: Column | str, message: Column | str, word: Column | None, seq: int) -> list[Column]:
+MARKS = f"array<struct<{MARK.removeprefix('doc_id long, ').replace(' string', ':string').replace(' int', ':int')}>>"
+
+
+def _mark(low: Column, high: Column, rule: Column | str, severity: Column | str, message: Column | str, word: Column | None, seq: int) -> Column:
     def column(x: Column | str) -> Column:
         return x if isinstance(x, Column) else F.lit(x)
 
-    return [
-        F.col("from").cast("int").alias("from"), F.col("to").cast("int").alias("to"), column(rule).alias("rule"),
-        column(severity).alias("severity"), column(message).alias("message"),
-        (F.lit(None).cast("string") if word is None else word).alias("word"), F.lit(seq).alias("seq"),
-    ]
+    return F.struct(
+        low.cast("int").alias("from"), high.cast("int").alias("to"), column(rule).alias("rule"), column(severity).alias("severity"),
+        column(message).alias("message"), (F.lit(None).cast("string") if word is None else word).alias("word"), F.lit(seq).alias("seq"),
+    )
+
+
+def _rows(frame: DataFrame, marks: Column) -> DataFrame:
+    """A row for each mark of an array."""
+    return each(frame, ["doc_id"], marks)
 
 
 def ends_in_ly(word: Column) -> Column:
-    return (F.length(word) >= 4) & word.endswith("ly") & ~word.isin(*L.NOT_ADVERBS)
+    return (F.length(word) >= 4) & word.endswith("ly") & ~among(word, L.NOT_ADVERBS)
 
 
-def long_sentences(sentences: DataFrame, options: RuleOptions) -> DataFrame:
+def _long_marks(options: RuleOptions) -> Column:
     very = F.col("words") >= options.very_long_words
     message = F.when(
         very, F.format_string("Very long sentence (%d words) — hard to read in one pass", "words")
     ).otherwise(F.format_string("Long sentence (%d words)", "words"))
-    return sentences.where(very | (F.col("words") >= options.long_words)).select(
-        "doc_id", *_mark("longSentence", F.when(very, "strong").otherwise("warn"), message, None, 0)
-    )
+    mark = _mark(F.col("from"), F.col("to"), "longSentence", F.when(very, "strong").otherwise("warn"), message, None, 0)
+    return F.when(very | (F.col("words") >= options.long_words), F.array(mark))
+
 
+def long_sentences(sentences: DataFrame, options: RuleOptions) -> DataFrame:
+    return _rows(sentences, _long_marks(options))
+
+
+def _lexical_marks(options: RuleOptions) -> Column | None:
+    def tests(lower: Column) -> dict[str, Column]:
+        found = {"weasel": lower.isin(*L.WEASELS), "hedge": lower.isin(*L.HEDGES), "adverb": ends_in_ly(lower)}
+        return {rule: test for rule, test in found.items() if options.enabled(rule)}
+
+    if not any(map(options.enabled, ("weasel", "hedge", "adverb"))):
+        return None
+    hits = F.filter("toks", lambda t: reduce(Column.__or__, tests(t["lower"]).values()))
+
+    def mark(t: Column) -> Column:
+        own = list(tests(t["lower"]).items())
+        rule = reduce(lambda w, x: w.when(x[1], x[0]), own[1:], F.when(own[0][1], own[0][0]))
+        message = reduce(lambda w, x: w.when(x[1], MESSAGES[x[0]]), own[1:], F.when(own[0][1], MESSAGES[own[0][0]]))
+        return _mark(t["from"], t["to"], rule, "info", message, t["lower"], 1)
 
-def lexical(tokens: DataFrame, options: RuleOptions) -> DataFrame:
+    return F.transform(hits, mark)
+
+
+def lexical(sentences: DataFrame, options: RuleOptions) -> DataFrame:
     """At most one of weasel, hedge and adverb for each word, in that order among the enabled rules."""
-    tests = {
-        "weasel": F.col("lower").isin(*L.WEASELS),
-        "hedge": F.col("lower").isin(*L.HEDGES),
-        "adverb": ends_in_ly(F.col("lower")),
-    }
-    active = [(rule, test) for rule, test in tests.items() if options.enabled(rule)]
-    if not active:
-        return tokens.sparkSession.createDataFrame([], MARK)
-    rule = reduce(lambda w, x: w.when(x[1], x[0]), active[1:], F.when(active[0][1], active[0][0]))
-    message = F.create_map(*[F.lit(x) for r in tests for x in (r, MESSAGES[r])])
-    found = tokens.withColumn("rule", rule).where("rule is not null")
-    return found.select("doc_id", *_mark(F.col("rule"), "info", message[F.col("rule")], F.col("lower"), 1))
-
-
-def doubled(tokens: DataFrame) -> DataFrame:
+    marks = _lexical_marks(options)
+    return sentences.sparkSession.createDataFrame([], MARK) if marks is None else _rows(sentences, marks)
+
+
+def _doubled_marks() -> Column:
+    toks = F.col("toks")
+
+    def again(i: Column) -> Column:
+        return (F.get(toks, i)["lower"] == F.get(toks, i - 1)["lower"]) & plain(F.get(toks, i)["gap"])
+
+    def mark(i: Column) -> Column:
+        return _mark(F.get(toks, i - 1)["from"], F.get(toks, i)["to"], "doubled", "warn", MESSAGES["doubled"], F.get(toks, i)["lower"], 1)
+
+    return F.transform(F.filter(positions(toks, 1), again), mark)
+
+
+def doubled(sentences: DataFrame) -> DataFrame:
     """A word repeated in its sentence with only white space of the original text between."""
-    order = Window.partitionBy("doc_id", "sent_idx").orderBy("tok")
-    pairs = tokens.select(
-        "doc_id", "to", "lower", "gap", F.lag("lower").over(order).alias("before"), F.lag("from").over(order).alias("from")
-    )
-    return pairs.where((F.col("before") == F.col("lower")) & plain(F.col("gap"))).select(
-        "doc_id", *_mark("doubled", "warn", MESSAGES["doubled"], F.col("lower"), 1)
-    )
+    return _rows(sentences, _doubled_marks())
+
+
+def _greedy(items: Column, kind: str) -> Column:
+    """Items (first, last, ...) kept from left to right, each starting after the one kept before it has ended."""
+
+    def fits(end: Column, x: Column) -> Column:
+        return x["first"] > end
+
+    kept = running(items, F.lit(-1), lambda end, x: F.when(fits(end, x), x["last"]).otherwise(end), lambda end, x: F.when(fits(end, x), x), kind)
+    return F.filter(kept, lambda x: x.isNotNull())
 
 
 def greedy(candidates: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
     """Candidates kept from left to right, each starting after the one kept before it has ended.
 
-    One candidate for each start; both columns count the same things. Candidates of a group are few (matches in one
-    document or sentence), and folding them in order is what the rule means.
+    One candidate for each start; both columns count the same things. Candidates of a group are matches in one document.
     """
     others = [c for c in candidates.columns if c not in keys]
-    item = F.struct(F.col(first).cast("int").alias("_first"), F.col(last).cast("int").alias("_last"), F.struct(*others).alias("_row"))
+    item = F.struct(F.col(first).cast("int").alias("first"), F.col(last).cast("int").alias("last"), F.struct(*others).alias("row"))
     grouped = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
     kind = grouped.schema["items"].dataType.simpleString()
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("kept"))
+    return each(grouped, keys, _greedy(F.col("items"), kind)).select(*keys, "row.*")
+
+
+def _with_passive(sentences: DataFrame) -> DataFrame:
+    """``sentences`` with ``_passive``: constructions (first, last, modal) before the greedy choice."""
+    toks = F.col("toks")
+
+    def word(i: Column) -> Column:
+        return fold_apostrophes(F.get(toks, i)["lower"])
+
+    heads = F.filter(positions(toks), lambda i: among(word(i), (*L.BE_FORMS, *L.GET_FORMS)))
+    # The next five words of a head, once: what follows reads them many times.
+    window = lambda i: F.struct(
+        i.alias("i"),
+        F.coalesce(among(F.when(i > 0, F.get(toks, i - 1)["lower"]), L.MODALS), F.lit(False)).alias("modal"),
+        F.transform(F.slice(toks, i + 2, F.lit(5)), lambda t: F.struct(fold_apostrophes(t["lower"]).alias("w"), tight(t["gap"]).alias("near"))).alias("next"),
+    )
+    rows = sentences.withColumn("_heads", F.transform(heads, window))
+
+    def found(h: Column) -> Column:
+        def w(i: int) -> Column:
+            return F.get(h["next"], F.lit(i - 1))["w"]
 
-    def step(a: Column, x: Column) -> Column:
-        fits = x["_first"] > a["end"]
-        return F.struct(
-            F.when(fits, x["_last"]).otherwise(a["end"]).alias("end"),
-            F.when(fits, F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"),
-        )
+        def near(i: int) -> Column:
+            return F.coalesce(F.get(h["next"], F.lit(i - 1))["near"], F.lit(False))
 
-    kept = F.explode(F.aggregate("items", start, step, lambda a: a["kept"])).alias("x")
-    return grouped.select(*keys, kept).select(*keys, "x._row.*")
+        def participle(i: int) -> Column:
+            regular = (F.length(w(i)) >= 4) & w(i).endswith("ed") & ~among(w(i), L.NOT_PARTICIPLES) & ~among(w(i), L.NOT_ADVERBS)
+            return F.coalesce(among(w(i), L.IRREGULAR_PARTICIPLES) | regular, F.lit(False))
 
+        def agent(i: int) -> Column:
+            named = w(i + 2).isNotNull() & ~among(w(i + 2), L.NOT_AGENTS)
+            return near(i + 1) & (w(i + 1) == "by") & near(i + 2) & named
 
-def passive(tokens: DataFrame) -> DataFrame:
+        reached: Column = F.lit(True)
+        hit = F.lit(None).cast("int")
+        for i in range(1, 4):
+            reached = reached & near(i)
+            verb = ~among(w(i), L.ED_ADJECTIVES) | F.coalesce(agent(i), F.lit(False))
+            hit = F.coalesce(hit, F.when(reached & participle(i) & verb, F.lit(i)))
+            reached = reached & ~participle(i) & F.coalesce(among(w(i), L.BETWEEN) | ends_in_ly(w(i)), F.lit(False))
+        return F.struct(h["i"].alias("first"), (h["i"] + hit).alias("last"), h["modal"].alias("modal"))
+
+    return rows.withColumn("_passive", F.filter(F.transform("_heads", found), lambda x: x["last"].isNotNull())).drop("_heads")
+
+
+def _passive_marks() -> Column:
+    toks = F.col("toks")
+
+    def mark(x: Column) -> Column:
+        severity = F.when(x["modal"], "info").otherwise("warn")
+        message = F.when(x["modal"], MESSAGES["passive modal"]).otherwise(MESSAGES["passive"])
+        return _mark(F.get(toks, x["first"])["from"], F.get(toks, x["last"])["to"], "passive", severity, message, None, 2)
+
+    return F.transform(_greedy(F.col("_passive"), "array<struct<first:int,last:int,modal:boolean>>"), mark)
+
+
+def passive(sentences: DataFrame) -> DataFrame:
     """A form of be or get, up to two adverbs, then a participle, all close together; see the column names.
 
     Everything is read from the next five words of the sentence. An adjective in -ed ends the search unless an
     agent follows. Heads inside a construction already found are skipped by the greedy fold.
     """
-    order = Window.partitionBy("doc_id", "sent_idx").orderBy("tok")
-    word = fold_apostrophes(F.col("lower"))
-    base = tokens.select("doc_id", "sent_idx", "tok", "from", "to", "lower", word.alias("w"), tight(F.col("gap")).alias("near"))
-    ahead = [F.lead(c, i).over(order).alias(f"{c}{i}") for i in range(1, 6) for c in ("w", "near")]
-    ends = [F.lead("to", i).over(order).alias(f"to{i}") for i in range(1, 4)]
-    rows = base.select("*", F.lag("lower").over(order).alias("before"), *ahead, *ends).where(
-        F.col("w").isin(*L.BE_FORMS, *L.GET_FORMS)
-    )
-
-    def near(i: int) -> Column:
-        return F.coalesce(F.col(f"near{i}"), F.lit(False))
-
-    def participle(i: int) -> Column:
-        w = F.col(f"w{i}")
-        regular = (F.length(w) >= 4) & w.endswith("ed") & ~w.isin(*L.NOT_PARTICIPLES) & ~w.isin(*L.NOT_ADVERBS)
-        return F.coalesce(w.isin(*L.IRREGULAR_PARTICIPLES) | regular, F.lit(False))
-
-    def agent(i: int) -> Column:
-        named = F.col(f"w{i + 2}").isNotNull() & ~F.col(f"w{i + 2}").isin(*L.NOT_AGENTS)
-        return near(i + 1) & (F.col(f"w{i + 1}") == "by") & near(i + 2) & named
-
-    reached: Column = F.lit(True)
-    hit = F.lit(None).cast("int")
-    for i in range(1, 4):
-        reached = reached & near(i)
-        w = F.col(f"w{i}")
-        verb = ~w.isin(*L.ED_ADJECTIVES) | F.coalesce(agent(i), F.lit(False))
-        hit = F.coalesce(hit, F.when(reached & participle(i) & verb, F.lit(i)))
-        reached = reached & ~participle(i) & F.coalesce(w.isin(*L.BETWEEN) | ends_in_ly(w), F.lit(False))
-    found = rows.withColumn("hit", hit).where("hit is not null")
-    spans = found.select(
-        "doc_id", "sent_idx", "tok", (F.col("tok") + F.col("hit")).alias("last"), "from",
-        F.element_at(F.array("to1", "to2", "to3"), F.col("hit")).alias("to"),
-        F.coalesce(F.col("before").isin(*L.MODALS), F.lit(False)).alias("modal"),
-    )
-    kept = greedy(spans, ["doc_id", "sent_idx"], "tok", "last")
-    return kept.select(
-        "doc_id",
-        *_mark(
-            "passive",
-            F.when(F.col("modal"), "info").otherwise("warn"),
-            F.when(F.col("modal"), MESSAGES["passive modal"]).otherwise(MESSAGES["passive"]),
-            None,
-            2,
-        ),
-    )
+    return _rows(_with_passive(sentences), _passive_marks())
 
 
-def _phrase_matches(tokens: DataFrame, phrases: DataFrame, word: Column, close: Column, most: int) -> DataFrame:
-    """Longest phrase of ``phrases`` (head, phrase, n, ...) that starts at each word; gaps inside must be close.
+def _phrase_matches(words: DataFrame, phrases: DataFrame, heads: list[str], most: int) -> DataFrame:
+    """Longest phrase of each list that starts at each word; gaps inside must be close.
 
-    Every word carries the next ``most`` - 1 words as one string and how many of the gaps before them are close;
-    a broadcast equi-join on the first word and a prefix test find the phrases.
+    ``phrases``: head, phrase, n, kind, ... A ``plain`` phrase's words are compared as they are and its gaps are white
+    space of the original text; a ``folded`` one's have plain apostrophes and gaps that are tight in the masked text.
+    Only words that begin a phrase leave their document's row, each with the words after it.
     """
-    order = Window.partitionBy("doc_id").orderBy("tok")
-    base = tokens.select("doc_id", "tok", "from", "to", word.alias("w"), close.alias("close"))
-    words = [F.lead("w", i).over(order) for i in range(1, most)]
-    reach = F.lit(most - 1)
-    for i in range(most - 1, 0, -1):
-        reach = F.when(~F.coalesce(F.lead("close", i).over(order), F.lit(False)), i - 1).otherwise(reach)
-    rows = base.select(
-        "doc_id", "tok", "from", "w", F.concat(F.concat_ws(" ", "w", *words), F.lit(" ")).alias("ahead"), reach.alias("reach"),
-        F.array("to", *[F.lead("to", i).over(order) for i in range(1, most)]).alias("ends"),
-    )
-    hits = rows.join(F.broadcast(phrases), rows["w"] == phrases["head"]).where(
-        (F.col("n") <= F.col("reach") + 1) & F.col("ahead").startswith(F.concat("phrase", F.lit(" ")))
+    toks = F.col("toks")
+    starts = F.filter(positions(toks), lambda i: among(fold_apostrophes(F.get(toks, i)["lower"], FOLDED), heads))
+    ahead = F.transform(starts, lambda i: F.struct(i.alias("tok"), F.slice(toks, i + 1, F.lit(most)).alias("next")))
+    rows = each(words, ["doc_id"], ahead)
+
+    def reach(close: Callable[[Column], Column]) -> Column:
+        out = F.lit(most - 1)
+        for i in range(most - 1, 0, -1):
+            out = F.when(~F.coalesce(close(F.get("next", F.lit(i))["gap"]), F.lit(False)), i - 1).otherwise(out)
+        return out
+
+    def joined(word: Callable[[Column], Column]) -> Column:
+        return F.concat(F.array_join(F.transform("next", lambda t: word(t["lower"])), " "), F.lit(" "))
+
+    rows = rows.select(
+        "doc_id", "tok", F.get("next", F.lit(0))["from"].alias("from"), F.transform("next", lambda t: t["to"]).alias("ends"),
+        joined(lambda w: w).alias("plain"), joined(lambda w: fold_apostrophes(w, FOLDED)).alias("folded"),
+        reach(lambda g: plain(g) & (F.length(g) <= 8)).alias("plain_reach"), reach(tight).alias("folded_reach"),
+    ).withColumn("w", F.substring_index("folded", " ", 1))
+    is_plain = F.col("kind") == "plain"
+    hits = rows.join(F.broadcast(phrases), F.col("w") == F.col("head")).where(
+        (F.col("n") <= F.when(is_plain, F.col("plain_reach")).otherwise(F.col("folded_reach")) + 1)
+        & F.when(is_plain, F.col("plain")).otherwise(F.col("folded")).startswith(F.concat("phrase", F.lit(" ")))
     )
-    best = hits.groupBy("doc_id", "tok").agg(
+    best = hits.groupBy("doc_id", "kind", "tok").agg(
         F.max_by(F.struct("from", F.element_at("ends", F.col("n")).alias("to"), "phrase", "rule", "severity", "n"), F.struct("n", "priority")).alias("x")
     )
-    spans = best.select("doc_id", "tok", (F.col("tok") + F.col("x.n") - 1).alias("last"), "x.from", "x.to", "x.phrase", "x.rule", "x.severity")
-    return greedy(spans, ["doc_id"], "tok", "last")
-
+    spans = best.select(
+        "doc_id", "kind", "tok", (F.col("tok") + F.col("x.n") - 1).alias("last"), "x.from", "x.to", "x.phrase", "x.rule", "x.severity"
+    )
+    return greedy(spans, ["doc_id", "kind"], "tok", "last")
 
-def _phrase_table(spark, rows: list[tuple[str, str, str, int]]) -> tuple[DataFrame, int]:
-    """(head, phrase, rule, severity, priority, n): a few hundred fixed rows; the longest phrase's words."""
-    table = [(p.split(" ")[0], p, rule, severity, priority, len(p.split(" "))) for p, rule, severity, priority in rows]
-    schema = "head string, phrase string, rule string, severity string, priority int, n int"
-    return spark.createDataFrame(table, schema), max((r[-1] for r in table), default=1)
 
+def phrases(words: DataFrame, options: RuleOptions, machine: bool = True) -> DataFrame:
+    """Hedging phrases and cliches, and words and phrases of machine prose where ``machine`` and the options allow.
 
-def phrases(document_tokens: DataFrame, options: RuleOptions) -> DataFrame:
-    """Hedging phrases and cliches; gaps are white space of the original text, at most eight characters."""
-    rows = [(p, "hedge", "info", 1) for p in L.HEDGE_PHRASES if options.enabled("hedge")]
-    rows += [(p, "cliche", "info", 0) for p in L.CLICHES if options.enabled("cliche")]
-    if not rows:
-        return document_tokens.sparkSession.createDataFrame([], MARK)
-    table, most = _phrase_table(document_tokens.sparkSession, rows)
-    close = plain(F.col("gap")) & (F.length("gap") <= 8)
-    found = _phrase_matches(document_tokens, table, F.col("lower"), close, most)
-    message = F.when(F.col("rule") == "hedge", MESSAGES["hedge"]).otherwise(MESSAGES["cliche"])
-    return found.select("doc_id", *_mark(F.col("rule"), F.col("severity"), message, F.col("phrase"), 3))
+    The first two have gaps of white space of the original text, at most eight characters.
+    """
+    table = [(p, "hedge", "info", 1, "plain", 3) for p in L.HEDGE_PHRASES if options.enabled("hedge")]
+    table += [(p, "cliche", "info", 0, "plain", 3) for p in L.CLICHES if options.enabled("cliche")]
+    return _phrase_marks(words, table + (_machine_table() if machine and options.enabled("deslop") else []))
 
 
-def machine_terms(document_tokens: DataFrame) -> DataFrame:
+def machine_terms(words: DataFrame) -> DataFrame:
     """Words and phrases of machine prose; apostrophes folded, gaps tight in the masked text."""
+    return _phrase_marks(words, _machine_table())
+
+
+def _machine_table() -> list[tuple]:
     entries: dict[str, str] = {}
     for severity, source in (("warn", L.MACHINE_PHRASES), ("info", L.MACHINE_WORDS)):
         for entry in source:
-            words = re.findall(WORD, entry.lower().replace("’", "'"))
-            entries.setdefault(" ".join(words), severity)
-    rows = [(p, "deslop", severity, 0) for p, severity in entries.items()]
-    table, most = _phrase_table(document_tokens.sparkSession, rows)
-    word = fold_apostrophes(F.col("lower"), "’‘‛")
-    found = _phrase_matches(document_tokens, table, word, tight(F.col("gap")), most)
-    return found.select("doc_id", *_mark("deslop", F.col("severity"), MESSAGES["deslop"], F.col("phrase"), 4))
+            entries.setdefault(" ".join(re.findall(WORD, entry.lower().replace("’", "'"))), severity)
+    return [(p, "deslop", severity, 0, "folded", 4) for p, severity in entries.items()]
+
+
+def _phrase_marks(words: DataFrame, rows: list[tuple]) -> DataFrame:
+    spark = words.sparkSession
+    if not rows:
+        return spark.createDataFrame([], MARK)
+    folded = str.maketrans(dict.fromkeys(FOLDED, "'"))
+    table = [(p.split(" ")[0].translate(folded), p, len(p.split(" ")), *rest[:4]) for p, *rest in rows]
+    # A few hundred fixed rows.
+    frame = spark.createDataFrame(table, "head string, phrase string, n int, rule string, severity string, priority int, kind string")
+    found = _phrase_matches(words, frame, sorted({r[0] for r in table}), max(r[2] for r in table))
+    message = reduce(lambda w, r: w.when(F.col("rule") == r, MESSAGES[r]), ("cliche", "deslop"), F.when(F.col("rule") == "hedge", MESSAGES["hedge"]))
+    marks = [_mark(F.col("from"), F.col("to"), F.col("rule"), F.col("severity"), message, F.col("phrase"), seq) for seq in (3, 4)]
+    return _rows(found, F.array(F.when(F.col("kind") == "plain", marks[0]).otherwise(marks[1])))
+
+
+def _with_dashes(sentences: DataFrame) -> DataFrame:
+    parts = F.when(F.contains("text", F.lit("—")), F.split("text", "—", -1)).otherwise(F.array().cast("array<string>"))
+    return sentences.withColumn("_dashes", parts)
+
+
+def _dash_marks() -> Column:
+    parts = F.col("_dashes")
+    ends = running(parts, F.col("from"), lambda at, x: at + F.length(x) + 1, lambda at, x: at + F.length(x), "array<int>")
+    marks = F.transform(F.slice(ends, F.lit(1), F.size(parts) - 1), lambda at: _mark(at, at + 1, "deslop", "info", MESSAGES["dash"], None, 5))
+    return F.when(F.size(parts) > 3, marks)
 
 
 def dash_piles(sentences: DataFrame) -> DataFrame:
     """Every em dash of a sentence that has three or more."""
-    parts = F.split("text", "—", -1)
-    many = sentences.where(F.size(parts) > 3).select("doc_id", "from", "to", "sent_idx", F.posexplode(parts).alias("n", "part"))
-    upto = F.sum(F.length("part") + 1).over(Window.partitionBy("doc_id", "sent_idx").orderBy("n"))
-    placed = many.select("doc_id", "to", (F.col("from") + upto).alias("end")).where("end <= to")
-    spans = placed.select("doc_id", (F.col("end") - 1).alias("from"), F.col("end").alias("to"))
-    return spans.select("doc_id", *_mark("deslop", "info", MESSAGES["dash"], None, 5))
+    return _rows(_with_dashes(sentences), _dash_marks())
 
 
 def reframes(documents: DataFrame) -> DataFrame:
     """The three reframing constructions, overlaps removed from left to right, longest first."""
     text = masked(F.col("solid"))
-
-    def spans(pattern: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-        kind = "array<struct<from:int,to:int>>"
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-
-        def step(a: Column, x: Column) -> Column:
-            at = a["at"] + F.length(x["g"])
-            end = at + F.length(x["m"])
-            return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(at.alias("from"), end.alias("to")))).alias("spans"))
-
-        return F.aggregate(pairs, start, step, lambda a: a["spans"])
-
-    maybe = text.rlike("(?i)not|isn['’]t|aren['’]t")
-    found = documents.where(maybe).select("doc_id", F.explode(F.concat(*map(spans, REFRAMES))).alias("x")).select("doc_id", "x.*")
+    rows = documents.where(text.rlike("(?i)not|isn['’]t|aren['’]t")).select("doc_id", text.alias("text"))
+    names = []
+    for k, pattern in enumerate(REFRAMES):
+        m, g = f"_m{k}", f"_g{k}"
+        rows = rows.withColumn(m, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).withColumn(g, F.split("text", pattern, -1))
+        rows = rows.withColumn(f"_p{k}", F.arrays_zip(F.col(m).alias("m"), F.slice(g, F.lit(1), F.size(m)).alias("g"))).drop(m, g)
+        names.append(f"_p{k}")
+
+    def spans(name: str) -> Column:
+        def span(at: Column, x: Column) -> Column:
+            low = at + F.length(x["g"])
+            return F.struct(low.alias("from"), (low + F.length(x["m"])).alias("to"))
+
+        return running(F.col(name), F.lit(0), lambda at, x: at + F.length(x["g"]) + F.length(x["m"]), span, "array<struct<from:int,to:int>>")
+
+    found = each(rows, ["doc_id"], F.concat(*map(spans, names)))
     longest = found.groupBy("doc_id", "from").agg(F.max("to").alias("to"))
     kept = greedy(longest.withColumn("last", F.col("to") - 1), ["doc_id"], "from", "last")
-    return kept.select("doc_id", *_mark("deslop", "warn", MESSAGES["reframe"], None, 6))
+    return _rows(kept, F.array(_mark(F.col("from"), F.col("to"), "deslop", "warn", MESSAGES["reframe"], None, 6)))
 
 
-def candidates(documents: DataFrame, sentences: DataFrame, tokens: DataFrame, doc_tokens: DataFrame, options: RuleOptions) -> DataFrame:
-    """The bag union of the enabled rules' marks; rules that are off are not planned at all."""
+def sentence_marks(sentences: DataFrame, options: RuleOptions) -> DataFrame | None:
+    """Marks of all enabled rules that look at one sentence, from one pass over the documents."""
     parts = []
     if options.enabled("longSentence"):
-        parts.append(long_sentences(sentences, options))
-    if any(map(options.enabled, ("weasel", "hedge", "adverb"))):
-        parts.append(lexical(tokens, options))
+        parts.append(_long_marks(options))
+    if (lexical_marks := _lexical_marks(options)) is not None:
+        parts.append(lexical_marks)
     if options.enabled("doubled"):
-        parts.append(doubled(tokens))
+        parts.append(_doubled_marks())
     if options.enabled("passive"):
-        parts.append(passive(tokens))
-    if options.enabled("hedge") or options.enabled("cliche"):
-        parts.append(phrases(doc_tokens, options))
+        sentences = _with_passive(sentences)
+        parts.append(_passive_marks())
+    if options.enabled("deslop"):
+        sentences = _with_dashes(sentences)
+        parts.append(_dash_marks())
+    none = F.array().cast(MARKS)
+    return _rows(sentences, F.concat(*[F.coalesce(p.cast(MARKS), none) for p in parts])) if parts else None
+
+
+def candidates(documents: DataFrame, sentences: DataFrame, words: DataFrame, options: RuleOptions) -> DataFrame:
+    """The bag union of the enabled rules' marks; rules that are off are not planned at all.
+
+    ``words`` are word arrays of whole documents. Three passes over the documents at most.
+    """
+    parts = [sentence_marks(sentences, options)]
+    if any(map(options.enabled, ("hedge", "cliche", "deslop"))):
+        parts.append(phrases(words, options))
     if options.enabled("deslop"):
-        parts += machine_marks(documents, sentences, doc_tokens)
-    if not parts:
-        return documents.sparkSession.createDataFrame([], MARK)
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(reframes(documents))
+    found = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, found) if found else documents.sparkSession.createDataFrame([], MARK)
 
 
-def machine_marks(documents: DataFrame, sentences: DataFrame, doc_tokens: DataFrame) -> list[DataFrame]:
-    return [machine_terms(doc_tokens), dash_piles(sentences), reframes(documents)]
+def machine_marks(documents: DataFrame, sentences: DataFrame, words: DataFrame) -> list[DataFrame]:
+    return [machine_terms(words), dash_piles(sentences), reframes(documents)]

@@ -18,17 +18,14 @@ class ProseEngine:
     """Plans over ``docs`` (doc_id, text). Nothing runs until a result is written or collected.
 
     ``markdown`` masks what is not prose; ``segmenter`` is ``unicode`` or ``regex``. doc_id must identify a
-    document. Only enabled rules are planned. ``keep`` persists sentences and words for several results.
+    document. Only enabled rules are planned. Everything up to the marks happens inside each document's row, so texts are
+    not shuffled, and nothing is persisted.
     """
 
     docs: DataFrame
     options: RuleOptions = field(default_factory=RuleOptions)
     markdown: bool = True
     segmenter: str = "unicode"
-    keep: bool = False
-
-    def _kept(self, df: DataFrame) -> DataFrame:
-        return df.persist() if self.keep else df
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -40,24 +37,29 @@ class ProseEngine:
 
     @cached_property
     def sentences(self) -> DataFrame:
-        return self._kept(segment.sentences(self.documents, self.segmenter))
+        return segment.sentences(self.documents, self.segmenter)
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self._kept(segment.tokens(self.sentences))
+        return segment.tokens(self.sentences)
 
     @cached_property
     def document_tokens(self) -> DataFrame:
-        return self._kept(segment.document_tokens(self.documents))
+        return segment.document_tokens(self.documents)
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """The words of each document as one array."""
+        return segment.word_arrays(self.documents)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return rules.candidates(self.documents, self.sentences, self.tokens, self.document_tokens, self.options)
+        return rules.candidates(self.documents, self.sentences, self.words, self.options)
 
     @cached_property
     def marks(self) -> DataFrame:
         kept = resolve.drop_ignored(self.candidates, self.options.ignored())
-        return self._kept(resolve.resolve_containment(kept).drop("seq"))
+        return resolve.resolve_containment(kept).drop("seq")
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -85,7 +87,7 @@ class ProseEngine:
         return measures.bands(self.sentences, options)
 
     def echoes(self, options: measures.EchoOptions = measures.EchoOptions()) -> DataFrame:
-        return measures.echoes(self.tokens, options)
+        return measures.echoes(segment.sentence_arrays(self.documents, self.segmenter), options)
 
     def legend(self) -> DataFrame:
         shown = [(r, name) for r, (name, _) in RULES.items() if self.options.enabled(r)]
@@ -93,7 +95,7 @@ class ProseEngine:
 
     def machine_prose_count(self) -> DataFrame:
         """Candidates of machine prose before the ignore list and containment, for every document."""
-        found = reduce(DataFrame.unionByName, rules.machine_marks(self.documents, self.sentences, self.document_tokens))
+        found = reduce(DataFrame.unionByName, rules.machine_marks(self.documents, self.sentences, self.words))
         counts = found.groupBy("doc_id").agg(F.count("*").alias("n"))
         return self.documents.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 

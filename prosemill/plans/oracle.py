@@ -5,6 +5,7 @@ from __future__ import annotations
 from prosemill.functions import lexicons as L
 from prosemill.operators.measures import METRICS
 from prosemill.operators.resolve import RANKS
+from prosemill.plans import fixtures
 
 SPACES = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?:[''’-][A-Za-zÀ-ÖØ-öø-ÿ]+)*"
@@ -226,7 +227,39 @@ def _passthrough(table: str) -> str:
     return f"{DOCUMENTS} {SPAN}{table}"
 
 
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MIDDLES = f"""SELECT doc_id, m AS cursor, CASE WHEN regexp_matches(w, '[{LETTERS}]') THEN w END AS word FROM (
+  SELECT doc_id, m, regexp_replace(regexp_extract(substr(text, 1, m), '[{LETTERS}''’-]*$') || regexp_extract(substr(text, m + 1), '^[{LETTERS}''’-]*'),
+    '^[-''’]+|[-''’]+$', '', 'g') AS w
+  FROM (SELECT doc_id, text, (length(text) // 2)::INT AS m FROM documents WHERE text IS NOT NULL))"""
+MONOTONE = f"""{DOCUMENTS},
+lens AS (SELECT doc_id, list(words ORDER BY sent_idx) AS ls FROM sentences GROUP BY doc_id),
+walk AS (
+  SELECT doc_id, ls, 1 AS start, 1 AS pos, ls[1] AS lo, ls[1] AS hi, 0 AS found FROM lens
+  UNION ALL
+  SELECT doc_id, ls, CASE WHEN fits THEN start WHEN pos - start >= 3 THEN pos + 1 ELSE start + 1 END,
+    CASE WHEN fits OR pos - start >= 3 THEN pos + 1 ELSE start + 1 END,
+    CASE WHEN fits THEN least(lo, ls[pos + 1]) WHEN pos - start >= 3 THEN ls[pos + 1] ELSE ls[start + 1] END,
+    CASE WHEN fits THEN greatest(hi, ls[pos + 1]) WHEN pos - start >= 3 THEN ls[pos + 1] ELSE ls[start + 1] END,
+    CASE WHEN NOT fits AND pos - start >= 3 THEN pos - start + 1 ELSE 0 END
+  FROM (SELECT *, pos < len(ls) AND greatest(hi, ls[pos + 1]) - least(lo, ls[pos + 1]) <= 3 AS fits FROM walk WHERE start <= len(ls)))
+SELECT d.doc_id, coalesce(r.runs, 0)::INT AS runs, coalesce(r.total, 0)::INT AS "flatSentences"
+FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS runs, sum(found) AS total FROM walk WHERE found > 0 GROUP BY doc_id) r USING (doc_id)"""
+
 ORACLE_SQL = {
+    **fixtures.ORACLE_SQL,
+    "moved": f"SELECT doc_id, bool_or(delta <> 0) AS moved FROM ({_delta()}) GROUP BY doc_id",
+    "changed_documents": "SELECT doc_id, sha256(coalesce(text, '')) AS text_hash FROM documents WHERE doc_id % 3 <> 0",
+    "fifth_adverbs": f"""{DOCUMENTS}, own AS (SELECT doc_id, start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop) - 1 AS place,
+count(*) OVER (PARTITION BY doc_id) AS n FROM lexical WHERE rule = 'adverb') SELECT doc_id, start, stop FROM own WHERE place = 5 % n""",
+    "words_at_middle": MIDDLES,
+    "marks_at_middle": f"""{DOCUMENTS}, middles AS ({MIDDLES}) SELECT l.doc_id, cursor, start, stop, rule FROM middles m JOIN lexical l
+ON l.doc_id = m.doc_id AND l.word = lower(m.word) WHERE cursor BETWEEN start AND stop""",
+    "dimmed": f"""{DOCUMENTS}, cursors AS (SELECT doc_id, length(text) AS n, (length(text) // 2)::INT AS cursor FROM documents WHERE text IS NOT NULL),
+here AS (SELECT doc_id, n, cursor, s.start, s.stop FROM cursors JOIN sentences s USING (doc_id) WHERE cursor BETWEEN s.start AND s.stop
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s.start, s.stop) = 1)
+SELECT doc_id, cursor, concat_ws(',', CASE WHEN start > 0 THEN '0-' || start END, CASE WHEN stop < n THEN stop || '-' || n END) AS ranges FROM here""",
+    "monotone_runs": MONOTONE,
     "word_counts": f"{DOCUMENTS} SELECT doc_id, count(*) AS words, count(DISTINCT lower) AS distinct_words FROM tokens GROUP BY doc_id",
     "syllable_totals": f"{DOCUMENTS} SELECT doc_id, sum({syllables('token')})::BIGINT AS syllables FROM tokens GROUP BY doc_id",
     "sentences": f"{DOCUMENTS} SELECT doc_id, sent_idx, start, stop, words, syllables FROM sentences",

@@ -8,11 +8,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.functions.text import skip_text, status_text, syllables
+from prosemill.functions.text import skip_text, status_text, syllables, word_at
 from prosemill.operators import measures, navigate, resolve, rules
+from prosemill.plans import fixtures
 from prosemill.plans.engine import ProseEngine
 from prosemill.plans.options import RuleOptions
-from prosemill.sources.documents import guard
+from prosemill.sources.documents import changed, guard
 from prosemill.streaming.revisions import baselines, debounce
 
 #: Rules that SQL expresses in full. Hedges, cliches and machine prose do not run under these, so their counts are
@@ -31,12 +32,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain(spark: SparkSession, sf_dir: str, options: RuleOptions = RELATIONAL) -> ProseEngine:
     """Documents as plain prose, regex sentences: the form whose results SQL can state."""
-    return ProseEngine(_documents(spark, sf_dir), options, markdown=False, segmenter="regex", keep=True)
+    return ProseEngine(_documents(spark, sf_dir), options, markdown=False, segmenter="regex")
 
 
 def full(spark: SparkSession, sf_dir: str) -> ProseEngine:
     """Documents as Markdown, Unicode sentences, every rule."""
-    return ProseEngine(_documents(spark, sf_dir), RuleOptions(is_pro=True), keep=True)
+    return ProseEngine(_documents(spark, sf_dir), RuleOptions(is_pro=True))
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,25 +74,25 @@ def _spans(marks: DataFrame) -> DataFrame:
 
 
 def lexical_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(rules.lexical(plain(spark, sf_dir).tokens, RuleOptions()))
+    return _spans(rules.lexical(plain(spark, sf_dir).sentences, RuleOptions()))
 
 
 def adverb_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = RuleOptions(rules={"weasel": False, "hedge": False})
-    return _spans(rules.lexical(plain(spark, sf_dir).tokens, only))
+    return _spans(rules.lexical(plain(spark, sf_dir).sentences, only))
 
 
 def doubled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(rules.doubled(plain(spark, sf_dir).tokens))
+    return _spans(rules.doubled(plain(spark, sf_dir).sentences))
 
 
 def passive_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(rules.passive(plain(spark, sf_dir).tokens))
+    return _spans(rules.passive(plain(spark, sf_dir).sentences))
 
 
 def long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.long_sentences(plain(spark, sf_dir).sentences, RuleOptions())
-    return _spans(rows).drop("word").join(rows.select("doc_id", F.col("from").alias("start"), "message"), ["doc_id", "start"])
+    return rows.select("doc_id", F.col("from").alias("start"), F.col("to").alias("stop"), "rule", "severity", "message")
 
 
 def relational_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ def relational_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ignored_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.lexical(plain(spark, sf_dir).tokens, RuleOptions())
+    found = rules.lexical(plain(spark, sf_dir).sentences, RuleOptions())
     return _spans(resolve.drop_ignored(found, RuleOptions(ignored_words=(" Erly", "thly", "inly")).ignored()))
 
 
@@ -151,15 +152,61 @@ def full_revision_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _delta(spark: SparkSession, sf_dir: str, engine: Callable[[DataFrame], ProseEngine]) -> DataFrame:
     ends = baselines(_turns(spark, sf_dir))
-    sides = [engine(ends.select("doc_id", F.col(side)["text"].alias("text"))).snapshot for side in ("before", "after")]
-    return measures.delta(*sides).select("doc_id", "key", "before", "after", "delta", "better")
+    sides = F.array(*[F.struct(F.struct("doc_id", F.lit(side).alias("side")).alias("doc_id"), F.col(side)["text"].alias("text")) for side in ("before", "after")])
+    snapshots = engine(ends.select(F.explode(sides).alias("x")).select("x.*")).snapshot
+    own = snapshots.select(F.col("doc_id.side").alias("side"), F.col("doc_id.doc_id").alias("doc_id"), *[c for c in snapshots.columns if c != "doc_id"])
+    return measures.side_delta(own).select("doc_id", "key", "before", "after", "delta", "better")
+
+
+def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any metric of a conversation moved between its first and last turn."""
+    return measures.has_moved(revision_delta(spark, sf_dir))
+
+
+def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are new or not as they were, against a store of two thirds of them, half of those in another form."""
+    docs = _documents(spark, sf_dir)
+    text = F.coalesce("text", F.lit(""))
+    known = docs.where("doc_id % 3 < 2").select("doc_id", F.sha2(F.when(F.col("doc_id") % 3 == 0, text).otherwise(F.concat(text, F.lit("x"))), 256).alias("text_hash"))
+    return changed(docs, known).select("doc_id", "text_hash")
+
+
+def fifth_adverbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mark that five steps along the adverbs of each document lead to, counted round."""
+    walks = _documents(spark, sf_dir).select("doc_id", F.lit("adverb").alias("rule"), F.lit(5).alias("step"))
+    found = navigate.nth_of_rule(rules.lexical(plain(spark, sf_dir).sentences, RuleOptions()), walks)
+    return found.select("doc_id", F.col("from").alias("start"), F.col("to").alias("stop"))
+
+
+def _middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    middle = F.floor(F.length("text") / 2).cast("int")
+    return _documents(spark, sf_dir).where("text is not null").select("doc_id", middle.alias("cursor"), word_at(F.col("text"), middle).alias("word"))
+
+
+def words_at_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _middles(spark, sf_dir)
+
+
+def marks_at_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical mark of the word in the middle of each document."""
+    lookups = _middles(spark, sf_dir).withColumn("word", F.lower("word"))
+    found = navigate.mark_of_word(rules.lexical(plain(spark, sf_dir).sentences, RuleOptions()), lookups)
+    return found.select("doc_id", "cursor", F.col("from").alias("start"), F.col("to").alias("stop"), "rule")
+
+
+def dimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is dimmed around the sentence in the middle of each document."""
+    lengths = _documents(spark, sf_dir).select("doc_id", F.length("text").alias("length"))
+    found = navigate.focus_ranges(plain(spark, sf_dir).sentences, _middles(spark, sf_dir).drop("word"), lengths)
+    shown = F.transform("ranges", lambda r: F.concat_ws("-", r["from"], r["to"]))
+    return found.select("doc_id", "cursor", F.array_join(shown, ",").alias("ranges"))
 
 
 def next_mark(spark: SparkSession, sf_dir: str, forward: bool = True) -> DataFrame:
     """The lexical mark after, or before, the middle of each document, going round at the ends."""
     engine = plain(spark, sf_dir)
     cursors = _documents(spark, sf_dir).select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("cursor"))
-    found = navigate.step_mark(rules.lexical(engine.tokens, RuleOptions()), cursors, forward)
+    found = navigate.step_mark(rules.lexical(engine.sentences, RuleOptions()), cursors, forward)
     return found.select("doc_id", "cursor", F.col("from").alias("start"), F.col("to").alias("stop"), "rule")
 
 
@@ -241,4 +288,11 @@ QUERIES: dict[str, Query] = {
     "full_monotone_runs": partial(monotone_runs, engine=full),
     "full_echoes": partial(echoes, engine=full),
     "full_cursor_sentence": partial(cursor_sentence, engine=full),
+    "moved": moved,
+    "changed_documents": changed_documents,
+    "fifth_adverbs": fifth_adverbs,
+    "words_at_middle": words_at_middle,
+    "marks_at_middle": marks_at_middle,
+    "dimmed": dimmed,
+    **fixtures.QUERIES,
 }
