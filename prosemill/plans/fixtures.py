@@ -69,7 +69,7 @@ SETTINGS = (
 def _unmarked(case: str) -> tuple[str, list[tuple[int, int, str]]]:
     """The text without its marks, and the marked spans with what stands before their colon."""
     out, spans, at = "", [], 0
-    for m in re.finditer("⟦(?:([A-Za-z]+):)?(.*?)⟧", case, re.DOTALL):
+    for m in re.finditer("⟦(?:([A-Za-z]+):(?!/))?(.*?)⟧", case, re.DOTALL):
         out += case[at : m.start()]
         spans.append((len(out), len(out) + len(m[2]), m[1] or ""))
         out += m[2]
