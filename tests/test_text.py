@@ -50,3 +50,10 @@ def test_lists_are_clean():
         assert len(set(words)) == len(words) and all(w == w.lower().strip() for w in words)
     assert not set(L.WEASELS) & set(L.HEDGES)
     assert not set(L.IRREGULAR_PARTICIPLES) & set(L.NOT_PARTICIPLES)
+
+
+def test_lists_that_must_not_overlap():
+    """A word with two rules, or a phrase with two meanings, would be marked by list order alone."""
+    for a, b in ((L.WEASELS, L.HEDGES), (L.HEDGE_PHRASES, L.CLICHES), (L.MACHINE_WORDS, L.MACHINE_PHRASES), (L.BE_FORMS, L.GET_FORMS)):
+        assert set(a).isdisjoint(b)
+    assert set(L.NOT_ADVERBS).isdisjoint(L.WEASELS)
