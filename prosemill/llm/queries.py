@@ -1,12 +1,15 @@
-"""The queries of this subpackage. SQL expresses none of them; tests hold each against a brute-force version."""
+"""The queries of this subpackage, and SQL for those that it can express; tests hold the others against a brute-force version."""
 
 from __future__ import annotations
 
+from prosemill.llm import merkle
+from prosemill.llm.align import op13_alignment
 from prosemill.llm.ann import op2_neighbours
 from prosemill.llm.bpe import op8_bpe
 from prosemill.llm.chat import op7_chat
 from prosemill.llm.html_text import op3_html
 from prosemill.llm.langid import op6_language
+from prosemill.llm.merkle import op12_manifest
 from prosemill.llm.mixing import op5_mixing
 from prosemill.llm.pii import op9_personal_data
 from prosemill.llm.secrets import op10_secrets
@@ -24,6 +27,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_personal_data": op9_personal_data,
     "op10_secrets": op10_secrets,
+    "op12_manifest": op12_manifest,
+    "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_manifest": merkle.ORACLE_SQL}
