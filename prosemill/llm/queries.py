@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prosemill.llm import merkle
+from prosemill.llm import merkle, warc
 from prosemill.llm.align import op13_alignment
 from prosemill.llm.ann import op2_neighbours
 from prosemill.llm.bpe import op8_bpe
@@ -15,6 +15,7 @@ from prosemill.llm.pii import op9_personal_data
 from prosemill.llm.secrets import op10_secrets
 from prosemill.llm.simhash import op1_simhash
 from prosemill.llm.sketch import op4_fingerprints
+from prosemill.llm.warc import op11_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -27,8 +28,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_personal_data": op9_personal_data,
     "op10_secrets": op10_secrets,
+    "op11_warc": op11_warc,
     "op12_manifest": op12_manifest,
     "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_manifest": merkle.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_warc": warc.ORACLE_SQL, "op12_manifest": merkle.ORACLE_SQL}
