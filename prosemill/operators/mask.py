@@ -6,10 +6,8 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Stands in the solid form for a masked character that was not white space; other uses of it become SUBSTITUTE.
 HOLE, SUBSTITUTE = "\ue000", "\ue001"
@@ -153,11 +151,6 @@ def solid_text(text: str | None) -> str:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(T.StringType())
-def solid(texts: pd.Series) -> pd.Series:
-    return texts.map(solid_text)
-
-
 def masked(solid_column: Column) -> Column:
     """The masked text of a solid one: as long as the original, everything that is not prose a space."""
     return F.translate(solid_column, HOLE, " ")

@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.functions import lexicons as L
-from prosemill.functions.arrays import each, positions, runs
-from prosemill.functions.text import band, bar_width, base_form, clamp, ease_label, round1, sane_count
+from prosemill.functions.arrays import each
+from prosemill.functions.text import band, bar_width, clamp, ease_label, round1, sane_count
 
 # The compared metrics in order, their labels, and whether more is better (1), worse (-1) or neither.
 METRICS = (
@@ -30,34 +29,42 @@ METRICS = (
 FLAT = ("words", "grade", "flesch", "avgSentenceWords")
 
 
-def readability(documents: DataFrame, sentences: DataFrame) -> DataFrame:
-    """One row for each document; one without words has zeros everywhere, its sentences included."""
-    sums = sentences.groupBy("doc_id").agg(
-        F.sum("words").alias("w"), F.count("*").alias("n"), F.sum("syllables").alias("syl"), F.max("words").alias("longest")
-    )
-    spoken = F.coalesce(F.col("w"), F.lit(0)) > 0
+READABILITY_FIELDS = ("words", "syllables")
+SCORES = ("words", "sentences", "syllables", "flesch", "grade", "avgSentenceWords", "longestSentenceWords", "ease")
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def readability(scanned: DataFrame) -> DataFrame:
+    """``doc_id`` and ``SCORES`` of each document, from the words and syllables of its sentences, within its row.
+
+    A document without words has zeros everywhere, its sentences included.
+    """
+    sums = scanned.select(
+        *[c for c in scanned.columns if c not in ("words", "syllables")],
+        _sum(F.col("words")).alias("w"), F.size("words").alias("n"), _sum(F.col("syllables")).alias("syl"), F.array_max("words").alias("longest"),
+    )
+    spoken = F.col("w") > 0
 
     def kept(x: Column) -> Column:
         return F.when(spoken, x).otherwise(0)
 
-    per_sentence, per_word = F.col("w") / F.col("n"), F.col("syl") / F.col("w")
+    per_sentence, per_word = F.try_divide("w", "n"), F.try_divide("syl", "w")
     flesch = clamp(206.835 - 1.015 * per_sentence - 84.6 * per_word, 0.0, 100.0)
     grade = F.greatest(0.39 * per_sentence + 11.8 * per_word - 15.59, F.lit(0.0))
-    return (
-        documents.select("doc_id")
-        .join(sums, "doc_id", "left")
-        .select(
-            "doc_id",
-            kept(F.col("w")).cast("long").alias("words"),
-            kept(F.col("n")).cast("long").alias("sentences"),
-            kept(F.col("syl")).cast("long").alias("syllables"),
-            round1(kept(flesch)).alias("flesch"),
-            round1(kept(grade)).alias("grade"),
-            round1(kept(per_sentence)).alias("avgSentenceWords"),
-            kept(F.col("longest")).cast("long").alias("longestSentenceWords"),
-        )
-        .withColumn("ease", ease_label(F.col("flesch")))
-    )
+    scores = {
+        "words": kept(F.col("w")).cast("long"),
+        "sentences": kept(F.col("n")).cast("long"),
+        "syllables": kept(F.col("syl")).cast("long"),
+        "flesch": round1(kept(flesch)),
+        "grade": round1(kept(grade)),
+        "avgSentenceWords": round1(kept(per_sentence)),
+        "longestSentenceWords": kept(F.col("longest")).cast("long"),
+    }
+    others = [c for c in sums.columns if c not in ("w", "n", "syl", "longest")]
+    return sums.select(*others, *[x.alias(c) for c, x in scores.items()]).withColumn("ease", ease_label(F.col("flesch")))
 
 
 @dataclass(frozen=True)
@@ -112,27 +119,33 @@ def monotone_runs(lengths: list[int], run: int = 4, spread: float = 3) -> list[d
 
 
 def rhythm(documents: DataFrame, sentences: DataFrame, options: RhythmOptions = RhythmOptions()) -> DataFrame:
-    """Lengths, bands, monotone runs and variety of each document's sentences."""
+    """The rhythm of documents whose sentences (doc_id, sent_idx, words) are rows."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "words"))), lambda s: s["words"])
+    grouped = sentences.groupBy("doc_id").agg(ordered.alias("words"))
+    return rhythm_of(documents.select("doc_id").join(grouped, "doc_id", "left"), options)
+
+
+def rhythm_of(scanned: DataFrame, options: RhythmOptions = RhythmOptions()) -> DataFrame:
+    """Lengths, bands, monotone runs and variety of each document's sentences, from ``words``, the array of their lengths.
+
+    All are of the same counts: null and negative ones are 0. A null array is empty.
+    """
     run, spread = int(options.run), options.spread
 
     @F.pandas_udf("array<struct<fromIndex:int,toIndex:int,length:int>>")
     def runs(lengths: pd.Series) -> pd.Series:
         return lengths.map(lambda x: monotone_runs([] if x is None else list(x), run, spread))
 
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", sane_count(F.col("words")).alias("words")))), lambda s: s["words"])
-    grouped = sentences.groupBy("doc_id").agg(
-        ordered.alias("lengths"), F.count("*").alias("n"), F.stddev_pop("words").alias("deviation")
-    )
+    sane = F.transform(F.coalesce("words", F.array().cast("array<int>")), sane_count)
+    full = scanned.select("doc_id", sane.alias("lengths")).withColumn("mean", F.try_divide(_sum(F.col("lengths")), F.size("lengths")))
     named = F.transform("lengths", lambda w: band(w, options.short_max, options.long_min, options.very_long_min))
-    full = documents.select("doc_id").join(grouped, "doc_id", "left").withColumn(
-        "lengths", F.coalesce("lengths", F.array().cast("array<int>"))
-    )
+    squares = F.aggregate("lengths", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
     return full.select(
         "doc_id",
         "lengths",
         named.alias("bands"),
         runs("lengths").alias("monotoneRuns"),
-        F.when(F.col("n") >= 2, round1(F.col("deviation"))).otherwise(0.0).alias("variety"),
+        F.when(F.size("lengths") >= 2, round1(F.sqrt(F.try_divide(squares, F.size("lengths"))))).otherwise(0.0).alias("variety"),
     )
 
 
@@ -142,13 +155,17 @@ def flat_sentences(rhythms: DataFrame) -> DataFrame:
     return rhythms.select("doc_id", F.size("monotoneRuns").alias("runs"), total.alias("flatSentences"))
 
 
-def bands(sentences: DataFrame, options: RhythmOptions = RhythmOptions()) -> DataFrame:
-    """Band, class and bar width of every sentence."""
+BAND_FIELDS = ("sent_from", "sent_to", "words")
+
+
+def bands(scanned: DataFrame, options: RhythmOptions = RhythmOptions()) -> DataFrame:
+    """Band, class and bar width of every sentence; the longest one is found in the document's row."""
+    items = F.arrays_zip(F.col("sent_from").alias("from"), F.col("sent_to").alias("to"), "words")
+    rows = scanned.select("doc_id", F.array_max("words").alias("longest"), items.alias("items"))
     name = band(F.col("words"), options.short_max, options.long_min, options.very_long_min)
-    longest = F.max("words").over(Window.partitionBy("doc_id"))
-    return sentences.select(
+    return each(rows, ["doc_id", "longest"], "items", "sent_idx").select(
         "doc_id", "sent_idx", "from", "to", "words", name.alias("band"),
-        F.concat(F.lit("pl-heat pl-heat-"), F.lower(name)).alias("css_class"), bar_width(F.col("words"), longest).alias("bar_width"),
+        F.concat(F.lit("pl-heat pl-heat-"), F.lower(name)).alias("css_class"), bar_width(F.col("words"), F.col("longest")).alias("bar_width"),
     )
 
 
@@ -170,102 +187,34 @@ class EchoOptions:
         return cls(**ok)
 
 
-def _repeated_terms(sentence_arrays: DataFrame, options: EchoOptions) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of the terms that a document has often enough, and its words that are always capitalised.
-
-    Both are worked out inside the document's row: its terms are sorted and only runs of equal ones leave it, which
-    are few, so nothing else is shuffled.
-    """
-
-    def stop(lower: Column) -> Column:
-        return lower.isin(*L.STOPWORDS) | base_form(lower).isin(*L.STOPWORDS)
-
-    def entries(s: Column) -> Column:
-        def entry(t: Column, i: Column) -> Column:
-            capital = F.substr(t["token"], F.lit(1), F.lit(1)) != F.substr(t["lower"], F.lit(1), F.lit(1))
-            return F.struct(
-                t["from"].alias("from"), t["lower"].alias("lower"), stop(t["lower"]).alias("stop"), capital.alias("cap"), (i > 0).alias("mid")
-            )
-
-        return F.transform(s["toks"], entry)
-
-    def terms(e: Column, sent_idx: Column) -> Column:
-        none = F.lit(None).cast("int")
-        ones = F.transform(
-            F.filter(e, lambda x: ~x["stop"] & (F.length(x["lower"]) >= options.min_length)),
-            lambda x: F.struct(F.lit("word").alias("kind"), x["lower"].alias("term"), sent_idx.alias("sent_idx"), x["from"].alias("from"), none.alias("second")),
-        )
-        twos = F.transform(
-            F.filter(positions(e, 1), lambda i: ~(F.get(e, i)["stop"] & F.get(e, i - 1)["stop"])),
-            lambda i: F.struct(
-                F.lit("phrase").alias("kind"), F.concat_ws(" ", F.get(e, i - 1)["lower"], F.get(e, i)["lower"]).alias("term"),
-                sent_idx.alias("sent_idx"), F.get(e, i - 1)["from"].alias("from"), F.get(e, i)["from"].alias("second"),
-            ),
-        )
-        return F.concat(ones, twos)
-
-    rows = sentence_arrays.select("doc_id", F.transform("sents", entries).alias("_e"))
-    names = F.transform(F.filter(F.flatten("_e"), lambda x: x["mid"]), lambda x: F.struct(x["lower"].alias("name"), x["cap"].alias("cap")))
-    listed = rows.withColumn("terms", F.sort_array(F.flatten(F.transform("_e", terms))))
-    frequent = each(listed, ["doc_id"], runs(F.col("terms"), lambda a, b: (a["term"] == b["term"]) & (a["kind"] == b["kind"]), options.min_count))
-    named, own = rows.withColumn("names", F.sort_array(names)), F.col("names")
-    first = F.filter(positions(own), lambda i: F.get(own, i)["cap"] & ((i == 0) | (F.get(own, i - 1)["name"] != F.get(own, i)["name"])))
-    proper = each(named, ["doc_id"], F.transform(first, lambda i: F.struct(F.get(own, i)["name"].alias("name"))))
-    return frequent, proper
-
-
-def echoes(sentence_arrays: DataFrame, options: EchoOptions = EchoOptions()) -> DataFrame:
+def echoes(scanned: DataFrame, options: EchoOptions = EchoOptions()) -> DataFrame:
     """Words and word pairs repeated within a few sentences: doc_id, term, kind, count, offsets.
 
-    A term qualifies if its count over some window of sentences reaches the least count (a range window over its
-    sentences). Proper nouns (always capitalised inside sentences) and pairs that land exactly on a reported word are
-    left out; the most frequent ``most`` terms of each document stay.
+    A scan's ``terms`` are those whose count over some window of sentences reaches the least count. Proper nouns (always
+    capitalised inside sentences) and pairs that land exactly on a repeated word are left out; the most frequent ``most`` terms
+    of each document stay. All in the document's row: nothing is shuffled.
     """
-    terms, proper = _repeated_terms(sentence_arrays, options)
-    recent = Window.partitionBy("doc_id", "kind", "term").orderBy("sent_idx").rangeBetween(-(options.window - 1), 0)
-    echoed = (
-        terms.groupBy("doc_id", "kind", "term", "sent_idx")
-        .agg(F.count("*").alias("n"))
-        .withColumn("near", F.sum("n").over(recent))
-        .where(F.col("near") >= options.min_count)
-        .select("doc_id", "kind", "term")
-        .distinct()
-    )
-    found = terms.join(echoed, ["doc_id", "kind", "term"], "left_semi").groupBy("doc_id", "kind", "term").agg(
-        F.count("*").alias("count"), F.sort_array(F.collect_list("from")).alias("offsets"), F.sort_array(F.collect_list("second")).alias("seconds")
-    )
-    halves = found.select("*", F.substring_index("term", " ", 1).alias("first"), F.substring_index("term", " ", -1).alias("last"))
-    for side in ("first", "last"):
-        halves = halves.join(proper.withColumnRenamed("name", side), ["doc_id", side], "left_anti")
-    # Every word that echoes hides a pair with the same occurrences, whether the word itself is reported or not.
-    word_rows = found.where("kind = 'word'")
-    kept = (
-        halves.join(word_rows.select("doc_id", F.col("term").alias("first"), F.col("offsets").alias("o1")), ["doc_id", "first"], "left")
-        .join(word_rows.select("doc_id", F.col("term").alias("last"), F.col("offsets").alias("o2")), ["doc_id", "last"], "left")
-        .where(
-            (F.col("kind") == "word")
-            | ~(F.coalesce(F.col("o1") == F.col("offsets"), F.lit(False)) | F.coalesce(F.col("o2") == F.col("seconds"), F.lit(False)))
-        )
-    )
-    top = Window.partitionBy("doc_id").orderBy(F.desc("count"), "term")
-    return (
-        kept.withColumn("rank", F.row_number().over(top))
-        .where(F.col("rank") <= options.most)
-        .select("doc_id", "term", "kind", "count", "offsets")
-    )
+    own = F.filter("terms", lambda t: ~t["proper"] & ~t["doubles"])
+    ranked = F.sort_array(F.transform(own, lambda t: F.struct((-t["count"]).alias("order"), t["term"].alias("term"), t["kind"].alias("kind"), t["offsets"].alias("offsets"))))
+    rows = each(scanned, ["doc_id"], F.slice(ranked, 1, options.most))
+    return rows.select("doc_id", "term", "kind", (-F.col("order")).alias("count"), "offsets")
 
 
 def snapshot(stats: DataFrame, counts: DataFrame) -> DataFrame:
-    """The compared numbers of each document, one column for each metric; missing and non-finite ones are 0."""
+    """The compared numbers of each document, one column for each metric, from its scores and its counts by rule as rows."""
     rules = [k for k, _, _ in METRICS if k not in FLAT]
     wide = counts.groupBy("doc_id").agg(*[F.sum(F.when(F.col("rule") == r, F.col("n")).otherwise(0)).alias(r) for r in rules])
-    joined = stats.join(wide, "doc_id", "left")
+    return snapshot_of(stats.join(wide, "doc_id", "left"))
+
+
+def snapshot_of(wide: DataFrame) -> DataFrame:
+    """The same from one row for each document; missing and non-finite numbers are 0."""
 
     def finite(name: str) -> Column:
         x = F.col(name).cast("double")
         return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(0.0).alias(name)
 
-    return joined.select("doc_id", *[finite(k) for k, _, _ in METRICS])
+    return wide.select("doc_id", *[finite(k) for k, _, _ in METRICS])
 
 
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -299,9 +248,11 @@ def has_moved(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("doc_id").agg(F.bool_or(F.col("delta") != 0).alias("moved"))
 
 
-def legend(documents: DataFrame, counts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Count of every enabled rule for every document, zeros included, with the document's total."""
-    table = documents.sparkSession.createDataFrame([(i, r, n) for i, (r, n) in enumerate(rules)], "ord int, rule string, name string")
-    rows = documents.select("doc_id").crossJoin(F.broadcast(table)).join(counts, ["doc_id", "rule"], "left")
-    shown = rows.select("doc_id", "ord", "rule", "name", F.coalesce("n", F.lit(0)).alias("n"))
-    return shown.withColumn("total", F.sum("n").over(Window.partitionBy("doc_id")))
+def legend(counted: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Count of every enabled rule for every document, zeros included, with the document's total.
+
+    ``counted`` has one row for each document with a column of counts for each rule.
+    """
+    shown = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r).alias("rule"), F.lit(n).alias("name"), F.col(r).cast("long").alias("n")) for i, (r, n) in enumerate(rules)])
+    total = sum((F.col(r) for r, _ in rules), F.lit(0)).cast("long")
+    return each(counted.select("doc_id", shown.alias("shown"), total.alias("total")), ["doc_id", "total"], "shown").select("doc_id", "ord", "rule", "name", "n", "total")

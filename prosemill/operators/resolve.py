@@ -26,15 +26,15 @@ def resolve_containment(marks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -
 
     In order of start, longest first, then rank, a mark is inside an earlier one exactly if some earlier one
     reaches as far: a running maximum in one window. Long sentences and doubled words neither drop nor are dropped;
-    partial overlaps stay.
+    partial overlaps stay, and so do rows without a rule.
     """
-    layered = ~F.col("rule").isin("longSentence", "doubled")
+    layered = F.col("rule").isNotNull() & ~F.col("rule").isin("longSentence", "doubled")
     order = (
-        Window.partitionBy(*keys, layered)
+        Window.partitionBy(*keys)
         .orderBy("from", F.desc("to"), F.desc(rank(F.col("rule"))), "seq")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    reach = F.coalesce(F.max("to").over(order), F.lit(-1))
+    reach = F.coalesce(F.max(F.when(layered, F.col("to"))).over(order), F.lit(-1))
     return marks.withColumn("_reach", reach).where(~layered | (F.col("to") > F.col("_reach"))).drop("_reach")
 
 

@@ -1,26 +1,22 @@
-"""Rules: each turns sentences or words into candidate marks.
+"""Rules: each turns the arrays of a scanned document into candidate marks.
 
-Rules of a sentence are array expressions over its words, so that one pass over a document's row finds them all and
-only marks leave it. Phrases start at few words; those alone meet the fixed phrase table.
+Every rule is an expression over a document's row, so that one pass over the documents finds all marks and only marks leave it.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.functions import lexicons as L
-from prosemill.functions.arrays import among, each, positions, running
-from prosemill.functions.text import SPACES, WORD, fold_apostrophes
-from prosemill.operators.mask import masked
-from prosemill.operators.segment import plain, tight
+from prosemill.functions.arrays import each, positions, running
+from prosemill.operators.scan import CLOSE, FIRST, PLAIN, TIGHT, WORD, Phrase
+from prosemill.operators.words import Kind
 from prosemill.plans.options import RuleOptions
 
-# Messages and patterns of the rules.
+# Messages of the rules.
 MESSAGES = {
     "weasel": "Weasel word — say who, or how many",
     "hedge": "Hedge — it weakens the claim",
@@ -33,94 +29,81 @@ MESSAGES = {
     "dash": "Em dash pile-up is a machine-prose tell",
     "reframe": 'The "not just X, it\'s Y" reframing is a machine-prose tell',
 }
-_B, _E, _S = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])", f"[{SPACES}]"
-_NOT_JUST = (
-    f"(?:{_B}(?:it|that|this)['’]s{_S}{{1,3}})?{_B}(?:isn['’]t|aren['’]t|not){_S}{{1,3}}just{_E}[^\\n.;]{{1,60}}?"
-)
-REFRAMES = (
-    f"(?i){_B}not{_S}{{1,3}}only{_E}[^\\n.;]{{1,60}}?{_B}but{_S}{{1,3}}also{_E}",
-    f"(?i){_NOT_JUST}{_B}but{_E}",
-    f"(?i){_NOT_JUST}[,:—–.]{_S}{{0,4}}(?:it['’]s|it{_S}{{1,3}}is|they['’]re|that['’]s|this{_S}{{1,3}}is){_E}",
-)
-#: Apostrophes that machine terms take for plain ones.
-FOLDED = "’‘‛"
-MARK = "doc_id long, from int, to int, rule string, severity string, message string, word string, seq int"
+MARKS = "array<struct<from:int,to:int,rule:string,severity:string,message:string,word:string,seq:int>>"
+#: What the rules read of a scan.
+WORD_FIELDS = ("tok_from", "tok_to", "lower", "kind", "gap")
+SENTENCE_FIELDS = ("sent_from", "sent_to", "words")
+PHRASE_FIELDS = ("phrases",)
+MACHINE_FIELDS = ("phrases", "dashes", "reframes")
 
 
-MARKS = f"array<struct<{MARK.removeprefix('doc_id long, ').replace(' string', ':string').replace(' int', ':int')}>>"
-
-
-def _mark(low: Column, high: Column, rule: Column | str, severity: Column | str, message: Column | str, word: Column | None, seq: int) -> Column:
-    def column(x: Column | str) -> Column:
+def _mark(low: Column, high: Column, rule: Column | str, severity: Column | str, message: Column | str, word: Column | None, seq: Column | int) -> Column:
+    def column(x: Column | str | int) -> Column:
         return x if isinstance(x, Column) else F.lit(x)
 
     return F.struct(
         low.cast("int").alias("from"), high.cast("int").alias("to"), column(rule).alias("rule"), column(severity).alias("severity"),
-        column(message).alias("message"), (F.lit(None).cast("string") if word is None else word).alias("word"), F.lit(seq).alias("seq"),
+        column(message).alias("message"), (F.lit(None).cast("string") if word is None else word).alias("word"), column(seq).alias("seq"),
     )
 
 
-def _rows(frame: DataFrame, marks: Column) -> DataFrame:
-    """A row for each mark of an array."""
-    return each(frame, ["doc_id"], marks)
+def _at(name: str, i: Column) -> Column:
+    return F.get(F.col(name), i)
 
 
-def ends_in_ly(word: Column) -> Column:
-    return (F.length(word) >= 4) & word.endswith("ly") & ~among(word, L.NOT_ADVERBS)
+def _is(i: Column, kind: Kind) -> Column:
+    """Whether the word at a place is of any of these kinds; false beyond the ends."""
+    return F.coalesce(_at("kind", i).bitwiseAND(F.lit(int(kind))) != 0, F.lit(False))
 
 
-def _long_marks(options: RuleOptions) -> Column:
-    very = F.col("words") >= options.very_long_words
-    message = F.when(
-        very, F.format_string("Very long sentence (%d words) — hard to read in one pass", "words")
-    ).otherwise(F.format_string("Long sentence (%d words)", "words"))
-    mark = _mark(F.col("from"), F.col("to"), "longSentence", F.when(very, "strong").otherwise("warn"), message, None, 0)
-    return F.when(very | (F.col("words") >= options.long_words), F.array(mark))
+def _follows(i: Column, gap: int) -> Column:
+    """Whether the word at a place follows one of its own sentence after such a gap."""
+    return F.coalesce(_at("gap", i).bitwiseAND(F.lit(gap | FIRST)) == gap, F.lit(False))
 
 
-def long_sentences(sentences: DataFrame, options: RuleOptions) -> DataFrame:
-    return _rows(sentences, _long_marks(options))
+def long_marks(options: RuleOptions) -> Column:
+    def words(i: Column) -> Column:
+        return _at("words", i)
 
+    least = min(options.long_words, options.very_long_words)
 
-def _lexical_marks(options: RuleOptions) -> Column | None:
-    def tests(lower: Column) -> dict[str, Column]:
-        found = {"weasel": lower.isin(*L.WEASELS), "hedge": lower.isin(*L.HEDGES), "adverb": ends_in_ly(lower)}
-        return {rule: test for rule, test in found.items() if options.enabled(rule)}
+    def mark(i: Column) -> Column:
+        very = words(i) >= options.very_long_words
+        message = F.when(very, F.format_string("Very long sentence (%d words) — hard to read in one pass", words(i))).otherwise(
+            F.format_string("Long sentence (%d words)", words(i))
+        )
+        return _mark(_at("sent_from", i), _at("sent_to", i), "longSentence", F.when(very, "strong").otherwise("warn"), message, None, 0)
 
-    if not any(map(options.enabled, ("weasel", "hedge", "adverb"))):
-        return None
-    hits = F.filter("toks", lambda t: reduce(Column.__or__, tests(t["lower"]).values()))
+    return F.transform(F.filter(positions(F.col("words")), lambda i: words(i) >= least), mark)
 
-    def mark(t: Column) -> Column:
-        own = list(tests(t["lower"]).items())
-        rule = reduce(lambda w, x: w.when(x[1], x[0]), own[1:], F.when(own[0][1], own[0][0]))
-        message = reduce(lambda w, x: w.when(x[1], MESSAGES[x[0]]), own[1:], F.when(own[0][1], MESSAGES[own[0][0]]))
-        return _mark(t["from"], t["to"], rule, "info", message, t["lower"], 1)
 
-    return F.transform(hits, mark)
+def lexical_marks(options: RuleOptions) -> Column | None:
+    """At most one of weasel, hedge and adverb for each word, in that order among the enabled rules."""
+    tests = [(rule, kind) for rule, kind in (("weasel", Kind.WEASEL), ("hedge", Kind.HEDGE), ("adverb", Kind.LY)) if options.enabled(rule)]
+    if not tests:
+        return None
 
+    def mark(i: Column) -> Column:
+        def chosen(values: dict[str, str]) -> Column:
+            *others, last = tests
+            return reduce(lambda w, t: w.when(_is(i, t[1]), values[t[0]]), others, F.when(F.lit(False), "")).otherwise(values[last[0]])
 
-def lexical(sentences: DataFrame, options: RuleOptions) -> DataFrame:
-    """At most one of weasel, hedge and adverb for each word, in that order among the enabled rules."""
-    marks = _lexical_marks(options)
-    return sentences.sparkSession.createDataFrame([], MARK) if marks is None else _rows(sentences, marks)
+        return _mark(_at("tok_from", i), _at("tok_to", i), chosen({r: r for r, _ in tests}), "info", chosen(MESSAGES), _at("lower", i), 1)
+
+    wanted = reduce(lambda a, b: a | b, [kind for _, kind in tests])
+    return F.transform(F.filter(positions(F.col("kind")), lambda i: _is(i, wanted)), mark)
 
 
-def _doubled_marks() -> Column:
-    toks = F.col("toks")
+def doubled_marks() -> Column:
+    """A word repeated in its sentence with only white space of the original text between."""
 
     def again(i: Column) -> Column:
-        return (F.get(toks, i)["lower"] == F.get(toks, i - 1)["lower"]) & plain(F.get(toks, i)["gap"])
+        return _follows(i, PLAIN) & (_at("lower", i) == _at("lower", i - 1))
 
     def mark(i: Column) -> Column:
-        return _mark(F.get(toks, i - 1)["from"], F.get(toks, i)["to"], "doubled", "warn", MESSAGES["doubled"], F.get(toks, i)["lower"], 1)
-
-    return F.transform(F.filter(positions(toks, 1), again), mark)
+        return _mark(_at("tok_from", i - 1), _at("tok_to", i), "doubled", "warn", MESSAGES["doubled"], _at("lower", i), 1)
 
-
-def doubled(sentences: DataFrame) -> DataFrame:
-    """A word repeated in its sentence with only white space of the original text between."""
-    return _rows(sentences, _doubled_marks())
+    return F.transform(F.filter(positions(F.col("gap"), 1), again), mark)
 
 
 def _greedy(items: Column, kind: str) -> Column:
@@ -133,231 +116,121 @@ def _greedy(items: Column, kind: str) -> Column:
     return F.filter(kept, lambda x: x.isNotNull())
 
 
-def greedy(candidates: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
-    """Candidates kept from left to right, each starting after the one kept before it has ended.
+def with_passive(scanned: DataFrame) -> DataFrame:
+    """``scanned`` with ``_passive``: constructions (first, last) before the greedy choice.
 
-    One candidate for each start; both columns count the same things. Candidates of a group are matches in one document.
+    A form of be or get, up to two adverbs, then a participle, all close together. An adjective in -ed ends the search unless
+    an agent follows.
     """
-    others = [c for c in candidates.columns if c not in keys]
-    item = F.struct(F.col(first).cast("int").alias("first"), F.col(last).cast("int").alias("last"), F.struct(*others).alias("row"))
-    grouped = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    kind = grouped.schema["items"].dataType.simpleString()
-    return each(grouped, keys, _greedy(F.col("items"), kind)).select(*keys, "row.*")
-
-
-def _with_passive(sentences: DataFrame) -> DataFrame:
-    """``sentences`` with ``_passive``: constructions (first, last, modal) before the greedy choice."""
-    toks = F.col("toks")
-
-    def word(i: Column) -> Column:
-        return fold_apostrophes(F.get(toks, i)["lower"])
-
-    heads = F.filter(positions(toks), lambda i: among(word(i), (*L.BE_FORMS, *L.GET_FORMS)))
-    # The next five words of a head, once: what follows reads them many times.
-    window = lambda i: F.struct(
-        i.alias("i"),
-        F.coalesce(among(F.when(i > 0, F.get(toks, i - 1)["lower"]), L.MODALS), F.lit(False)).alias("modal"),
-        F.transform(F.slice(toks, i + 2, F.lit(5)), lambda t: F.struct(fold_apostrophes(t["lower"]).alias("w"), tight(t["gap"]).alias("near"))).alias("next"),
-    )
-    rows = sentences.withColumn("_heads", F.transform(heads, window))
-
-    def found(h: Column) -> Column:
-        def w(i: int) -> Column:
-            return F.get(h["next"], F.lit(i - 1))["w"]
-
-        def near(i: int) -> Column:
-            return F.coalesce(F.get(h["next"], F.lit(i - 1))["near"], F.lit(False))
 
-        def participle(i: int) -> Column:
-            regular = (F.length(w(i)) >= 4) & w(i).endswith("ed") & ~among(w(i), L.NOT_PARTICIPLES) & ~among(w(i), L.NOT_ADVERBS)
-            return F.coalesce(among(w(i), L.IRREGULAR_PARTICIPLES) | regular, F.lit(False))
+    def last(i: Column) -> Column:
+        def agent(k: int) -> Column:
+            return _follows(i + (k + 1), TIGHT) & _is(i + (k + 1), Kind.BY) & _follows(i + (k + 2), TIGHT) & _is(i + (k + 2), Kind.AGENT)
 
-        def agent(i: int) -> Column:
-            named = w(i + 2).isNotNull() & ~among(w(i + 2), L.NOT_AGENTS)
-            return near(i + 1) & (w(i + 1) == "by") & near(i + 2) & named
+        def reach(k: int) -> Column:
+            verb = _is(i + k, Kind.PARTICIPLE)
+            here = F.when(verb, F.when(~_is(i + k, Kind.ADJECTIVE) | agent(k), i + k))
+            return F.when(_follows(i + k, TIGHT), here if k == 3 else here.when(_is(i + k, Kind.BETWEEN), reach(k + 1)))
 
-        reached: Column = F.lit(True)
-        hit = F.lit(None).cast("int")
-        for i in range(1, 4):
-            reached = reached & near(i)
-            verb = ~among(w(i), L.ED_ADJECTIVES) | F.coalesce(agent(i), F.lit(False))
-            hit = F.coalesce(hit, F.when(reached & participle(i) & verb, F.lit(i)))
-            reached = reached & ~participle(i) & F.coalesce(among(w(i), L.BETWEEN) | ends_in_ly(w(i)), F.lit(False))
-        return F.struct(h["i"].alias("first"), (h["i"] + hit).alias("last"), h["modal"].alias("modal"))
+        return reach(1)
 
-    return rows.withColumn("_passive", F.filter(F.transform("_heads", found), lambda x: x["last"].isNotNull())).drop("_heads")
+    heads = F.filter(positions(F.col("kind")), lambda i: _is(i, Kind.AUXILIARY))
+    found = F.filter(F.transform(heads, lambda i: F.struct(i.alias("first"), last(i).alias("last"))), lambda x: x["last"].isNotNull())
+    return scanned.withColumn("_passive", found)
 
 
-def _passive_marks() -> Column:
-    toks = F.col("toks")
+def passive_marks() -> Column:
+    """Marks of the constructions; those that begin inside one already found are left out."""
+    items = F.col("_passive")
+    crossing = F.exists(positions(items, 1), lambda k: F.get(items, k)["first"] <= F.get(items, k - 1)["last"])
+    kept = F.when(crossing, _greedy(items, "array<struct<first:int,last:int>>")).otherwise(items)
 
     def mark(x: Column) -> Column:
-        severity = F.when(x["modal"], "info").otherwise("warn")
-        message = F.when(x["modal"], MESSAGES["passive modal"]).otherwise(MESSAGES["passive"])
-        return _mark(F.get(toks, x["first"])["from"], F.get(toks, x["last"])["to"], "passive", severity, message, None, 2)
+        i = x["first"]
+        modal = (_at("gap", i).bitwiseAND(F.lit(FIRST)) == 0) & _is(i - 1, Kind.MODAL)
+        message = F.when(modal, MESSAGES["passive modal"]).otherwise(MESSAGES["passive"])
+        return _mark(_at("tok_from", i), _at("tok_to", x["last"]), "passive", F.when(modal, "info").otherwise("warn"), message, None, 2)
 
-    return F.transform(_greedy(F.col("_passive"), "array<struct<first:int,last:int,modal:boolean>>"), mark)
+    return F.transform(kept, mark)
 
 
-def passive(sentences: DataFrame) -> DataFrame:
-    """A form of be or get, up to two adverbs, then a participle, all close together; see the column names.
+def phrase_table(options: RuleOptions) -> tuple[Phrase, ...]:
+    """Hedging phrases and cliches, and words and phrases of machine prose, as far as the options allow."""
+    table = [Phrase(p, "hedge", "info", False) for p in L.HEDGE_PHRASES if options.enabled("hedge")]
+    table += [Phrase(p, "cliche", "info", False) for p in L.CLICHES if options.enabled("cliche")]
+    return (*table, *(machine_table() if options.enabled("deslop") else ()))
 
-    Everything is read from the next five words of the sentence. An adjective in -ed ends the search unless an
-    agent follows. Heads inside a construction already found are skipped by the greedy fold.
-    """
-    return _rows(_with_passive(sentences), _passive_marks())
-
-
-def _phrase_matches(words: DataFrame, phrases: DataFrame, heads: list[str], most: int) -> DataFrame:
-    """Longest phrase of each list that starts at each word; gaps inside must be close.
-
-    ``phrases``: head, phrase, n, kind, ... A ``plain`` phrase's words are compared as they are and its gaps are white
-    space of the original text; a ``folded`` one's have plain apostrophes and gaps that are tight in the masked text.
-    Only words that begin a phrase leave their document's row, each with the words after it.
-    """
-    toks = F.col("toks")
-    starts = F.filter(positions(toks), lambda i: among(fold_apostrophes(F.get(toks, i)["lower"], FOLDED), heads))
-    ahead = F.transform(starts, lambda i: F.struct(i.alias("tok"), F.slice(toks, i + 1, F.lit(most)).alias("next")))
-    rows = each(words, ["doc_id"], ahead)
-
-    def reach(close: Callable[[Column], Column]) -> Column:
-        out = F.lit(most - 1)
-        for i in range(most - 1, 0, -1):
-            out = F.when(~F.coalesce(close(F.get("next", F.lit(i))["gap"]), F.lit(False)), i - 1).otherwise(out)
-        return out
-
-    def joined(word: Callable[[Column], Column]) -> Column:
-        return F.concat(F.array_join(F.transform("next", lambda t: word(t["lower"])), " "), F.lit(" "))
-
-    rows = rows.select(
-        "doc_id", "tok", F.get("next", F.lit(0))["from"].alias("from"), F.transform("next", lambda t: t["to"]).alias("ends"),
-        joined(lambda w: w).alias("plain"), joined(lambda w: fold_apostrophes(w, FOLDED)).alias("folded"),
-        reach(lambda g: plain(g) & (F.length(g) <= 8)).alias("plain_reach"), reach(tight).alias("folded_reach"),
-    ).withColumn("w", F.substring_index("folded", " ", 1))
-    is_plain = F.col("kind") == "plain"
-    hits = rows.join(F.broadcast(phrases), F.col("w") == F.col("head")).where(
-        (F.col("n") <= F.when(is_plain, F.col("plain_reach")).otherwise(F.col("folded_reach")) + 1)
-        & F.when(is_plain, F.col("plain")).otherwise(F.col("folded")).startswith(F.concat("phrase", F.lit(" ")))
-    )
-    best = hits.groupBy("doc_id", "kind", "tok").agg(
-        F.max_by(F.struct("from", F.element_at("ends", F.col("n")).alias("to"), "phrase", "rule", "severity", "n"), F.struct("n", "priority")).alias("x")
-    )
-    spans = best.select(
-        "doc_id", "kind", "tok", (F.col("tok") + F.col("x.n") - 1).alias("last"), "x.from", "x.to", "x.phrase", "x.rule", "x.severity"
-    )
-    return greedy(spans, ["doc_id", "kind"], "tok", "last")
-
-
-def phrases(words: DataFrame, options: RuleOptions, machine: bool = True) -> DataFrame:
-    """Hedging phrases and cliches, and words and phrases of machine prose where ``machine`` and the options allow.
-
-    The first two have gaps of white space of the original text, at most eight characters.
-    """
-    table = [(p, "hedge", "info", 1, "plain", 3) for p in L.HEDGE_PHRASES if options.enabled("hedge")]
-    table += [(p, "cliche", "info", 0, "plain", 3) for p in L.CLICHES if options.enabled("cliche")]
-    return _phrase_marks(words, table + (_machine_table() if machine and options.enabled("deslop") else []))
-
-
-def machine_terms(words: DataFrame) -> DataFrame:
-    """Words and phrases of machine prose; apostrophes folded, gaps tight in the masked text."""
-    return _phrase_marks(words, _machine_table())
 
-
-def _machine_table() -> list[tuple]:
+def machine_table() -> tuple[Phrase, ...]:
     entries: dict[str, str] = {}
     for severity, source in (("warn", L.MACHINE_PHRASES), ("info", L.MACHINE_WORDS)):
         for entry in source:
-            entries.setdefault(" ".join(re.findall(WORD, entry.lower().replace("’", "'"))), severity)
-    return [(p, "deslop", severity, 0, "folded", 4) for p, severity in entries.items()]
-
+            entries.setdefault(" ".join(WORD.findall(entry.lower().replace("’", "'"))), severity)
+    return tuple(Phrase(p, "deslop", severity, True) for p, severity in entries.items())
 
-def _phrase_marks(words: DataFrame, rows: list[tuple]) -> DataFrame:
-    spark = words.sparkSession
-    if not rows:
-        return spark.createDataFrame([], MARK)
-    folded = str.maketrans(dict.fromkeys(FOLDED, "'"))
-    table = [(p.split(" ")[0].translate(folded), p, len(p.split(" ")), *rest[:4]) for p, *rest in rows]
-    # A few hundred fixed rows.
-    frame = spark.createDataFrame(table, "head string, phrase string, n int, rule string, severity string, priority int, kind string")
-    found = _phrase_matches(words, frame, sorted({r[0] for r in table}), max(r[2] for r in table))
-    message = reduce(lambda w, r: w.when(F.col("rule") == r, MESSAGES[r]), ("cliche", "deslop"), F.when(F.col("rule") == "hedge", MESSAGES["hedge"]))
-    marks = [_mark(F.col("from"), F.col("to"), F.col("rule"), F.col("severity"), message, F.col("phrase"), seq) for seq in (3, 4)]
-    return _rows(found, F.array(F.when(F.col("kind") == "plain", marks[0]).otherwise(marks[1])))
 
+def phrase_marks() -> Column:
+    def mark(p: Column) -> Column:
+        message = F.when(p["rule"] == "hedge", MESSAGES["hedge"]).when(p["rule"] == "cliche", MESSAGES["cliche"]).otherwise(MESSAGES["deslop"])
+        return _mark(p["from"], p["to"], p["rule"], p["severity"], message, p["word"], F.when(p["folded"], 4).otherwise(3))
 
-def _with_dashes(sentences: DataFrame) -> DataFrame:
-    parts = F.when(F.contains("text", F.lit("—")), F.split("text", "—", -1)).otherwise(F.array().cast("array<string>"))
-    return sentences.withColumn("_dashes", parts)
+    return F.transform("phrases", mark)
 
 
-def _dash_marks() -> Column:
-    parts = F.col("_dashes")
-    ends = running(parts, F.col("from"), lambda at, x: at + F.length(x) + 1, lambda at, x: at + F.length(x), "array<int>")
-    marks = F.transform(F.slice(ends, F.lit(1), F.size(parts) - 1), lambda at: _mark(at, at + 1, "deslop", "info", MESSAGES["dash"], None, 5))
-    return F.when(F.size(parts) > 3, marks)
+def dash_marks() -> Column:
+    """Every em dash of a sentence that has three or more: dashes are in order, so some three in a row hold it."""
+    dashes = F.col("dashes")
 
+    def same(a: Column, b: Column) -> Column:
+        return F.coalesce(F.get(dashes, a)["sent"] == F.get(dashes, b)["sent"], F.lit(False))
 
-def dash_piles(sentences: DataFrame) -> DataFrame:
-    """Every em dash of a sentence that has three or more."""
-    return _rows(_with_dashes(sentences), _dash_marks())
+    piled = F.filter(positions(dashes), lambda k: same(k, k + 2) | same(k - 1, k + 1) | same(k - 2, k))
+    return F.transform(piled, lambda k: _mark(F.get(dashes, k)["at"], F.get(dashes, k)["at"] + 1, "deslop", "info", MESSAGES["dash"], None, 5))
 
 
-def reframes(documents: DataFrame) -> DataFrame:
-    """The three reframing constructions, overlaps removed from left to right, longest first."""
-    text = masked(F.col("solid"))
-    rows = documents.where(text.rlike("(?i)not|isn['’]t|aren['’]t")).select("doc_id", text.alias("text"))
-    names = []
-    for k, pattern in enumerate(REFRAMES):
-        m, g = f"_m{k}", f"_g{k}"
-        rows = rows.withColumn(m, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).withColumn(g, F.split("text", pattern, -1))
-        rows = rows.withColumn(f"_p{k}", F.arrays_zip(F.col(m).alias("m"), F.slice(g, F.lit(1), F.size(m)).alias("g"))).drop(m, g)
-        names.append(f"_p{k}")
+def reframe_marks() -> Column:
+    return F.transform("reframes", lambda x: _mark(x["from"], x["to"], "deslop", "warn", MESSAGES["reframe"], None, 6))
 
-    def spans(name: str) -> Column:
-        def span(at: Column, x: Column) -> Column:
-            low = at + F.length(x["g"])
-            return F.struct(low.alias("from"), (low + F.length(x["m"])).alias("to"))
 
-        return running(F.col(name), F.lit(0), lambda at, x: at + F.length(x["g"]) + F.length(x["m"]), span, "array<struct<from:int,to:int>>")
-
-    found = each(rows, ["doc_id"], F.concat(*map(spans, names)))
-    longest = found.groupBy("doc_id", "from").agg(F.max("to").alias("to"))
-    kept = greedy(longest.withColumn("last", F.col("to") - 1), ["doc_id"], "from", "last")
-    return _rows(kept, F.array(_mark(F.col("from"), F.col("to"), "deslop", "warn", MESSAGES["reframe"], None, 6)))
+def fields(options: RuleOptions) -> tuple[str, ...]:
+    """What the enabled rules read of a scan."""
+    found: list[str] = []
+    if any(map(options.enabled, ("weasel", "hedge", "adverb", "doubled", "passive"))):
+        found += WORD_FIELDS
+    if any(map(options.enabled, ("longSentence", "doubled", "passive"))):
+        found += SENTENCE_FIELDS
+    if any(map(options.enabled, ("hedge", "cliche", "deslop"))):
+        found += PHRASE_FIELDS
+    if options.enabled("deslop"):
+        found += MACHINE_FIELDS
+    return tuple(dict.fromkeys(found))
 
 
-def sentence_marks(sentences: DataFrame, options: RuleOptions) -> DataFrame | None:
-    """Marks of all enabled rules that look at one sentence, from one pass over the documents."""
+def with_marks(scanned: DataFrame, options: RuleOptions) -> DataFrame:
+    """``scanned`` with ``marks``: the enabled rules' candidates as one array; rules that are off are not planned at all."""
     parts = []
     if options.enabled("longSentence"):
-        parts.append(_long_marks(options))
-    if (lexical_marks := _lexical_marks(options)) is not None:
-        parts.append(lexical_marks)
+        parts.append(long_marks(options))
+    if (lexical := lexical_marks(options)) is not None:
+        parts.append(lexical)
     if options.enabled("doubled"):
-        parts.append(_doubled_marks())
+        parts.append(doubled_marks())
     if options.enabled("passive"):
-        sentences = _with_passive(sentences)
-        parts.append(_passive_marks())
+        scanned = with_passive(scanned)
+        parts.append(passive_marks())
+    if any(map(options.enabled, ("hedge", "cliche", "deslop"))):
+        parts.append(phrase_marks())
     if options.enabled("deslop"):
-        sentences = _with_dashes(sentences)
-        parts.append(_dash_marks())
+        parts += [dash_marks(), reframe_marks()]
     none = F.array().cast(MARKS)
-    return _rows(sentences, F.concat(*[F.coalesce(p.cast(MARKS), none) for p in parts])) if parts else None
-
+    return scanned.withColumn("marks", F.concat(none, *[F.coalesce(p.cast(MARKS), none) for p in parts]))
 
-def candidates(documents: DataFrame, sentences: DataFrame, words: DataFrame, options: RuleOptions) -> DataFrame:
-    """The bag union of the enabled rules' marks; rules that are off are not planned at all.
 
-    ``words`` are word arrays of whole documents. Three passes over the documents at most.
-    """
-    parts = [sentence_marks(sentences, options)]
-    if any(map(options.enabled, ("hedge", "cliche", "deslop"))):
-        parts.append(phrases(words, options))
-    if options.enabled("deslop"):
-        parts.append(reframes(documents))
-    found = [p for p in parts if p is not None]
-    return reduce(DataFrame.unionByName, found) if found else documents.sparkSession.createDataFrame([], MARK)
+def rows(scanned: DataFrame, marks: Column | str = "marks") -> DataFrame:
+    """A row for each mark of an array."""
+    return each(scanned, ["doc_id"], marks)
 
 
-def machine_marks(documents: DataFrame, sentences: DataFrame, words: DataFrame) -> list[DataFrame]:
-    return [machine_terms(words), dash_piles(sentences), reframes(documents)]
+def machine_count() -> Column:
+    """Candidates of machine prose in a document's row."""
+    return F.size(F.filter("phrases", lambda p: p["folded"])) + F.size(dash_marks()) + F.size("reframes")

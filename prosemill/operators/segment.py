@@ -1,27 +1,10 @@
-"""Lines, blocks, sentences and words of masked texts, as arrays within each document's row: nothing is shuffled."""
+"""Sentence ends by the default rules of UAX #29, on a text's classes."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from prosemill.functions.arrays import each, positions, running
-from prosemill.functions.text import SPACES, WORD, syllables
-from prosemill.operators.mask import masked, solid
-
-# Lines that always stand alone, and where a plain sentence ends.
-STANDALONE = (
-    f"^[{SPACES}]{{0,6}}(?:[-*+][{SPACES}]|[0-9]{{1,9}}[.)][{SPACES}]|>|#{{1,6}}[{SPACES}]|\\||\\[[ xX]\\][{SPACES}])"
-)
-SENTENCE_END = f"(?<=[.!?])(?=[{SPACES}])"
-NOT_BLANK = f"[^{SPACES}]"
-EDGES = f"^[{SPACES}]+|[{SPACES}]+$"
-
 # The Sentence_Break classes that general categories do not give.
 A_TERM = ".․﹒．"
 S_TERM = "!?։؝؞؟۔܀܁܂।॥၊။።፧፨‼‽⁇⁈⁉⸮。﹖﹗！？｡"
@@ -93,152 +76,3 @@ def sentence_ends(chunk: str) -> list[int]:
         if end < len(classes):
             ends.append(places[end] if places else end)
     return [*ends, len(chunk)]
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def unicode_sentence_ends(chunks: pd.Series) -> pd.Series:
-    return chunks.map(lambda blocks: [sentence_ends(c or "") for c in blocks])
-
-
-def solid_documents(docs: DataFrame, markdown: bool = True) -> DataFrame:
-    """``doc_id``, ``text`` and ``solid``; without ``markdown`` the whole text is prose. Null texts count as empty."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("solid", solid("text") if markdown else F.col("text"))
-
-
-def _with_blocks(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``blocks``: an array of (from, chunk)."""
-    lines = documents.withColumn("_raw", F.split("text", "\n", -1)).withColumn("_lines", F.split("solid", "\n", -1))
-    flags = (
-        lines.withColumn("_blank", F.transform("_lines", lambda x: ~masked(x).rlike(NOT_BLANK)))
-        .withColumn("_alone", F.transform("_raw", lambda x: x.rlike(STANDALONE)))
-        .withColumn("_at", running(F.col("_lines"), F.lit(0), lambda at, x: at + F.length(x) + 1, lambda at, x: at, "array<int>"))
-    )
-    blank, alone = F.col("_blank"), F.col("_alone")
-
-    def starts(i: Column) -> Column:
-        return ~F.get(blank, i) & (F.get(alone, i) | (i == 0) | F.get(blank, i - 1) | F.get(alone, i - 1))
-
-    opened = flags.withColumn("_starts", F.filter(positions(F.col("_lines")), starts))
-
-    def block(low: Column, high: Column) -> Column:
-        own = F.filter(F.sequence(low, F.coalesce(high, F.size("_lines")) - 1), lambda i: ~F.get(blank, i))
-        chunk = F.array_join(F.transform(own, lambda i: F.get(F.col("_lines"), i)), " ")
-        return F.struct(F.get(F.col("_at"), low).alias("from"), chunk.alias("chunk"))
-
-    found = F.zip_with("_starts", F.slice("_starts", F.lit(2), F.greatest(F.size("_starts"), F.lit(1))), block)
-    return opened.withColumn("blocks", found).drop("_raw", "_lines", "_blank", "_alone", "_at", "_starts")
-
-
-def blocks(documents: DataFrame) -> DataFrame:
-    """Blocks of each document: runs of lines joined by soft wraps; standalone lines are blocks of their own.
-
-    A block starts at a line that is not blank and stands alone or follows a blank or standalone line; blank is
-    judged on the masked text, standing alone on the original.
-    """
-    return each(_with_blocks(documents), ["doc_id"], "blocks", "block")
-
-
-def sentence_arrays(documents: DataFrame, segmenter: str = "unicode") -> DataFrame:
-    """``doc_id`` and ``sents``: the sentences of each document in order as an array; see ``sentences``."""
-    found = _with_blocks(documents).select("doc_id", "blocks")
-    if segmenter == "unicode":
-        ends = unicode_sentence_ends(F.transform("blocks", lambda b: masked(b["chunk"])))
-        found = found.withColumn("_ends", ends)
-
-        def pieces(b: Column, at: Column) -> Column:
-            starts = F.concat(F.array(F.lit(0)), F.slice(at, F.lit(1), F.size(at) - 1))
-            return F.zip_with(starts, at, lambda low, high: F.substr(b["chunk"], low + 1, high - low))
-
-        found = found.withColumn("_pieces", F.zip_with("blocks", "_ends", pieces))
-    else:
-        found = found.withColumn("_pieces", F.transform("blocks", lambda b: F.split(b["chunk"], SENTENCE_END, -1)))
-
-    def placed(b: Column, own: Column) -> Column:
-        out = lambda at, x: F.struct(at.alias("at"), x.alias("piece"))
-        return running(own, b["from"], lambda at, x: at + F.length(x), out, "array<struct<at:int,piece:string>>")
-
-    found = found.withColumn("_placed", F.flatten(F.zip_with("blocks", "_pieces", placed)))
-
-    def trimmed(x: Column) -> Column:
-        return F.struct(x["at"].alias("at"), x["piece"].alias("piece"), F.regexp_replace(masked(x["piece"]), f"^[{SPACES}]+", "").alias("ltrim"))
-
-    def cored(x: Column) -> Column:
-        text = F.regexp_replace(x["ltrim"], f"[{SPACES}]+$", "")
-        lead = F.length(x["piece"]) - F.length(x["ltrim"])
-        return F.struct((x["at"] + lead).cast("int").alias("from"), F.substr(x["piece"], lead + 1).alias("rest"), text.alias("text"))
-
-    def whole(x: Column) -> Column:
-        n = F.length(x["text"])
-        return F.struct(x["from"].alias("from"), (x["from"] + n).alias("to"), F.substr(x["rest"], F.lit(1), n).alias("solid"), x["text"].alias("text"))
-
-    # Each step is a column of its own: inside one expression it would be worked out anew for every use.
-    found = found.withColumn("_trimmed", F.filter(F.transform("_placed", trimmed), lambda x: x["ltrim"] != ""))
-    found = found.withColumn("_cored", F.transform("_trimmed", cored)).withColumn("_whole", F.transform("_cored", whole))
-    found = found.withColumn("_words", F.transform("_whole", lambda x: F.regexp_extract_all(x["solid"], F.lit(WORD), F.lit(0))))
-    found = found.withColumn("_gaps", F.transform("_whole", lambda x: F.split(x["solid"], WORD, -1)))
-    found = found.withColumn("_pairs", F.zip_with("_words", "_gaps", _word_pairs))
-    found = found.withColumn("_toks", F.zip_with("_whole", "_pairs", lambda x, pairs: _located_words(pairs, x["from"])))
-    sents = F.zip_with("_whole", "_toks", lambda x, t: F.struct(*[x[c].alias(c) for c in ("from", "to", "solid", "text")], t.alias("toks")))
-    return found.select("doc_id", sents.alias("sents"))
-
-
-def sentences(documents: DataFrame, segmenter: str = "unicode") -> DataFrame:
-    """``doc_id, sent_idx, from, to, solid, text, toks, words, syllables`` of every sentence that is not blank.
-
-    ``segmenter`` is ``unicode`` (UAX #29) or ``regex`` (terminal punctuation before white space). Offsets are
-    code points in the original text; ``text`` is the masked slice without white space at its ends; ``toks`` are its
-    words, see ``tokens``.
-    """
-    rows = each(sentence_arrays(documents, segmenter), ["doc_id"], "sents", "sent_idx")
-    spoken = F.aggregate("toks", F.lit(0), lambda a, t: a + syllables(t["token"]))
-    return rows.withColumn("words", F.size("toks")).withColumn("syllables", spoken)
-
-
-TOKS = "array<struct<from:int,to:int,token:string,lower:string,gap:string>>"
-
-
-def _word_pairs(words: Column, gaps: Column) -> Column:
-    return F.arrays_zip(words.alias("token"), F.slice(gaps, F.lit(1), F.size(words)).alias("gap"))
-
-
-def _located_words(pairs: Column, start: Column) -> Column:
-    """Words with their offsets and the solid text before each since the last one."""
-
-    def word(at: Column, x: Column) -> Column:
-        low = at + F.length(x["gap"])
-        return F.struct(
-            low.alias("from"), (low + F.length(x["token"])).alias("to"), x["token"].alias("token"), F.lower(x["token"]).alias("lower"), x["gap"].alias("gap")
-        )
-
-    return running(pairs, start, lambda at, x: at + F.length(x["gap"]) + F.length(x["token"]), word, TOKS)
-
-
-def tokens(sentence_rows: DataFrame) -> DataFrame:
-    """``doc_id, sent_idx, tok, from, to, token, lower, gap`` of every word of every sentence.
-
-    ``gap`` is the solid text since the word before in the sentence; offsets are code points in the original.
-    """
-    return each(sentence_rows, ["doc_id", "sent_idx"], "toks", "tok")
-
-
-def word_arrays(documents: DataFrame) -> DataFrame:
-    """``doc_id`` and ``toks``: the words of each document without sentences, so that gaps reach across them."""
-    found = documents.select("doc_id", F.regexp_extract_all("solid", F.lit(WORD), F.lit(0)).alias("_words"), F.split("solid", WORD, -1).alias("_gaps"))
-    found = found.withColumn("_pairs", _word_pairs(F.col("_words"), F.col("_gaps")))
-    return found.select("doc_id", _located_words(F.col("_pairs"), F.lit(0)).alias("toks"))
-
-
-def document_tokens(documents: DataFrame) -> DataFrame:
-    """The same words, a row each."""
-    return each(word_arrays(documents), ["doc_id"], "toks", "tok")
-
-
-def tight(gap: Column, limit: int = 8) -> Column:
-    """Nothing but a little white space in the masked text."""
-    return masked(gap).rlike(f"^[ \\t\\n\\r]{{0,{limit}}}$")
-
-
-def plain(gap: Column) -> Column:
-    """Nothing but white space in the original text."""
-    return gap.rlike(f"^[{SPACES}]*$")

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.operators import measures, resolve, rules, segment
+from prosemill.functions.arrays import each
+from prosemill.operators import measures, resolve, rules
 from prosemill.operators.mask import masked
+from prosemill.operators.scan import Phrase, Scanner, scan
 from prosemill.plans.options import RULES, RuleOptions
+from prosemill.sources.documents import spread
+
+COUNTED = tuple(RULES)
 
 
 @dataclass(frozen=True)
 class ProseEngine:
     """Plans over ``docs`` (doc_id, text). Nothing runs until a result is written or collected.
 
-    ``markdown`` masks what is not prose; ``segmenter`` is ``unicode`` or ``regex``. doc_id must identify a
-    document. Only enabled rules are planned. Everything up to the marks happens inside each document's row, so texts are
-    not shuffled, and nothing is persisted.
+    ``markdown`` masks what is not prose; ``segmenter`` is ``unicode`` or ``regex``. doc_id must identify a document and may be
+    of any type, a struct too. Only enabled rules are planned. Each result is one scan of the texts that gives what
+    this result reads; texts are not shuffled, nothing is persisted, and only marks meet in a window.
     """
 
     docs: DataFrame
@@ -27,34 +32,43 @@ class ProseEngine:
     markdown: bool = True
     segmenter: str = "unicode"
 
-    @cached_property
-    def documents(self) -> DataFrame:
-        return segment.solid_documents(self.docs, self.markdown)
+    def scanned(self, *fields: str, phrases: tuple[Phrase, ...] | None = None, echo: measures.EchoOptions = measures.EchoOptions()) -> DataFrame:
+        """One row for each document with these fields of ``scan.FIELDS``."""
+        table = rules.phrase_table(self.options) if phrases is None else phrases
+        scanner = Scanner(
+            tuple(dict.fromkeys(fields)), self.markdown, self.segmenter == "unicode", table if "phrases" in fields else (), (echo.window, echo.min_count, echo.min_length)
+        )
+        return scan(spread(self.docs.select("doc_id", "text")), scanner)
 
     @cached_property
     def masked(self) -> DataFrame:
-        return self.documents.select("doc_id", masked(F.col("solid")).alias("masked"))
+        return self.scanned("solid").select("doc_id", masked(F.col("solid")).alias("masked"))
 
     @cached_property
     def sentences(self) -> DataFrame:
-        return segment.sentences(self.documents, self.segmenter)
+        """``doc_id, sent_idx, from, to, text, words, syllables`` of every sentence that is not blank.
 
-    @cached_property
-    def tokens(self) -> DataFrame:
-        return segment.tokens(self.sentences)
+        Offsets are code points in the original text; ``text`` is the masked slice without white space at its ends.
+        """
+        rows = self.scanned("sent_from", "sent_to", "sent_text", "words", "syllables")
+        items = F.arrays_zip(F.col("sent_from").alias("from"), F.col("sent_to").alias("to"), F.col("sent_text").alias("text"), "words", "syllables")
+        return each(rows.select("doc_id", items.alias("items")), ["doc_id"], "items", "sent_idx")
 
     @cached_property
-    def document_tokens(self) -> DataFrame:
-        return segment.document_tokens(self.documents)
+    def spans(self) -> DataFrame:
+        """``doc_id, sent_idx, from, to`` of every sentence."""
+        items = F.arrays_zip(F.col("sent_from").alias("from"), F.col("sent_to").alias("to"))
+        return each(self.scanned("sent_from", "sent_to").select("doc_id", items.alias("items")), ["doc_id"], "items", "sent_idx")
 
     @cached_property
-    def words(self) -> DataFrame:
-        """The words of each document as one array."""
-        return segment.word_arrays(self.documents)
+    def tokens(self) -> DataFrame:
+        """``doc_id, tok, from, to, token, lower, spoken`` of every word; ``spoken`` are its syllables."""
+        items = F.arrays_zip(F.col("tok_from").alias("from"), F.col("tok_to").alias("to"), "token", "lower", "spoken")
+        return each(self.scanned("tok_from", "tok_to", "token", "lower", "spoken").select("doc_id", items.alias("items")), ["doc_id"], "items", "tok")
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return rules.candidates(self.documents, self.sentences, self.words, self.options)
+        return rules.rows(rules.with_marks(self.scanned(*rules.fields(self.options)), self.options))
 
     @cached_property
     def marks(self) -> DataFrame:
@@ -67,37 +81,51 @@ class ProseEngine:
 
     @cached_property
     def readability(self) -> DataFrame:
-        return measures.readability(self.documents, self.sentences)
+        return measures.readability(self.scanned(*measures.READABILITY_FIELDS))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """Scores of each document and a column with the count of each rule, from one scan.
+
+        A document's scores travel with its marks as a row without a rule, so documents without marks stay, and counting
+        uses the grouping of the window.
+        """
+        found = rules.with_marks(self.scanned(*rules.fields(self.options), *measures.READABILITY_FIELDS), self.options)
+        scored = measures.readability(found.select("doc_id", "marks", "words", "syllables"))
+        rows = scored.select("doc_id", F.struct(*measures.SCORES).alias("scores"), F.concat(F.array(F.lit(None).cast(rules.MARKS.removeprefix("array<")[:-1])), "marks").alias("marks"))
+        # An outer explode of a struct: the row of the scores has no mark.
+        rows = rows.select("doc_id", "scores", F.posexplode_outer("marks").alias("place", "x"))
+        rows = rows.select("doc_id", F.when(F.col("place") == 0, F.col("scores")).alias("scores"), "x.*")
+        kept = resolve.resolve_containment(resolve.drop_ignored(rows, self.options.ignored()))
+        counts = [F.count_if(F.coalesce(F.col("rule") == r, F.lit(False))).alias(r) for r in COUNTED]
+        return kept.groupBy("doc_id").agg(F.max("scores").alias("scores"), *counts).select("doc_id", "scores.*", *COUNTED)
 
     @cached_property
     def stats(self) -> DataFrame:
-        """Readability with the counts as a map."""
-        pairs = self.counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("rule", "n"))).alias("counts"))
-        empty = F.create_map().cast("map<string,bigint>")
-        return self.readability.join(pairs, "doc_id", "left").withColumn("counts", F.coalesce("counts", empty))
+        """Readability with the counts of the rules that have any as a map."""
+        pairs = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in COUNTED]), lambda x: x["n"] > 0)
+        return self.summary.select("doc_id", *measures.SCORES, F.map_from_entries(pairs).alias("counts"))
 
     @cached_property
     def snapshot(self) -> DataFrame:
-        return measures.snapshot(self.readability, self.counts)
+        return measures.snapshot_of(self.summary)
 
     def rhythm(self, options: measures.RhythmOptions = measures.RhythmOptions()) -> DataFrame:
-        return measures.rhythm(self.documents, self.sentences, options)
+        return measures.rhythm_of(self.scanned("words"), options)
 
     def bands(self, options: measures.RhythmOptions = measures.RhythmOptions()) -> DataFrame:
-        return measures.bands(self.sentences, options)
+        return measures.bands(self.scanned(*measures.BAND_FIELDS), options)
 
     def echoes(self, options: measures.EchoOptions = measures.EchoOptions()) -> DataFrame:
-        return measures.echoes(segment.sentence_arrays(self.documents, self.segmenter), options)
+        return measures.echoes(self.scanned("terms", echo=options), options)
 
     def legend(self) -> DataFrame:
-        shown = [(r, name) for r, (name, _) in RULES.items() if self.options.enabled(r)]
-        return measures.legend(self.documents, self.counts, shown)
+        return measures.legend(self.summary, [(r, name) for r, (name, _) in RULES.items() if self.options.enabled(r)])
 
     def machine_prose_count(self) -> DataFrame:
         """Candidates of machine prose before the ignore list and containment, for every document."""
-        found = reduce(DataFrame.unionByName, rules.machine_marks(self.documents, self.sentences, self.words))
-        counts = found.groupBy("doc_id").agg(F.count("*").alias("n"))
-        return self.documents.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+        found = self.scanned(*rules.MACHINE_FIELDS, phrases=rules.machine_table())
+        return found.select("doc_id", rules.machine_count().cast("long").alias("n"))
 
     def painted(self) -> DataFrame:
         """Marks with their class, empty ones left out."""

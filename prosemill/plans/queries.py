@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosemill.functions.text import skip_text, status_text, syllables, word_at
+from prosemill.functions.text import skip_text, status_text, word_at
 from prosemill.operators import measures, navigate, resolve, rules
 from prosemill.plans import fixtures
 from prosemill.plans.engine import ProseEngine
@@ -41,13 +42,13 @@ def full(spark: SparkSession, sf_dir: str) -> ProseEngine:
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = plain(spark, sf_dir).document_tokens
-    return tokens.groupBy("doc_id").agg(F.count("*").alias("words"), F.countDistinct("lower").alias("distinct_words"))
+    rows = plain(spark, sf_dir).scanned("lower").where(F.size("lower") > 0)
+    return rows.select("doc_id", F.size("lower").cast("long").alias("words"), F.size(F.array_distinct("lower")).cast("long").alias("distinct_words"))
 
 
 def syllable_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = plain(spark, sf_dir).document_tokens
-    return tokens.groupBy("doc_id").agg(F.sum(syllables(F.col("token"))).alias("syllables"))
+    tokens = plain(spark, sf_dir).scanned("spoken").where(F.size("spoken") > 0)
+    return tokens.select("doc_id", F.aggregate("spoken", F.lit(0).cast("long"), lambda a, x: a + x).alias("syllables"))
 
 
 def sentences(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
@@ -59,9 +60,15 @@ def readability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(spark, sf_dir).readability
 
 
+def _with_facts(engine: ProseEngine, *facts: str) -> ProseEngine:
+    """The engine over documents whose id carries these columns, so that results can be grouped by them without a join."""
+    docs = engine.docs.select(F.struct("doc_id", *facts).alias("doc_id"), "text")
+    return replace(engine, docs=docs)
+
+
 def ease_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = plain(spark, sf_dir).readability.join(_documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
-    return scored.groupBy("lang", "ease").agg(F.count("*").alias("docs"), F.sum("words").alias("words"))
+    scored = _with_facts(plain(spark, sf_dir), "lang").readability
+    return scored.groupBy(F.col("doc_id.lang").alias("lang"), "ease").agg(F.count("*").alias("docs"), F.sum("words").alias("words"))
 
 
 def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,25 +80,30 @@ def _spans(marks: DataFrame) -> DataFrame:
     return marks.select("doc_id", F.col("from").alias("start"), F.col("to").alias("stop"), "rule", "severity", "word")
 
 
+def _lexical(engine: ProseEngine, options: RuleOptions = RuleOptions()) -> DataFrame:
+    return rules.rows(engine.scanned(*rules.WORD_FIELDS), rules.lexical_marks(options))
+
+
 def lexical_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(rules.lexical(plain(spark, sf_dir).sentences, RuleOptions()))
+    return _spans(_lexical(plain(spark, sf_dir)))
 
 
 def adverb_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = RuleOptions(rules={"weasel": False, "hedge": False})
-    return _spans(rules.lexical(plain(spark, sf_dir).sentences, only))
+    return _spans(_lexical(plain(spark, sf_dir), only))
 
 
 def doubled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(rules.doubled(plain(spark, sf_dir).sentences))
+    return _spans(rules.rows(plain(spark, sf_dir).scanned(*rules.WORD_FIELDS, *rules.SENTENCE_FIELDS), rules.doubled_marks()))
 
 
 def passive_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(rules.passive(plain(spark, sf_dir).sentences))
+    scanned = plain(spark, sf_dir).scanned(*rules.WORD_FIELDS, *rules.SENTENCE_FIELDS)
+    return _spans(rules.rows(rules.with_passive(scanned), rules.passive_marks()))
 
 
 def long_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.long_sentences(plain(spark, sf_dir).sentences, RuleOptions())
+    rows = rules.rows(plain(spark, sf_dir).scanned(*rules.SENTENCE_FIELDS), rules.long_marks(RuleOptions()))
     return rows.select("doc_id", F.col("from").alias("start"), F.col("to").alias("stop"), "rule", "severity", "message")
 
 
@@ -100,7 +112,7 @@ def relational_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ignored_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.lexical(plain(spark, sf_dir).sentences, RuleOptions())
+    found = _lexical(plain(spark, sf_dir))
     return _spans(resolve.drop_ignored(found, RuleOptions(ignored_words=(" Erly", "thly", "inly")).ignored()))
 
 
@@ -113,9 +125,9 @@ def legend_counts(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> D
 
 
 def corpus_rollup(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "lang", "source")
-    counts = engine(spark, sf_dir).counts.join(docs, "doc_id")
-    return counts.rollup("lang", "source", "rule").agg(F.sum("n").alias("marks"), F.countDistinct("doc_id").alias("docs"))
+    found = _with_facts(engine(spark, sf_dir), "lang", "source").counts
+    named = found.select(F.col("doc_id.lang").alias("lang"), F.col("doc_id.source").alias("source"), "rule", "n", F.col("doc_id.doc_id").alias("doc_id"))
+    return named.rollup("lang", "source", "rule").agg(F.sum("n").alias("marks"), F.countDistinct("doc_id").alias("docs"))
 
 
 def sentence_bands(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
@@ -174,7 +186,7 @@ def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fifth_adverbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mark that five steps along the adverbs of each document lead to, counted round."""
     walks = _documents(spark, sf_dir).select("doc_id", F.lit("adverb").alias("rule"), F.lit(5).alias("step"))
-    found = navigate.nth_of_rule(rules.lexical(plain(spark, sf_dir).sentences, RuleOptions()), walks)
+    found = navigate.nth_of_rule(_lexical(plain(spark, sf_dir)), walks)
     return found.select("doc_id", F.col("from").alias("start"), F.col("to").alias("stop"))
 
 
@@ -190,14 +202,14 @@ def words_at_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marks_at_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical mark of the word in the middle of each document."""
     lookups = _middles(spark, sf_dir).withColumn("word", F.lower("word"))
-    found = navigate.mark_of_word(rules.lexical(plain(spark, sf_dir).sentences, RuleOptions()), lookups)
+    found = navigate.mark_of_word(_lexical(plain(spark, sf_dir)), lookups)
     return found.select("doc_id", "cursor", F.col("from").alias("start"), F.col("to").alias("stop"), "rule")
 
 
 def dimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is dimmed around the sentence in the middle of each document."""
     lengths = _documents(spark, sf_dir).select("doc_id", F.length("text").alias("length"))
-    found = navigate.focus_ranges(plain(spark, sf_dir).sentences, _middles(spark, sf_dir).drop("word"), lengths)
+    found = navigate.focus_ranges(plain(spark, sf_dir).spans, _middles(spark, sf_dir).drop("word"), lengths)
     shown = F.transform("ranges", lambda r: F.concat_ws("-", r["from"], r["to"]))
     return found.select("doc_id", "cursor", F.array_join(shown, ",").alias("ranges"))
 
@@ -206,13 +218,13 @@ def next_mark(spark: SparkSession, sf_dir: str, forward: bool = True) -> DataFra
     """The lexical mark after, or before, the middle of each document, going round at the ends."""
     engine = plain(spark, sf_dir)
     cursors = _documents(spark, sf_dir).select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("cursor"))
-    found = navigate.step_mark(rules.lexical(engine.sentences, RuleOptions()), cursors, forward)
+    found = navigate.step_mark(_lexical(engine), cursors, forward)
     return found.select("doc_id", "cursor", F.col("from").alias("start"), F.col("to").alias("stop"), "rule")
 
 
 def cursor_sentence(spark: SparkSession, sf_dir: str, engine: Engine = plain) -> DataFrame:
     cursors = _documents(spark, sf_dir).select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("cursor"))
-    found = navigate.sentence_at(engine(spark, sf_dir).sentences, cursors)
+    found = navigate.sentence_at(engine(spark, sf_dir).spans, cursors)
     return found.select("doc_id", "cursor", F.col("from").alias("start"), F.col("to").alias("stop"), "sent_idx")
 
 

@@ -16,6 +16,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores, if they are too few bytes for one split each; larger tables are read in place, without a shuffle.
+
+    The size is the optimiser's estimate of what the plan reads: no job runs. Where it has none it is taken for large.
+    """
+    if docs.isStreaming:
+        return docs
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return docs.repartition(3 * cores) if 0 < size < cores * split else docs
+
+
 def guard(docs: DataFrame, limit: int, muted: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``skip``: why a document is not analysed, or null. Muting is named before size.
 
