@@ -10,7 +10,7 @@ from prosemill.llm._shared import cut, table
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 LEVEL_BITS = 12
-LEVELS = 3
+LEVELS = 5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,9 +19,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_hash(id_col: str, text_col: str) -> Column:
-    """A hash of LEVELS * LEVEL_BITS bits that depends on the row alone, so that reruns agree."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")), F.lit(1 << (LEVELS * LEVEL_BITS)))
+def row_hashes(id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
+    """A hash of LEVELS * LEVEL_BITS bits and a second one of 64, which depend on the row's id, text and source alone, so that reruns agree.
+
+    Together they order rows totally, but for rows that are alike in all three.
+    """
+    values = [F.col(c) for c in (id_col, text_col, source_col)]
+    told = [*values, *[v.isNull() for v in values]]
+    return F.pmod(F.xxhash64(*told, F.lit("mix")), F.lit(1 << (LEVELS * LEVEL_BITS))), F.xxhash64(*told, F.lit("tie"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -52,11 +57,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
 
 
 def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """For each source: source_size, target, whole repeats of every row, and the hash below which a row is taken once more.
+    """For each source: its size and target, whole repeats of every row, and up to which row rows are taken once more.
 
-    ``slim`` has source, size and h. Words are summed by source and bucket of the hash's highest bits; running
-    sums find the bucket in which the budget ends, and only that bucket's rows are summed again by the next bits.
-    In the last level the boundary value is taken if that brings the sum nearer to the target.
+    ``slim`` has source, size, h and tie. Words are summed by source and bucket of the hash's highest bits; running
+    sums find the bucket in which the budget ends, and only that bucket's rows are summed again by the next bits, those of the
+    last value by ``tie``. Rows before (edge, edge_tie) are taken, and ``edge_taken`` of the ``edge_rows`` alike there: as many as bring
+    the sum nearest to the target.
     """
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     budgets = cut(
@@ -70,35 +76,36 @@ def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
         .withColumn("budget", F.greatest(F.col("target") - F.col("repeats") * F.col("source_size"), F.lit(0.0)))
     )
     state = budgets.select(F.col("source").alias("s"), "budget", F.lit(0).cast("long").alias("prefix"))
-    for level in range(1, LEVELS + 1):
+    for level in range(1, LEVELS + 2):
         shift = (LEVELS - level) * LEVEL_BITS
-        bucket = F.shiftright(F.col("h"), shift)
-        inside = F.col("source").eqNullSafe(F.col("s")) & (F.shiftright(F.col("h"), shift + LEVEL_BITS) == F.col("prefix"))
-        sums = slim.join(state, inside).groupBy("s", "budget", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+        last = level > LEVELS
+        bucket = F.col("tie") if last else F.shiftright(F.col("h"), shift)
+        own = F.col("h") if last else F.shiftright(F.col("h"), shift + LEVEL_BITS)
+        inside = F.col("source").eqNullSafe(F.col("s")) & (own == F.col("prefix"))
+        sums = slim.join(state, inside).groupBy("s", "prefix", "budget", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         running = Window.partitionBy("s").orderBy("bucket")
         crossed = (
             sums.withColumn("upto", F.sum("words").over(running))
             .where(F.col("upto") > F.col("budget"))
             .groupBy("s")
-            .agg(F.min(F.struct("bucket", "upto", "words", "budget")).alias("x"))
-        )
-        state = cut(
-            crossed.select(
-                "s",
-                (F.col("x.budget") - F.col("x.upto") + F.col("x.words")).alias("budget"),
-                F.col("x.bucket").alias("prefix"),
-                F.col("x.words").alias("words"),
-            )
+            .agg(F.min(F.struct("bucket", "upto", "words", "budget", "n", "prefix")).alias("x"))
         )
-    nearer = (F.col("budget") * 2 >= F.col("words")).cast("long")
-    last = state.select("s", (F.col("prefix") + nearer).alias("edge"))
+        left = F.col("x.budget") - F.col("x.upto") + F.col("x.words")
+        state = cut(crossed.select("s", left.alias("budget"), F.col(f"x.{'prefix' if last else 'bucket'}").alias("prefix"), F.col("x.bucket").alias("tie"), F.col("x.words").alias("words"), F.col("x.n").alias("n")))
+        state = state if last else state.select("s", "budget", "prefix")
+    # All rows at the edge are alike, so each has words / n words.
+    nearest = F.floor(F.col("budget") * F.col("n") / F.col("words") + 0.5).cast("long")
+    edges = state.select("s", F.col("prefix").alias("edge"), F.col("tie").alias("edge_tie"), F.col("n").alias("edge_rows"), nearest.alias("edge_taken"))
     return cut(
-        budgets.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        budgets.join(edges, F.col("source").eqNullSafe(F.col("s")), "left").select(
             F.col("source").alias("mix_source"),
             "source_size",
             "target",
             "repeats",
             F.coalesce("edge", F.lit(1 << (LEVELS * LEVEL_BITS))).alias("edge"),
+            F.coalesce("edge_tie", F.lit(0)).cast("long").alias("edge_tie"),
+            F.coalesce("edge_rows", F.lit(0)).cast("long").alias("edge_rows"),
+            F.coalesce("edge_taken", F.lit(0)).cast("long").alias("edge_taken"),
         )
     )
 
@@ -113,56 +120,53 @@ def mix(
 ) -> DataFrame:
     """``docs`` with ``copies`` (0 to ``max_repeats``), ``size``, ``source_size`` and ``target`` added.
 
-    Sizes are words; a null text has size 0 and a null source is a source of its own, last in order. Rows that
-    repeat an id and text are taken or left one by one. An empty table gives no rows. Existing columns with the
-    added names are replaced. The per-source plan is joined without a hint: Spark broadcasts it only below its
-    size threshold.
+    Sizes are words; a null text, however long a text is, counts whole or 0, and a null source is a source of its own, last in order. Rows that
+    repeat an id, text and source are alike: of those at which a budget ends as many are taken once more as fit, one by one. Rows that tie in one hash are
+    told apart by the other. An empty table gives no rows. Existing columns with the added names are replaced, all others come back as they
+    were, whatever their names. The per-source plan is joined without a hint: Spark broadcasts it only below its size threshold.
     """
-    rows = docs.drop("copies", "size", "source_size", "target").withColumn("size", word_count(F.col(text_col))).withColumn(
-        "mix_h", row_hash(id_col, text_col)
+    kept = [c for c in docs.columns if c.lower() not in ("copies", "size", "source_size", "target")]
+    h, tie = row_hashes(id_col, text_col, source_col)
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"), tie.alias("tie")
     )
-    rows = numbered(rows)
-    slim = cut(rows.select(F.col(source_col).alias("source"), "size", F.col("mix_h").alias("h")))
-    return _apply(rows, plan(slim, weights, max_repeats), source_col, max_repeats)
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` whose ``mix_h`` differs for rows that repeat an id and text, so that they are not all taken or all left.
-
-    The c rows of a hash get the numbers 1 to c, in any order, since they are alike: counts for each part of the input
-    give each part its first number, so a row that is a third of the table is numbered in many tasks. Only repeated
-    rows are moved.
+    slim = cut(rows.select("source", "size", "h", "tie"))
+    mixed = _apply(rows, plan(slim, weights, max_repeats), max_repeats)
+    return mixed.select("row.*", "copies", "size", "source_size", "target")
+
+
+def _apply(rows: DataFrame, by_source: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """``rows`` (source, size, h, tie, ...) with the plan of their source and ``copies``."""
+    named = rows.join(by_source, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
+    before = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & (F.col("tie") < F.col("edge_tie")))
+    at_edge = (F.col("h") == F.col("edge")) & (F.col("tie") == F.col("edge_tie")) & (F.col("edge_rows") > 0)
+    parted = (F.col("edge_taken") > 0) & (F.col("edge_taken") < F.col("edge_rows"))
+    whole = named.withColumn("more", before | (at_edge & (F.col("edge_taken") >= F.col("edge_rows"))))
+    if not by_source.where(parted).isEmpty():
+        split = named.where(at_edge & parted)
+        whole = whole.where(~(at_edge & parted)).unionByName(_numbered(split).withColumn("more", F.col("number") <= F.col("edge_taken")).drop("number"))
+    copies = F.least(F.col("repeats") + F.col("more").cast("long"), F.lit(max_repeats).cast("long"))
+    return whole.withColumn("copies", copies)
+
+
+def _numbered(alike: DataFrame) -> DataFrame:
+    """``alike`` with ``number``, from 1 within each source, in any order, since the rows of a source are alike.
+
+    Counts for each part of the input give each part its first number, so rows that are a third of the table are
+    numbered in many tasks.
     """
-    again = cut(rows.groupBy("mix_h").count().where("count > 1").select("mix_h"))
-    if again.isEmpty():
-        return rows
-    more = cut(rows.join(again, "mix_h", "left_semi").withColumn("mix_part", F.spark_partition_id()))
-    counts = more.groupBy("mix_h", "mix_part").count()
-    earlier = Window.partitionBy("mix_h").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("mix_h", "mix_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("mix_first"))
-    own = F.row_number().over(Window.partitionBy("mix_h", "mix_part").orderBy(F.lit(0)))
-    place = more.withColumn("mix_own", own).join(firsts, ["mix_h", "mix_part"])
-    fresh = F.pmod(F.xxhash64("mix_h", F.col("mix_first") + F.col("mix_own")), F.lit(1 << (LEVELS * LEVEL_BITS)))
-    renewed = place.withColumn("mix_h", fresh).select(*rows.columns)
-    return rows.join(again, "mix_h", "left_anti").select(*rows.columns).unionByName(renewed)
-
-
-def _apply(rows: DataFrame, by_source: DataFrame, source_col: str, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    copies = F.least(F.col("repeats") + (F.col("mix_h") < F.col("edge")).cast("long"), F.lit(max_repeats).cast("long"))
-    return (
-        rows.join(by_source, F.col(source_col).eqNullSafe(F.col("mix_source")))
-        .withColumn("copies", copies)
-        .drop("mix_source", "repeats", "edge", "mix_h")
-    )
+    placed = cut(alike.withColumn("part", F.spark_partition_id()))
+    counts = placed.groupBy("source", "part").count()
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(F.col("source").alias("of"), F.col("part").alias("in"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("first"))
+    own = F.row_number().over(Window.partitionBy("source", "part").orderBy(F.lit(0)))
+    found = placed.withColumn("own", own).join(firsts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
+    return found.withColumn("number", F.col("first") + F.col("own")).drop("of", "in", "first", "own", "part")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    slim = cut(
-        docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), row_hash("doc_id", "text").alias("mix_h")
-        )
-    )
-    slim = numbered(slim)
-    mixed = _apply(slim, plan(slim.select("source", "size", F.col("mix_h").alias("h"))), "source")
+    h, tie = row_hashes("doc_id", "text", "source")
+    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h"), tie.alias("tie")))
+    mixed = _apply(slim, plan(slim.select("source", "size", "h", "tie")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
