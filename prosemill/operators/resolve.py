@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosemill.functions.arrays import running
+
 # Precedence of marks on the same span.
 RANKS = {"doubled": 70, "deslop": 60, "cliche": 50, "passive": 40, "hedge": 30, "weasel": 25, "adverb": 10}
 
@@ -38,6 +42,31 @@ def resolve_containment(marks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -
     return marks.withColumn("_reach", reach).where(~layered | (F.col("to") > F.col("_reach"))).drop("_reach")
 
 
+def without_ignored(marks: Column, words: list[str]) -> Column:
+    """An array of marks without those whose word is ignored."""
+    return F.filter(marks, lambda m: m["word"].isNull() | ~m["word"].isin(words)) if words else marks
+
+
+def with_resolved(rows: DataFrame, name: str = "marks") -> DataFrame:
+    """``resolve_containment`` within each row, on its array of marks: sorted, then run through once with the reach so far."""
+
+    def keyed(m: Column) -> Column:
+        layered = ~m["rule"].isin("longSentence", "doubled")
+        order = reduce(lambda w, x: w.when(m["rule"] == x[0], -x[1]), RANKS.items(), F.when(F.lit(False), 0)).otherwise(0)
+        return F.struct(m["from"].alias("from"), (-m["to"]).alias("end"), order.alias("order"), m["seq"].alias("seq"), layered.alias("layered"), m.alias("mark"))
+
+    def step(reach: Column, x: Column) -> Column:
+        return F.when(x["layered"], F.greatest(reach, -x["end"])).otherwise(reach)
+
+    def kept(reach: Column, x: Column) -> Column:
+        return F.when(~x["layered"] | (-x["end"] > reach), x["mark"])
+
+    kind = rows.schema[name].dataType.simpleString()
+    ordered = rows.withColumn("_ordered", F.sort_array(F.transform(name, keyed)))
+    found = running(F.col("_ordered"), F.lit(-1), step, kept, kind)
+    return ordered.withColumn(name, F.when(F.size("_ordered") > 1, F.filter(found, lambda m: m.isNotNull())).otherwise(F.col(name))).drop("_ordered")
+
+
 def counts_by_rule(marks: DataFrame) -> DataFrame:
     return marks.groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.functions.arrays import each
@@ -15,8 +15,6 @@ from prosemill.operators.scan import Phrase, Scanner, scan
 from prosemill.plans.options import RULES, RuleOptions
 from prosemill.sources.documents import spread
 
-COUNTED = tuple(RULES)
-
 
 @dataclass(frozen=True)
 class ProseEngine:
@@ -24,7 +22,8 @@ class ProseEngine:
 
     ``markdown`` masks what is not prose; ``segmenter`` is ``unicode`` or ``regex``. doc_id must identify a document and may be
     of any type, a struct too. Only enabled rules are planned. Each result is one scan of the texts that gives what
-    this result reads; texts are not shuffled, nothing is persisted, and only marks meet in a window.
+    this result reads, and expressions over a document's row: nothing is shuffled or persisted, so the same plans run on
+    streams.
     """
 
     docs: DataFrame
@@ -70,14 +69,28 @@ class ProseEngine:
     def candidates(self) -> DataFrame:
         return rules.rows(rules.with_marks(self.scanned(*rules.fields(self.options)), self.options))
 
+    def marked(self, *fields: str) -> DataFrame:
+        """One row for each document with ``marks``, an array of its marks, besides these fields."""
+        found = rules.with_marks(self.scanned(*rules.fields(self.options), *fields), self.options)
+        kept = found.select("doc_id", *fields, resolve.without_ignored(F.col("marks"), self.options.ignored()).alias("marks"))
+        return resolve.with_resolved(kept)
+
     @cached_property
     def marks(self) -> DataFrame:
-        kept = resolve.drop_ignored(self.candidates, self.options.ignored())
-        return resolve.resolve_containment(kept).drop("seq")
+        return rules.rows(self.marked()).drop("seq")
 
     @cached_property
     def counts(self) -> DataFrame:
-        return resolve.counts_by_rule(self.marks)
+        """``doc_id, rule, n`` of the rules that a document has marks of."""
+        pairs = F.array(*[F.struct(F.lit(r).alias("rule"), n.alias("n")) for r, n in self._numbers().items()])
+        return each(self.marked().select("doc_id", F.filter(pairs, lambda x: x["n"] > 0).alias("pairs")), ["doc_id"], "pairs")
+
+    @staticmethod
+    def _numbers() -> dict[str, Column]:
+        def number(rule: str) -> Column:
+            return F.size(F.filter("marks", lambda m: m["rule"] == rule)).cast("long")
+
+        return {rule: number(rule) for rule in RULES}
 
     @cached_property
     def readability(self) -> DataFrame:
@@ -85,25 +98,14 @@ class ProseEngine:
 
     @cached_property
     def summary(self) -> DataFrame:
-        """Scores of each document and a column with the count of each rule, from one scan.
-
-        A document's scores travel with its marks as a row without a rule, so documents without marks stay, and counting
-        uses the grouping of the window.
-        """
-        found = rules.with_marks(self.scanned(*rules.fields(self.options), *measures.READABILITY_FIELDS), self.options)
-        scored = measures.readability(found.select("doc_id", "marks", "words", "syllables"))
-        rows = scored.select("doc_id", F.struct(*measures.SCORES).alias("scores"), F.concat(F.array(F.lit(None).cast(rules.MARKS.removeprefix("array<")[:-1])), "marks").alias("marks"))
-        # An outer explode of a struct: the row of the scores has no mark.
-        rows = rows.select("doc_id", "scores", F.posexplode_outer("marks").alias("place", "x"))
-        rows = rows.select("doc_id", F.when(F.col("place") == 0, F.col("scores")).alias("scores"), "x.*")
-        kept = resolve.resolve_containment(resolve.drop_ignored(rows, self.options.ignored()))
-        counts = [F.count_if(F.coalesce(F.col("rule") == r, F.lit(False))).alias(r) for r in COUNTED]
-        return kept.groupBy("doc_id").agg(F.max("scores").alias("scores"), *counts).select("doc_id", "scores.*", *COUNTED)
+        """Scores of each document and a column with the count of each rule."""
+        scored = measures.readability(self.marked(*measures.READABILITY_FIELDS))
+        return scored.select("doc_id", *measures.SCORES, *[n.alias(r) for r, n in self._numbers().items()])
 
     @cached_property
     def stats(self) -> DataFrame:
         """Readability with the counts of the rules that have any as a map."""
-        pairs = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in COUNTED]), lambda x: x["n"] > 0)
+        pairs = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in RULES]), lambda x: x["n"] > 0)
         return self.summary.select("doc_id", *measures.SCORES, F.map_from_entries(pairs).alias("counts"))
 
     @cached_property

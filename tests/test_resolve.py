@@ -51,3 +51,17 @@ def test_classes(spark):
     assert [r[0] for r in df.select(css_class(F.col("rule"), F.col("severity"))).collect()] == [
         "pl-mark pl-long pl-verylong", "pl-mark pl-passive pl-quiet", "pl-mark pl-adverb", "pl-mark",
     ]
+
+
+def test_within_rows_equals_pairwise(spark):
+    from pyspark.sql import functions as F
+
+    from prosemill.operators.resolve import with_resolved
+
+    rng = random.Random(7)
+    cases = {case: [(f := rng.randrange(30), f + 1 + rng.randrange(14), rng.choice(RULES), seq) for seq in range(rng.randrange(12))] for case in range(600)}
+    cases[1000] = [(f := rng.randrange(3000), f + 1 + rng.randrange(40), rng.choice(RULES), seq) for seq in range(900)]
+    df = spark.createDataFrame(list(cases.items()), "doc_id int, marks array<struct<from:int,to:int,rule:string,seq:int>>")
+    got = with_resolved(df).select("doc_id", F.explode("marks").alias("x")).select("doc_id", "x.*").collect()
+    want = set().union(*(pairwise([(c, *m) for m in marks]) for c, marks in cases.items()))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
