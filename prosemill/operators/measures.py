@@ -227,6 +227,11 @@ def side_delta(snapshots: DataFrame) -> DataFrame:
     """The same from one table with a ``side`` column (before, after), in one grouping; documents with one side are left out."""
     item = F.struct(*[k for k, _, _ in METRICS])
     ends = snapshots.groupBy("doc_id").agg(*[F.max(F.when(F.col("side") == side, item)).alias(side) for side in ("before", "after")])
+    return change_rows(ends.where("before is not null and after is not null"), ["doc_id"])
+
+
+def change_rows(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each metric from rows with ``before`` and ``after``, structs of the compared numbers, and these keys."""
     rows = F.array(
         *[
             F.struct(
@@ -236,11 +241,11 @@ def side_delta(snapshots: DataFrame) -> DataFrame:
             for i, (k, label, sign) in enumerate(METRICS)
         ]
     )
-    both = ends.where("before is not null and after is not null").select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*")
+    both = ends.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*")
     change = round1(F.col("after") - F.col("before"))
     moved = F.when((F.col("sign") != 0) & (F.col("delta") != 0), F.signum("delta") == F.col("sign"))
     return both.withColumn("delta", F.when(change == 0, 0.0).otherwise(change)).select(
-        "doc_id", "ord", "key", "label", "before", "after", "delta", moved.alias("better")
+        *keys, "ord", "key", "label", "before", "after", "delta", moved.alias("better")
     )
 
 

@@ -1,87 +1,134 @@
-"""The analysis of a stream: settled revisions go through the engine, and each document's baseline is compared with its latest."""
+"""The analysis of a stream, in one query with keyed state: which revisions are new, and how far each document has moved since its first.
+
+Revisions (doc_id, version, ts, text) are debounced, compared with what the state knows of their document, analysed if their text or the
+options changed, and compared with the document's first and latest snapshot. State is a value for each open document in the
+state store: a batch touches the documents it has revisions of and no others, and what is not touched for ``ttl`` expires.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Iterator
+from typing import Any
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from prosemill.operators import measures
 from prosemill.plans.engine import ProseEngine
 from prosemill.plans.options import RuleOptions
 from prosemill.streaming.revisions import debounce
 
-TTL = "7 days"
+TTL_MS = 7 * 24 * 3600 * 1000
 METRICS = [k for k, _, _ in measures.METRICS]
+NUMBERS = "array<double>"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+def keep_state_in_rocks(spark: SparkSession) -> SparkSession:
+    """Queries started from now on keep their state in RocksDB, which expiry needs; running and earlier ones keep their own."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return spark
 
-def _store(batch: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return batch.sparkSession.read.parquet(path)
-    except (AnalysisException, Py4JJavaError):
-        return None
 
+class _Known(StatefulProcessor):
+    """What kind each revision is: ``first``, ``changed``, ``same`` or ``closed`` (its text is null).
 
-def analyse_batch(batch: DataFrame, known: DataFrame | None, options: RuleOptions = RuleOptions(), ttl: str = TTL) -> DataFrame:
-    """The store after a batch of revisions: doc_id, ts, text_hash, epoch, before, after, moved.
+    Known of a document are its last text's hash and the epoch it was analysed in. A ``same`` revision and a closed one go on without text.
+    """
 
-    ``before`` is the snapshot of a document's first revision, ``after`` that of its latest. A document is analysed if its
-    text is not the one known, or if the options (the epoch) are not those it was analysed with; one whose text is null
-    is closed and forgotten, as is one without a revision for ``ttl`` before the batch's latest. ``moved`` tells
-    whether this batch changed the latest snapshot.
+    def __init__(self, epoch: str, ttl_ms: int):
+        self.epoch, self.ttl_ms = epoch, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "text_hash string, epoch string", self.ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = self.known.get() if self.known.exists() else None
+        out = []
+        for row in pd.concat(rows).sort_values(["ts", "version"]).itertuples():
+            if row.text is None or row.text != row.text:
+                out.append((row.doc_id, row.version, row.ts, "closed", None))
+                known = None
+                continue
+            mine = (hashlib.sha256(row.text.encode()).hexdigest(), self.epoch)
+            kind = "first" if known is None else "same" if tuple(known) == mine else "changed"
+            out.append((row.doc_id, row.version, row.ts, kind, None if kind == "same" else row.text))
+            known = mine
+        if known is None:
+            self.known.clear()
+        else:
+            self.known.update(tuple(known))
+        yield pd.DataFrame(out, columns=["doc_id", "version", "ts", "kind", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+class _Baselines(StatefulProcessor):
+    """First and latest numbers of each document; one row for each revision that was analysed."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ends = handle.getValueState("ends", f"before {NUMBERS}, after {NUMBERS}", self.ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        ends = self.ends.get() if self.ends.exists() else None
+        out = []
+        for row in pd.concat(rows).sort_values(["ts", "version"]).itertuples():
+            if row.kind == "closed":
+                ends = None
+            elif row.kind != "same":
+                now = [float(x) for x in row.numbers]
+                before, last = (now, now) if ends is None or row.kind == "first" else ([float(x) for x in side] for side in ends)
+                out.append((row.doc_id, row.version, row.ts, row.kind, before, now, now != last))
+                ends = (before, now)
+        if ends is None:
+            self.ends.clear()
+        else:
+            self.ends.update(tuple([float(x) for x in side] for side in ends))
+        yield pd.DataFrame(out, columns=["doc_id", "version", "ts", "kind", "before", "after", "moved"])
+
+    def close(self) -> None:
+        pass
+
+
+def changes(revisions: DataFrame, options: RuleOptions = RuleOptions(), ttl_ms: int = TTL_MS) -> DataFrame:
+    """``doc_id, version, ts, kind, text`` of settled revisions: what is new of each.
+
+    The options are the epoch: under others every document is ``changed`` at its next revision, whatever its text. A revision whose text is null
+    closes its document, and the next one is a first again, as it is after ``ttl_ms`` without any.
     """
-    epoch = F.lit(repr(options))
-    latest = batch.groupBy("doc_id").agg(F.max_by(F.struct("ts", "text"), F.struct("ts", "version")).alias("x")).select("doc_id", "x.*")
-    rows = latest.withColumn("text_hash", F.sha2("text", 256)).withColumn("epoch", epoch)
-    fresh = rows.where("text is not null")
-    if known is not None:
-        same = known.select("doc_id", F.col("text_hash").alias("h"), F.col("epoch").alias("e"))
-        fresh = fresh.join(same, "doc_id", "left").where(~(F.col("h").eqNullSafe(F.col("text_hash")) & F.col("e").eqNullSafe(F.col("epoch")))).drop("h", "e")
-    shots = ProseEngine(fresh.select("doc_id", "text"), options).snapshot.select("doc_id", F.struct(*METRICS).alias("shot"))
-    done = fresh.drop("text").join(shots, "doc_id")
-    if known is None:
-        return done.select("doc_id", "ts", "text_hash", "epoch", F.col("shot").alias("before"), F.col("shot").alias("after"), F.lit(False).alias("moved"))
-    closed = rows.where("text is null").select("doc_id")
-    limit = rows.agg(F.max("ts").alias("upto"))
-    kept = known.join(closed, "doc_id", "left_anti").join(F.broadcast(limit)).where(F.col("ts") >= F.col("upto") - F.expr(f"INTERVAL {ttl}")).drop("upto")
-    new = done.withColumnsRenamed({"ts": "ts2", "text_hash": "hash2", "epoch": "epoch2"})
-    return kept.drop("moved").join(new, "doc_id", "full").select(
-        "doc_id",
-        F.coalesce("ts2", "ts").alias("ts"),
-        F.coalesce("hash2", "text_hash").alias("text_hash"),
-        F.coalesce("epoch2", "epoch").alias("epoch"),
-        F.coalesce("before", "shot").alias("before"),
-        F.coalesce("shot", "after").alias("after"),
-        (F.col("shot").isNotNull() & F.col("before").isNotNull() & (F.col("shot") != F.col("after"))).alias("moved"),
-    )
-
-
-def deltas(store: DataFrame) -> DataFrame:
-    """The compared metrics of every document in a store."""
-    sides = [store.select("doc_id", F.lit(side).alias("side"), f"{side}.*") for side in ("before", "after")]
-    return measures.side_delta(sides[0].unionByName(sides[1]))
-
-
-def analyse_stream(
-    revisions: DataFrame, store: str, checkpoint: str, options: RuleOptions = RuleOptions(), sink: Callable[[DataFrame, int], None] | None = None
-) -> StreamingQuery:
-    """Start a query that debounces ``revisions`` (doc_id, version, ts, text), analyses what changed and keeps the store.
-
-    The store after batch n is a table in ``store``/n, written from the one before it, so that a batch that is run again
-    after a failure gives the same table. ``sink`` gets the deltas of the documents that moved.
+    schema = T.StructType([*[revisions.schema[c] for c in ("doc_id", "version", "ts")], T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
+    # The key is another one than the bursts', as two state stores of one key would be opened by the same task.
+    settled = debounce(revisions).select(F.col("doc_id").cast("string").alias("key"), "doc_id", "version", "ts", "text")
+    return settled.groupBy("key").transformWithStateInPandas(_Known(repr(options), ttl_ms), schema, "Append", "ProcessingTime")
+
+
+def analysed(revisions: DataFrame, options: RuleOptions = RuleOptions(), ttl_ms: int = TTL_MS) -> DataFrame:
+    """``doc_id, version, ts, kind, before, after, moved`` of every settled revision whose text or options are new.
+
+    ``before`` has the numbers of the document's first revision and ``after`` those of this one; ``moved`` tells whether they differ from the
+    revision before. Start it with ``keep_state_in_rocks``; a query that is started again on its checkpoint goes on with its state. As state
+    expires by the clock, batches without data go on for ever, unless ``spark.sql.streaming.noDataMicroBatches.enabled`` is off.
     """
+    new = changes(revisions, options, ttl_ms)
+    named = new.select(F.struct("doc_id", "version", "ts", "kind").alias("doc_id"), "text")
+    shots = ProseEngine(named, options).snapshot.select("doc_id.*", F.array(*METRICS).alias("numbers"))
+    schema = T.StructType([new.schema[c] for c in ("doc_id", "version", "ts", "kind")]).add("before", T.ArrayType(T.DoubleType())).add("after", T.ArrayType(T.DoubleType())).add("moved", "boolean")
+    found = shots.groupBy("doc_id").transformWithStateInPandas(_Baselines(ttl_ms), schema, "Append", "ProcessingTime")
+
+    def named_numbers(side: str):
+        return F.struct(*[F.get(side, F.lit(i)).alias(k) for i, k in enumerate(METRICS)]).alias(side)
+
+    return found.select("doc_id", "version", "ts", "kind", named_numbers("before"), named_numbers("after"), "moved")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty() and batch_id > 0 and (before := _store(batch, f"{store}/{batch_id - 1}")) is not None:
-            before.withColumn("moved", F.lit(False)).write.mode("overwrite").parquet(f"{store}/{batch_id}")
-            return
-        known = _store(batch, f"{store}/{batch_id - 1}") if batch_id > 0 else None
-        analyse_batch(batch, known, options).write.mode("overwrite").parquet(f"{store}/{batch_id}")
-        if sink is not None:
-            sink(deltas(batch.sparkSession.read.parquet(f"{store}/{batch_id}").where("moved")), batch_id)
 
-    return debounce(revisions).writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", checkpoint).start()
+def deltas(found: DataFrame) -> DataFrame:
+    """The compared metrics of each analysed revision against its document's first, a row for each: no grouping, so it runs on the stream."""
+    return measures.change_rows(found, ["doc_id", "version"])

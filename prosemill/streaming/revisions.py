@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 IDLE = "250 milliseconds"
 LATE = "1 minute"
-SKIPS = "doc_id long, version long, text_hash string, kind string"
 
 
 def debounce(revisions: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFrame:
@@ -27,35 +22,6 @@ def debounce(revisions: DataFrame, idle: str = IDLE, late: str = LATE) -> DataFr
     return last.select("doc_id", "x.version", "x.ts", "x.text", "revisions")
 
 
-def classify(revisions: DataFrame) -> DataFrame:
-    """What to do with each revision, from keyed state: ``first``, ``changed`` or ``same`` as the one before.
-
-    State is one hash for each open document; a revision whose text is null closes the document (kind ``closed``)
-    and drops its state.
-    """
-
-    def step(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(frames).sort_values(["ts", "version"]).itertuples():
-            if row.text_hash is None or row.text_hash != row.text_hash:
-                known, kind = None, "closed"
-            else:
-                kind = "first" if known is None else "same" if known == row.text_hash else "changed"
-                known = row.text_hash
-            out.append((key[0], row.version, row.text_hash, kind))
-        if known is not None:
-            state.update((known,))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["doc_id", "version", "text_hash", "kind"])
-
-    hashed = revisions.select("doc_id", "version", "ts", F.sha2("text", 256).alias("text_hash"))
-    return hashed.groupBy("doc_id").applyInPandasWithState(
-        step, SKIPS, "text_hash string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def baselines(snapshots: DataFrame) -> DataFrame:
     """First and latest snapshot of each document in a batch: doc_id, before, after (structs of its columns)."""
     item = F.struct(*[c for c in snapshots.columns if c != "doc_id"])

@@ -95,18 +95,6 @@ def test_streams(spark, tmp_path):
     assert {(r[0], r[1]) for r in rows} == {(1, 3), (1, 4), (2, 1)}
 
 
-def test_classified_stream(spark, tmp_path):
-    source = str(tmp_path / "in")
-    later = [(1, 5, dt.datetime(2024, 1, 1, 0, 0, 5), None), (1, 6, dt.datetime(2024, 1, 1, 0, 0, 6), "abc")]
-    spark.createDataFrame(_revisions() + later, REVISION).write.parquet(source)
-    stream = spark.readStream.schema(REVISION).parquet(source)
-    q = R.classify(stream).writeStream.format("memory").queryName("kinds").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    rows = spark.sql("select version, kind from kinds where doc_id = 1 order by version").collect()
-    assert [r[1] for r in rows] == ["first", "changed", "changed", "same", "closed", "first"]
-
-
 def test_queries_equal_their_sql(spark, sf_dir):
     import __spark_entry__ as entry
 
