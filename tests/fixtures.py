@@ -1,4 +1,4 @@
-"""Small fixed tables for what the benchmark tables do not hold: Markdown, hedges, phrases, machine prose, edits.
+"""Small fixed tables: Markdown, hedges, phrases, machine prose, edits.
 
 Each case is written once, with what is expected marked in it, and gives both the query's input and, as VALUES, the rows
 that the query must return. The texts are this project's own.
