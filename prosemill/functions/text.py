@@ -97,6 +97,20 @@ def skip_text(reason: Column, chars: Column, limit: Column) -> Column:
     return F.when(reason == "muted", "Marks are muted for this note.").when(reason == "too-large", large)
 
 
+def status_explained(grade: Column, flesch: Column, words: Column) -> Column:
+    """One sentence on what the grade means; null for a text without words."""
+    said = F.concat(
+        F.format_number(words, 0), F.format_string(" words · Flesch–Kincaid grade %.1f — ", grade), F.lit("the US school grade needed to read this note; most web writing lands 6–9. "),
+        F.lit("Reading ease "), F.floor(flesch + 0.5).cast("string"), F.lit(" ("), ease_label(flesch), F.lit(")."),
+    )
+    return F.when(words > 0, said)
+
+
+def skip_status(reason: Column) -> Column:
+    """What the status line shows of a document that was not analysed."""
+    return F.when(reason == "muted", "Prose muted").when(reason == "too-large", "Prose paused")
+
+
 def web_url(url: Column, fallback: str) -> Column:
     """The URL if it is http or https, else the fallback."""
     scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))

@@ -77,7 +77,7 @@ class Settings:
         )
 
 
-def _stored_name(name: str) -> str:
+def stored_name(name: str) -> str:
     head, *rest = name.split("_")
     return head + "".join(w.capitalize() for w in rest)
 
@@ -94,7 +94,7 @@ def normalize_settings(raw: Any) -> Settings:
     default = Settings()
     out: dict[str, Any] = {}
     for f in fields(Settings):
-        value, usual = stored.get(_stored_name(f.name)), getattr(default, f.name)
+        value, usual = stored.get(stored_name(f.name)), getattr(default, f.name)
         if isinstance(usual, bool):
             out[f.name] = value if isinstance(value, bool) else usual
         elif isinstance(usual, str):

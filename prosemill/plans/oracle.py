@@ -5,7 +5,7 @@ from __future__ import annotations
 from prosemill.functions import lexicons as L
 from prosemill.operators.measures import METRICS
 from prosemill.operators.resolve import RANKS
-from prosemill.plans import planted
+from prosemill.plans import planted, reports
 
 SPACES = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?:[''’-][A-Za-zÀ-ÖØ-öø-ÿ]+)*"
@@ -248,6 +248,7 @@ FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS runs, sum(found) AS total FROM
 
 ORACLE_SQL = {
     **planted.ORACLE_SQL,
+    **reports.oracle_sql(DOCUMENTS),
     "moved": f"SELECT doc_id, bool_or(delta <> 0) AS moved FROM ({_delta()}) GROUP BY doc_id",
     "changed_documents": "SELECT doc_id, sha256(coalesce(text, '')) AS text_hash FROM documents WHERE doc_id % 3 <> 0",
     "fifth_adverbs": f"""{DOCUMENTS}, own AS (SELECT doc_id, start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop) - 1 AS place,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prosemill.functions.text import skip_text, status_text, word_at
 from prosemill.operators import measures, navigate, resolve, rules
-from prosemill.plans import planted
+from prosemill.plans import planted, reports
 from prosemill.plans.engine import ProseEngine
 from prosemill.plans.options import RuleOptions
 from prosemill.sources.documents import changed, guard
@@ -307,4 +307,5 @@ QUERIES: dict[str, Query] = {
     "marks_at_middle": marks_at_middle,
     "dimmed": dimmed,
     **planted.QUERIES,
+    **reports.QUERIES,
 }
