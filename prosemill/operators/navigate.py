@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BIN = 64
+
+
+def _swept(items: DataFrame, cursors: DataFrame, item: Column, at: str, forward: bool, tie: tuple[str, ...], strict: bool) -> DataFrame:
+    """Each (doc_id, cursor) once, with ``hit``: the last item at or before it, or the first after it if ``forward``; null if none.
+
+    Items and cursors of a document are put in one order and run through once, so that 100,000 of either cost a sort and no pairs.
+    ``strict`` leaves out items at the cursor itself. Items of one place are told apart by ``tie``.
+    """
+    own = items.select("doc_id", F.col(at).alias("_at"), item.alias("_item"), F.struct(*tie).alias("_tie"))
+    asked = cursors.select("doc_id", "cursor").distinct().select("doc_id", F.col("cursor").alias("_at"), "cursor")
+    both = own.unionByName(asked, allowMissingColumns=True)
+    is_cursor = F.col("cursor").isNotNull()
+    # Backward, a cursor comes after the items at its place unless these do not count; forward all is the other way round.
+    order = [F.desc("_at") if forward else F.asc("_at"), F.asc(is_cursor) if not strict else F.desc(is_cursor), F.desc("_tie") if forward else F.asc("_tie")]
+    window = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("hit", F.last("_item", ignorenulls=True).over(window)).where(is_cursor).select("doc_id", "cursor", "hit")
+
+
 def step_mark(marks: DataFrame, cursors: DataFrame, forward: bool = True) -> DataFrame:
     """For each (doc_id, cursor): the next mark after it, else the first; or the last before it, else the last."""
-    best = F.min_by if forward else F.max_by
-    item = F.struct("from", "to", "rule", "message")
-    order = F.struct("from", "to", "rule")
-    beyond = F.col("from") > F.col("cursor") if forward else F.col("from") < F.col("cursor")
-    found = cursors.join(marks, "doc_id").groupBy("doc_id", "cursor").agg(
-        best(F.when(beyond, item), F.when(beyond, order)).alias("hit"), best(item, order).alias("wrapped")
-    )
-    return found.select("doc_id", "cursor", F.coalesce("hit", "wrapped").alias("x")).select("doc_id", "cursor", "x.*")
+    item, order = F.struct("from", "to", "rule", "message"), F.struct("from", "to", "rule")
+    found = _swept(marks, cursors, item, "from", forward, ("to", "rule"), strict=True)
+    ends = marks.groupBy("doc_id").agg((F.min_by if forward else F.max_by)(item, order).alias("wrapped"))
+    return found.join(ends, "doc_id").select("doc_id", "cursor", F.coalesce("hit", "wrapped").alias("x")).select("doc_id", "cursor", "x.*")
 
 
 def nth_of_rule(marks: DataFrame, walks: DataFrame) -> DataFrame:
@@ -28,15 +45,23 @@ def nth_of_rule(marks: DataFrame, walks: DataFrame) -> DataFrame:
 
 
 def sentence_at(sentences: DataFrame, cursors: DataFrame) -> DataFrame:
-    """The first sentence that holds each cursor, both ends included."""
-    hits = cursors.join(sentences.select("doc_id", "sent_idx", "from", "to"), "doc_id").where("cursor between `from` and `to`")
-    first = hits.groupBy("doc_id", "cursor").agg(F.min(F.struct("from", "to", "sent_idx")).alias("x"))
-    return first.select("doc_id", "cursor", "x.*")
+    """The first sentence that holds each cursor, both ends included. Sentences of a document may touch but do not overlap."""
+    item = F.struct("from", "to", "sent_idx")
+    before = F.lag(item).over(Window.partitionBy("doc_id").orderBy("from", "to"))
+    paired = sentences.select("doc_id", "from", "to", "sent_idx", before.alias("before"))
+    found = _swept(paired, cursors, F.struct(item.alias("own"), "before"), "from", False, ("to", "sent_idx"), strict=False)
+    held = F.when(F.col("hit.before.to") >= F.col("cursor"), F.col("hit.before")).when(F.col("hit.own.to") >= F.col("cursor"), F.col("hit.own"))
+    return found.select("doc_id", "cursor", held.alias("x")).where("x is not null").select("doc_id", "cursor", "x.*")
 
 
 def mark_of_word(marks: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Marks of a word around a cursor: (doc_id, cursor, word)."""
-    return lookups.join(marks, ["doc_id", "word"]).where("cursor between `from` and `to`")
+    """Marks of a word around a cursor: (doc_id, cursor, word).
+
+    A mark lies in the few bins of ``BIN`` characters that it touches, so a cursor only meets marks near by.
+    """
+    binned = marks.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("from") / BIN), F.floor(F.col("to") / BIN))))
+    asked = lookups.withColumn("_bin", F.floor(F.col("cursor") / BIN))
+    return asked.join(binned, ["doc_id", "word", "_bin"]).where("cursor between `from` and `to`").drop("_bin")
 
 
 def focus_ranges(sentences: DataFrame, cursors: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -63,6 +88,85 @@ def map_offset(offset: Column, edits: Column, bias: int) -> Column:
     return F.aggregate(edits, offset.cast("int"), step)
 
 
+EDITED = "doc_id long, part long, side int, starts array<long>, values array<long>, moves array<boolean>"
+PART = 256
+
+
+def _edit(low: int, high: int, insert: int, side: int) -> tuple[list[int], list[int], list[bool]]:
+    """One edit as a map of offsets: from each start on, offsets move along from a value or stay at it. ``side`` as in ``map_offset``."""
+    inside = low if side < 0 else low + insert
+    if low == high:
+        first = low + (side < 0)
+        pieces = [(0, 0, True), (first, first + insert, True)]
+    else:
+        pieces = [(0, 0, True), (low + 1, inside, False), (high, low + insert, True)]
+    last = {start: (value, moves) for start, value, moves in pieces}  # an empty piece gives way to the next one
+    starts = sorted(last)
+    return starts, [last[x][0] for x in starts], [last[x][1] for x in starts]
+
+
+def compose(first: tuple, then: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The map that applies ``first`` and ``then``: associative, so that maps of an edit log can be joined in any grouping.
+
+    Where ``first`` moves along, the starts of ``then`` that its values pass are starts of the whole as well.
+    """
+    (p, v, m), (q, w, n) = (tuple(map(np.asarray, x)) for x in (first, then))
+    ends = v + np.append(np.diff(p), 1 << 62)
+    low, high = np.searchsorted(q, v, "right"), np.searchsorted(q, ends, "left")
+    count = np.where(m, np.maximum(high - low, 0), 0)
+    piece = np.repeat(np.arange(len(p)), count)
+    passed = q[np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    starts = np.concatenate((p, p[piece] + passed - v[piece]))
+    values, moves = np.concatenate((v, passed)), np.concatenate((m, m[piece]))
+    order = np.argsort(starts, kind="stable")
+    starts, values, moves = starts[order], values[order], moves[order]
+    at = np.searchsorted(q, values, "right") - 1
+    return starts, w[at] + np.where(n[at], values - q[at], 0), moves & n[at]
+
+
+def composed(edits: DataFrame) -> DataFrame:
+    """Edit logs (doc_id, seq, from, to, insert) as one map for each document and side: ``doc_id, side, start, value, moves``, a row for each piece.
+
+    Edits follow one another in ``seq``, from 0, each in the offsets that the one before leaves. They are composed in a tree: parts of ``PART``
+    edits, then parts of parts, so no task folds a whole log one by one and only maps move on.
+    """
+
+    def fold(maps: list[tuple]) -> tuple:
+        while len(maps) > 1:
+            maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
+    def row(key: tuple, side: int, x: tuple) -> tuple:
+        return key[0], key[1], side, *(list(map(t, c)) for t, c in zip((int, int, bool), x))
+
+    def leaves(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("seq")[["from", "to", "insert"]].astype(int).values.tolist()
+        rows = [row(key, side, fold([_edit(a, b, n, side) for a, b, n in ordered])) for side in (-1, 1)]
+        return pd.DataFrame(rows, columns=["doc_id", "part", "side", "starts", "values", "moves"])
+
+    def parents(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values("part")
+        whole = fold([(r.starts, r.values_, r.moves) for r in ordered.rename(columns={"values": "values_"}).itertuples()])
+        return pd.DataFrame([row(key, key[2], whole)], columns=["doc_id", "part", "side", "starts", "values", "moves"])
+
+    parts = edits.groupBy("doc_id", F.floor(F.col("seq") / PART).alias("part")).applyInPandas(leaves, EDITED)
+    most = edits.agg(F.max("seq")).first()[0] or 0
+    tiers = 0
+    while most // PART >> 4 * tiers:
+        parts = parts.withColumn("part", F.floor(F.col("part") / 16)).groupBy("doc_id", "part", "side").applyInPandas(parents, EDITED)
+        tiers += 1
+    pieces = F.arrays_zip(F.col("starts").alias("start"), F.col("values").alias("value"), "moves")
+    return parts.select("doc_id", "side", F.explode(pieces).alias("x")).select("doc_id", "side", "x.*")
+
+
+def remap(maps: DataFrame, offsets: DataFrame, side: int) -> DataFrame:
+    """``doc_id, offset, moved``: offsets through their document's map, by one sweep; those of documents without edits stay."""
+    own = maps.where(F.col("side") == side).select("doc_id", F.col("start").alias("from"), "value", "moves")
+    found = _swept(own, offsets.withColumnRenamed("offset", "cursor"), F.struct("from", "value", "moves"), "from", False, ("value",), strict=False)
+    moved = F.col("hit.value") + F.when(F.col("hit.moves"), F.col("cursor") - F.col("hit.from")).otherwise(0)
+    return found.select("doc_id", F.col("cursor").alias("offset"), F.coalesce(moved, F.col("cursor")).cast("long").alias("moved"))
+
+
 def reveal(offset: Column, length: Column) -> Column:
     """An offset clamped to the document; null if negative."""
     return F.when(offset >= 0, F.least(offset, length))
