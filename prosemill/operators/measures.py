@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -261,3 +262,28 @@ def legend(counted: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     shown = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r).alias("rule"), F.lit(n).alias("name"), F.col(r).cast("long").alias("n")) for i, (r, n) in enumerate(rules)])
     total = sum((F.col(r) for r, _ in rules), F.lit(0)).cast("long")
     return each(counted.select("doc_id", shown.alias("shown"), total.alias("total")), ["doc_id", "total"], "shown").select("doc_id", "ord", "rule", "name", "n", "total")
+
+
+#: Size of the quantile sketch: the rank of a quantile is within about 1.7 % (for k = 200, with 99 % probability).
+KLL_K, HLL_BITS = 200, 12
+QUANTILES = (0.1, 0.5, 0.9)
+
+
+def sketched(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, sentences, q10, q50, q90 and vocabulary of each group of ``keys``, of each prefix of them, and of all rows.
+
+    ``rows`` have ``words``, the lengths of a document's sentences, and ``lower``, its words. Sketches are made once for each group, and those of
+    larger groups are unions of them. Keys of a larger group are null there; ``level`` tells how many are given.
+    """
+    lengths = rows.select(*keys, F.explode("words").alias("n"))
+    heard = rows.select(*keys, F.explode("lower").alias("word"))
+    quantiles = lengths.groupBy(*keys).agg(F.kll_sketch_agg_bigint(F.col("n").cast("long"), KLL_K).alias("kll"), F.count("*").alias("sentences"))
+    vocabulary = heard.groupBy(*keys).agg(F.hll_sketch_agg("word", HLL_BITS).alias("hll"))
+    same = [F.col(f"q.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys]
+    base = quantiles.alias("q").join(vocabulary.alias("v"), reduce(Column.__and__, same), "left").select(*[f"q.{k}" for k in keys], "kll", "sentences", "hll")
+    level = sum((1 - F.grouping(k) for k in keys), F.lit(0)).cast("int")
+    found = base.rollup(*keys).agg(
+        F.kll_merge_agg_bigint("kll").alias("kll"), F.hll_union_agg("hll").alias("hll"), F.sum("sentences").alias("sentences"), level.alias("level")
+    )
+    named = [F.kll_sketch_get_quantile_bigint("kll", F.lit(q)).alias(f"q{round(100 * q)}") for q in QUANTILES]
+    return found.select(*keys, "level", "sentences", *named, F.hll_sketch_estimate("hll").alias("vocabulary"))

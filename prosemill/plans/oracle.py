@@ -246,7 +246,24 @@ walk AS (
 SELECT d.doc_id, coalesce(r.runs, 0)::INT AS runs, coalesce(r.total, 0)::INT AS "flatSentences"
 FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS runs, sum(found) AS total FROM walk WHERE found > 0 GROUP BY doc_id) r USING (doc_id)"""
 
+REMAPPED = """WITH RECURSIVE edits AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id % 500 AS low, event_id % 500 + event_id % 5 AS high, event_id % 4 AS n FROM events),
+walk AS (
+  SELECT DISTINCT user_id, x AS "offset", x AS l, x AS r, 0::BIGINT AS k FROM events, range(0, 601, 60) t(x)
+  UNION ALL
+  SELECT w.user_id, "offset", CASE WHEN l <= low THEN l WHEN l < high THEN low ELSE l + n - (high - low) END,
+    CASE WHEN r < low OR (r = low AND high > low) THEN r WHEN r < high THEN low + n ELSE r + n - (high - low) END, e.k
+  FROM walk w JOIN edits e ON e.user_id = w.user_id AND e.k = w.k + 1)
+SELECT user_id AS doc_id, "offset", l AS to_left, r AS to_right FROM walk w JOIN (SELECT user_id, max(k) AS most FROM edits GROUP BY user_id) m USING (user_id) WHERE k = most"""
+
 ORACLE_SQL = {
+    "remapped": REMAPPED,
+    "sql_scores": f"""SELECT lang, source, count(*) AS words, sum({syllables('word')})::BIGINT AS syllables, max({syllables('word')})::INT AS most,
+  CASE WHEN e >= 80 THEN 'Very easy' WHEN e >= 60 THEN 'Easy' ELSE 'other' END AS ease FROM (
+  SELECT *, {round1("100 - 10 * (sum(" + syllables('word') + ") OVER (PARTITION BY lang, source))::DOUBLE / count(*) OVER (PARTITION BY lang, source)")} AS e
+  FROM (SELECT lang, source, unnest(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS word FROM documents)) GROUP BY lang, source, e""",
+    "sql_marks": f"""{DOCUMENTS} SELECT m.doc_id, rule, count(*) AS n, min(start) AS first, grade FROM marks m JOIN labelled s USING (doc_id)
+WHERE rule IN ('adverb', 'passive') AND words > 100 GROUP BY m.doc_id, rule, grade""",
     **planted.ORACLE_SQL,
     **reports.oracle_sql(DOCUMENTS),
     "moved": f"SELECT doc_id, bool_or(delta <> 0) AS moved FROM ({_delta()}) GROUP BY doc_id",

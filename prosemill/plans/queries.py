@@ -6,9 +6,10 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prosemill.functions.sql import register_functions, register_views
 from prosemill.functions.text import skip_text, status_text, word_at
 from prosemill.operators import measures, navigate, resolve, rules
 from prosemill.plans import planted, reports
@@ -253,6 +254,47 @@ def machine_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full(spark, sf_dir).machine_prose_count()
 
 
+def sql_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, syllables and the longest word of every document by language, in SQL with the functions of this package."""
+    register_functions(spark)
+    _documents(spark, sf_dir).createOrReplaceTempView("sql_documents")
+    return spark.sql("""
+        SELECT lang, source, count(*) AS words, CAST(sum(syllables(word)) AS BIGINT) AS syllables, max(syllables(word)) AS most,
+          ease_label(round1(100 - 10 * CAST(sum(syllables(word)) AS DOUBLE) / count(*))) AS ease
+        FROM (SELECT lang, source, explode(own) AS word FROM (SELECT lang, source, prose_words(text) AS own FROM sql_documents)) GROUP BY lang, source""")
+
+
+def sql_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adverbs and passives of long documents, by SQL over an engine's views."""
+    register_views(plain(spark, sf_dir), "drafts")
+    return spark.sql("""
+        SELECT m.doc_id, m.rule, count(*) AS n, min(m.`from`) AS first, s.grade FROM drafts_marks m JOIN drafts_scores s ON s.doc_id = m.doc_id
+        WHERE m.rule IN ('adverb', 'passive') AND s.words > 100 GROUP BY m.doc_id, m.rule, s.grade""")
+
+
+def remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of each user's text through that user's events, taken for edits of it in their order."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    low = F.col("event_id") % 500
+    edits = events.select(F.col("user_id").alias("doc_id"), seq.cast("long").alias("seq"), low.alias("from"), (low + F.col("event_id") % 5).alias("to"), (F.col("event_id") % 4).alias("insert"))
+    maps = navigate.composed(edits)
+    offsets = events.select(F.col("user_id").alias("doc_id")).distinct().select("doc_id", F.explode(F.sequence(*[F.lit(x).cast("long") for x in (0, 600, 60)])).alias("offset"))
+    sides = [navigate.remap(maps, offsets, side).withColumnRenamed("moved", name) for side, name in ((-1, "to_left"), (1, "to_right"))]
+    return sides[0].join(sides[1], ["doc_id", "offset"])
+
+
+def length_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of sentence length and numbers of different words by language and source, from sketches that merge.
+
+    Each group has one KLL sketch of its sentences' lengths and one HLL sketch of its words, and the rows of a language and of the whole are
+    unions of these: no group is sorted and no word list is shuffled.
+    """
+    engine = _with_facts(plain(spark, sf_dir), "lang", "source")
+    rows = engine.scanned("words", "lower").select(F.col("doc_id.lang").alias("lang"), F.col("doc_id.source").alias("source"), "words", "lower")
+    return measures.sketched(rows, ["lang", "source"])
+
+
 def page_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     masked = ProseEngine(pages).masked
@@ -290,6 +332,10 @@ QUERIES: dict[str, Query] = {
     "markdown_readability": markdown_readability,
     "machine_prose": machine_prose,
     "page_masks": page_masks,
+    "sql_scores": sql_scores,
+    "sql_marks": sql_marks,
+    "remapped": remapped,
+    "length_sketches": length_sketches,
     "full_rule_counts": partial(rule_counts, engine=full),
     "full_legend_counts": partial(legend_counts, engine=full),
     "full_corpus_rollup": partial(corpus_rollup, engine=full),
