@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from prosemill.functions.arrays import each
 from prosemill.operators import measures, resolve, rules
 from prosemill.operators.mask import masked
-from prosemill.operators.scan import Phrase, Scanner, scan
+from prosemill.operators.scan import FIELDS, Phrase, Scanner, scan
 from prosemill.plans.options import RULES, RuleOptions
-from prosemill.sources.documents import spread
+from prosemill.sources.documents import spread, write_sections
 
 
 @dataclass(frozen=True)
@@ -30,15 +30,27 @@ class ProseEngine:
     options: RuleOptions = field(default_factory=RuleOptions)
     markdown: bool = True
     segmenter: str = "unicode"
+    store: DataFrame | None = None
 
     def scanned(self, *fields: str, phrases: tuple[Phrase, ...] | None = None, echo: measures.EchoOptions = measures.EchoOptions()) -> DataFrame:
-        """One row for each document with these fields of ``scan.FIELDS``."""
+        """One row for each document with these fields of ``scan.FIELDS``; from the store if there is one."""
+        if self.store is not None and phrases is None and echo == measures.EchoOptions():
+            return self.store.select("doc_id", *dict.fromkeys(fields))
         table = rules.phrase_table(self.options) if phrases is None else phrases
         scanner = Scanner(
             tuple(dict.fromkeys(fields)), self.markdown, self.segmenter == "unicode", table if "phrases" in fields else (), (echo.window, echo.min_count, echo.min_length)
         )
         return scan(spread(self.docs.select("doc_id", "text")), scanner)
 
+    def kept(self, path: str, mode: str = "errorifexists") -> ProseEngine:
+        """This engine over a table at ``path`` of all that a scan gives: texts are scanned once, and each result reads its own columns.
+
+        Results under other phrases or echo options than the usual ones are scanned anew.
+        """
+        whole = self.scanned(*FIELDS)
+        whole.write.mode(mode).parquet(path)
+        return replace(self, store=self.docs.sparkSession.read.schema(whole.schema).parquet(path))
+
     @cached_property
     def masked(self) -> DataFrame:
         return self.scanned("solid").select("doc_id", masked(F.col("solid")).alias("masked"))
@@ -138,3 +150,8 @@ class ProseEngine:
             "masked": self.masked, "sentences": self.sentences, "marks": self.painted(), "stats": self.stats,
             "rhythm": self.rhythm(), "echoes": self.echoes(), "legend": self.legend(),
         }
+
+    def write_sections(self, path: str, mode: str = "errorifexists") -> None:
+        """Each section as a Parquet table below ``path``, from one scan, which is kept there as ``scan``."""
+        path = path.rstrip("/")
+        write_sections(self.kept(f"{path}/scan", mode).sections(), path, mode)

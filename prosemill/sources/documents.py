@@ -53,6 +53,27 @@ def changed(docs: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti").select(*docs.columns, "text_hash")
 
 
+def keep_bucketed(rows: DataFrame, name: str, buckets: int = 64, mode: str = "errorifexists") -> DataFrame:
+    """``rows`` as a table bucketed and sorted by doc_id, for joins by it that move nothing."""
+    rows.write.mode(mode).bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def hashes(docs: DataFrame) -> DataFrame:
+    """What is known of documents after their analysis: doc_id and text_hash."""
+    return docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
+
+
+def changed_in_place(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``changed`` for tables that are both bucketed alike: texts and hashes meet bucket by bucket, without an exchange.
+
+    A doc_id is in ``known`` once. Null ids are always new.
+    """
+    old = known.select(F.col("doc_id"), F.col("text_hash").alias("_known"))
+    rows = docs.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).hint("merge").join(old, "doc_id", "left")
+    return rows.where(~F.col("text_hash").eqNullSafe(F.col("_known"))).select(*docs.columns, "text_hash")
+
+
 def write_sections(sections: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
     """Each section as a Parquet table below ``path``."""
     for name, df in sections.items():
