@@ -34,10 +34,19 @@ STRINGS = {q: re.compile(rf"{q}(?:[^{q}\\\n]++|\\.)*+{q}") for q in "\"'"} | {"`
 KEY = re.compile(r"[\"'][A-Za-z0-9_.$ -]++[\"'](?=\s*+(?::|=))")
 LEX = re.compile(
     r"""(?P<prefix>(?<![A-Za-z0-9_])(?:[rbfuRBFU]|[rR][bfBF]|[bfBF][rR])(?=["']))|(?P<quote>["'`])"""
-    r"""|(?P<name>[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z0-9_]++)*+)|(?P<op>:=|=>|==|!=|<=|>=|[=:+])|(?P<end>[\n;,{}()\[\]])|(?P<other>[^\s"'`;,{}()\[\]]++)"""
+    r"""|(?P<name>[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z0-9_]++)*+)|(?P<op>::?=|\?=|\+=|=>|==|!=|<=|>=|[=:+])|(?P<end>[\n;,{}()\[\]])|(?P<other>[^\s"'`;,{}()\[\]]++)"""
 )
+#: The brackets of a type, one level deep in others, in one line.
+BRACKETS = re.compile(r"\[[^\[\]\n]*+(?:\[[^\[\]\n]*+\][^\[\]\n]*+)*+\]")
+INDENT = re.compile(r"[ \t]*+")
 BARE = re.compile(r"[^\s\"'`;,{}()\[\]]++")
 PLACEHOLDER = re.compile(r"(?:[xX*.<>_-]+|\$\{?\w+\}?|%\w+%|<\w+>|\{\{?[\w. ]+\}?\})")
+#: Elements and tags of markup: a named element with text, attributes, and the attributes that name and hold a setting.
+ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>\s*+([^<>\s][^<>\n]*+)</\1>")
+TAG = re.compile(r"<[A-Za-z][^<>]*+>")
+ATTRIBUTE = re.compile(r"(?<![\w.-])([A-Za-z_][\w.-]*+)\s*+=\s*+(?:\"([^\"<>]*+)\"|'([^'<>]*+)')")
+NAMING, HOLDING = frozenset(("key", "name", "id", "property")), frozenset(("value", "content"))
+ASSIGNS = frozenset(("=", ":", ":=", "=>", "::=", "?=", "+="))
 PLAIN_WORD = re.compile(r"[A-Za-z]?[a-z_./-]*")
 
 
@@ -100,13 +109,34 @@ class Value:
         return out
 
 
+def markup_pairs(text: str) -> list[tuple[str, Value]]:
+    """(name, value) of elements that hold a text, and of tags in which one attribute names a setting and another holds it."""
+    found = []
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            held = m[2].rstrip()
+            found.append((m[1], Value.literal(held, (m.start(2), m.start(2) + len(held)))))
+    if "<" in text:
+        for tag in TAG.finditer(text):
+            own = {m[1].lower(): m for m in ATTRIBUTE.finditer(text, *tag.span())}
+            names, values = (sorted(own.keys() & kind) for kind in (NAMING, HOLDING))
+            if names and values:
+                name, value = own[names[0]], own[values[0]]
+                group = 2 if value[2] is not None else 3
+                if value[group]:
+                    found.append((name[2] if name[2] is not None else name[3], Value.literal(value[group], value.span(group))))
+    return found
+
+
 def pairs(text: str) -> list[tuple[str, Value]]:
     """(name, value) of every assignment, constants and concatenations propagated.
 
-    ``name = a + b`` takes strings and names assigned before; a bare word right of ``=`` or ``:`` counts as a
-    literal unless it names a constant; a string that is a call's first argument goes with the called name. A quote
-    right after a letter or digit is an apostrophe or inch mark. A single quote opens a string after an operator, bracket
-    or comma, else only a name with an operator behind it. A quote that is not closed in its line opens nothing.
+    ``name = a + b`` takes strings and names assigned before, as do strings side by side, strings in parentheses and ``name += a``; a type between
+    the name and its ``=`` is passed over, and ``#define name a`` assigns; a bare word right of ``=`` or ``:`` counts as a literal unless it
+    names a constant; a string that is a call's first argument goes with the called name. A name inside another one's braces, or in
+    lines below it that are further in, is told with that name before it. A quote right after a letter or digit is an apostrophe or
+    inch mark. A single quote opens a string after an operator, bracket or comma, else only a name with an operator behind it. A quote
+    that is not closed in its line opens nothing; three quotes close at the next three.
     """
     known: dict[str, Value] = {}
     found: list[tuple[str, Value]] = []
@@ -116,38 +146,61 @@ def pairs(text: str) -> list[tuple[str, Value]]:
     last: str | None = None
     call: str | None = None
     before = "\n"  # the token before: its kind, or an end's character
+    annotated: str | None = None  # the name whose ":" may be followed by a type and "="
+    assigned = ""  # the operator of the target
+    define = False
+    grouped = 0  # parentheses open around the target's value
+    inside: list[str | None] = []  # names whose braces are open
+    above: list[tuple[int, str]] = []  # names alone on their lines, with their indents
+    indent = 0
 
     def close():
-        nonlocal target, value, more
+        nonlocal target, value, more, grouped
         if target is not None and value is not None:
             known[target] = value
-            found.append((target, value))
-        target, value, more = None, None, False
+            parent = inside[-1] if inside else None
+            if parent is None and above and above[-1][0] < indent:
+                parent = above[-1][1]
+            found.append((target if parent is None else f"{parent}.{target}", value))
+        target, value, more, grouped = None, None, False, 0
 
     upto = 0
-    # Up to where a quote is known to be unclosed: each line is searched once for each kind.
+    # Up to where a quote is known to be unclosed: each line is searched once for each kind; and the same of three quotes.
     unclosed = dict.fromkeys(STRINGS, 0)
+    unclosed_three = dict.fromkeys(STRINGS, 0)
     while m := LEX.search(text, upto):
         kind, word, upto = m.lastgroup, m.group(), m.end()
+        edge = 1
         if kind == "prefix":
             before = "prefix"
             continue
         if kind == "quote":
             at = m.start()
             joined = at > 0 and before != "prefix" and (text[at - 1].isalnum() or text[at - 1] == "_")
-            string = STRINGS[word].match(text, at) if at >= unclosed[word] and not joined else None
-            if string is None and at >= unclosed[word] and not joined:
-                line = text.find("\n", at)
-                unclosed[word] = line if line >= 0 else len(text)
-            if string is not None and word == "'" and before not in ("op", "prefix", "(", "[", "{", ",") and not KEY.match(text, at):
-                string = None
-            if string is None:
-                continue
-            kind, word, upto = "string", string.group(), string.end()
+            if not joined and word != "`" and at >= unclosed_three[word] and text.startswith(3 * word, at):
+                end = text.find(3 * word, at + 3)
+                if end < 0:
+                    unclosed_three[word] = len(text)
+                else:
+                    kind, word, upto, edge = "string", text[at : end + 3], end + 3, 3
+            if kind == "quote":
+                string = STRINGS[word].match(text, at) if at >= unclosed[word] and not joined else None
+                if string is None and at >= unclosed[word] and not joined:
+                    line = text.find("\n", at)
+                    unclosed[word] = line if line >= 0 else len(text)
+                if string is not None and word == "'" and before not in ("op", "prefix", "(", "[", "{", ",") and not (before == "string" and target is not None) and not KEY.match(text, at):
+                    string = None
+                if string is None:
+                    continue
+                kind, word, upto = "string", string.group(), string.end()
         if kind == "op":
-            if word in ("=", ":", ":=", "=>") and last is not None and not more:
+            if word == "=" and annotated is not None and annotated == target and (value is None or before in ("name", "]", "other")):
+                value, more, last = None, True, None
+            elif word in ASSIGNS and last is not None and not more:
                 close()
-                target, more, last = last, True, None
+                target, more, last, assigned = last, True, None, word
+                value = known.get(target) if word == "+=" else None
+                annotated = target if word == ":" else None
             elif word == "+" and target is not None and value is not None:
                 more = True
             else:
@@ -155,14 +208,44 @@ def pairs(text: str) -> list[tuple[str, Value]]:
                 last = None
             call = None
         elif kind == "end":
-            call = last if word == "(" and not more else None
-            kept = last if word == "]" else None
-            close()
-            last = kept
+            if grouped and word in "()\n":
+                grouped += (word == "(") - (word == ")")
+            elif word == "(" and target is not None and more and value is None:
+                grouped = 1
+            elif word == "[" and annotated is not None and target == annotated and value is not None and (skipped := BRACKETS.match(text, upto - 1)):
+                upto, word = skipped.end(), "]"
+            else:
+                call = last if word == "(" and not more else None
+                kept = last if word == "]" else None
+                if word in "{[":
+                    inside.append(target if value is None and more else None)
+                elif word in "}]" and inside:
+                    close()
+                    inside.pop()
+                elif word == "\n":
+                    if target is not None and value is None and assigned == ":" and not inside:
+                        while above and above[-1][0] >= indent:
+                            above.pop()
+                        above.append((indent, target))
+                close()
+                last, annotated, define = kept, None, False
+            if word == "\n":
+                stop = INDENT.match(text, upto).end()
+                if stop < len(text) and text[stop] != "\n" and not inside:
+                    indent = stop - upto
+                    while above and above[-1][0] >= indent:
+                        above.pop()
         else:
             at = m.start()
             if kind == "string":
-                word, at = word[1:-1], at + 1
+                word, at = word[edge:-edge], at + edge
+            if define and kind == "name":
+                close()
+                target, more, assigned, last, define = word, True, "=", None, False
+                before = kind
+                continue
+            if kind == "other" and word == "#define":
+                define = True
             if target is not None and more:
                 if kind != "string" and word not in known:
                     word = BARE.match(text, at)[0]
@@ -173,6 +256,12 @@ def pairs(text: str) -> list[tuple[str, Value]]:
                     one = Value.literal(word, (at, at + len(word)))
                     value = one if value is None else value + one
                 more = False
+            elif kind == "string" and (grouped or before == "string") and target is not None and value is not None and word:
+                value = value + Value.literal(word, (at, at + len(word)))
+            elif grouped:
+                pass
+            elif kind == "other" and annotated is not None and annotated == target:
+                pass
             else:
                 close()
                 if kind == "string" and call is not None and word:
@@ -189,10 +278,10 @@ def scan(text: str) -> dict[str, list[tuple[int, int]]]:
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if "=" in text or ":" in text:
         spans["assign"] = [m.span() for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_CHARS]
-    if "=" in text or ":" in text or "(" in text:
+    if "=" in text or ":" in text or "(" in text or "<" in text or "#define" in text:
         seen: set[int] = set()
         scores: dict[str, float] = {}
-        held = pairs(text)  # keeps the values alive, so that their ids stay their own
+        held = pairs(text) + markup_pairs(text)  # keeps the values alive, so that their ids stay their own
         for name, value in held:
             if name not in scores:
                 scores[name] = name_score(name)
