@@ -31,11 +31,14 @@ HINT_WORDS = frozenset(
     "nav navbar navigation menu menubar masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored banner promo "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment "
     "comments commentlist disqus respond related recommended breadcrumb breadcrumbs pagination pager toolbar topbar complementary contentinfo "
-    "paywall skiplink".split()
+    "paywall skiplink adsbygoogle adslot adslots adunit adbox adspace adchoices outbrain taboola doubleclick sharethis sharebar sharedaddy addthis addtoany livefyre "
+    "fbcomments commentbox replies relatedposts optin popover colophon".split()
 )
 BESIDE = frozenset(
     "site main page global top bottom left right primary secondary header container wrapper wrap outer inner box area list block section bar item items "
-    "links link group widget panel column col row module holder region unit slot posts post reader user form icons buttons text title".split()
+    "links link group widget panel column col row module holder region unit slot posts post reader user form icons buttons text title "
+    "fb x below above article after before thread threads this us now by google embed tool tools count counter friends facebook twitter whatsapp linkedin pinterest email jp wp like likes rail strip stack "
+    "inline sticky floating fixed slide up in out the your and more via dfp gpt tag leaderboard rectangle skyscraper mobile desktop".split()
 )
 P_ENDERS = frozenset(
     "address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -357,7 +360,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id``, ``url``, ``text`` and ``n_chars`` of every page; null html counts as empty."""
+    """``page_id``, ``url``, ``text`` and ``n_chars`` of every page; null html counts as empty.
+
+    Repeated rows give a row each, equal rows equal ones; null ids and urls stay null; an empty table gives no rows; other columns are
+    not read, whatever their names. Pages of any length are parsed whole, in one pass.
+    """
 
     def batches(it):
         for batch in slices(it, 2):

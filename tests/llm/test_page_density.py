@@ -14,7 +14,7 @@ BODY = "".join(f"<p>{p}</p>" for p in PROSE)
 
 @pytest.mark.parametrize("attribute", [
     'class="layout has-sidebar"', 'class="post comment-enabled"', 'class="page no-share"', 'class="ad-free content"', 'id="notice-of-award"',
-    'aria-hidden="false"', 'data-hidden="false"', 'title="the hidden valley"', "title='class=\"ad\" hidden'",
+    'aria-hidden="false"', 'data-hidden="false"', 'id="discussion"', 'class="thread"', 'class="the-text inline"', 'class="shared-memory"', 'id="adder"', 'class="more in-depth"', 'title="the hidden valley"', "title='class=\"ad\" hidden'",
 ])
 def test_names_that_only_look_like_furniture(attribute):
     for inside in (f"<article>{BODY}</article>", BODY):
@@ -23,9 +23,12 @@ def test_names_that_only_look_like_furniture(attribute):
     assert html_text.main_text(f"<article>{BODY}<p {attribute}>One more.</p></article>").split("\n") == [*PROSE, "One more."]
 
 
-@pytest.mark.parametrize("name", ["ad", "sidebar", "site-footer", "cookie-notice", "commentList", "main-nav", "ad_box"])
+@pytest.mark.parametrize("name", [
+    "ad", "sidebar", "site-footer", "cookie-notice", "commentList", "main-nav", "ad_box", "disqus_thread", "share-this", "adsbygoogle", "social-share-buttons", "ad-slot-3 leaderboard-ad",
+    "newsletter-signup", "jp-relatedposts", "sharedaddy", "fb-comments", "comment-42", "taboola-below-article x-taboola", "sticky-ad-mobile", "follow-us share-bar", "reader-comments",
+])
 def test_furniture_by_name(name):
-    inner = f"<div class='x {name}'><p>Words of it, quite a few of them, one after the other.</p></div>"
+    inner = f"<div class='x {name}' id='{name.split()[-1]}'><p>Words of it, quite a few of them, one after the other.</p></div>"
     assert html_text.main_text(f"<body><article>{BODY}{inner}</article>{inner}</body>").split("\n") == PROSE
 
 
