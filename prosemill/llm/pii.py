@@ -27,6 +27,8 @@ CANDIDATE = (
 #: The last two whole words before, and the first after; starts only where a word starts, so long gaps stay linear.
 BEFORE = r"(?<!\S)(?:\S++[ \t]++)?\S++[ \t]*+$"
 AFTER = r"^[ \t]*+(\S++)"
+#: Discovered spans are sent to every executor only up to this size, measured as JSON.
+BROADCAST_BYTES = 8 << 20
 ROUNDS = 3
 MIN_SUPPORT = 3
 CONFIDENT = 0.75
@@ -204,7 +206,9 @@ def _found(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
 def _with_spans(found: DataFrame) -> DataFrame:
     more = cut(discovered(found))
     none = F.array().cast(SPAN)
-    # Texts stay where they are: the discovered spans are few and join by the row's number.
+    # Texts stay where they are while the discovered spans are few; beyond that both sides are dealt out by the row's number.
+    if (more.agg(F.sum(F.octet_length(F.to_json("more")))).first()[0] or 0) <= BROADCAST_BYTES:
+        more = F.broadcast(more)
     joined = found.drop("candidates").join(more, "uid", "left").withColumn("more", F.coalesce("more", none))
     return with_merged(joined)
 
