@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosemill.operators import split
 from prosemill.plans.engine import ProseEngine
 from prosemill.plans.options import RULES, RuleOptions
 
@@ -34,6 +35,8 @@ RULED = (
     "## Perhaps a {w}", "`perhaps` a {w}", "```\nperhaps {t}\n```", "⟦longSentence:" + "a {w} " * 13 + "went.⟧", "The ⟦adverb:boldly⟧ {w} thing.", "A {w} (⟦hedge:maybe⟧) came.",
 )
 FULL = RuleOptions(is_pro=True)
+#: Characters of a piece of a note, about.
+PIECE = 300
 _PART = re.compile(r"⟦(?:([A-Za-z]+):(?!/))?|⟧|\{w\}|\{t\}|[^⟦⟧{]+")
 
 
@@ -84,6 +87,13 @@ def planted_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled_notes(spark, sf_dir).marks.select("doc_id", F.col("from").alias("start"), F.col("to").alias("stop"), "rule")
 
 
+def planted_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marks of the same notes, each cut into pieces that are analysed one by one."""
+    notes = own_words(spark, sf_dir).select("doc_id", F.lit(0).cast("long").alias("part"), _note(RULED).alias("text"))
+    found = split.whole(ProseEngine(split.split(notes, PIECE), FULL).marks)
+    return found.select("doc_id", F.col("from").cast("int").alias("start"), F.col("to").cast("int").alias("stop"), "rule")
+
+
 def planted_painted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many marks of each class a note shows."""
     return ruled_notes(spark, sf_dir).painted().groupBy("doc_id", "css_class").agg(F.count("*").alias("n"))
@@ -152,7 +162,7 @@ def _painted_sql() -> str:
 
 _PLACES = "{0}0 + {0}1 * length(w) + {0}2 * length(t)"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "planted_masks": planted_masks, "planted_marks": planted_marks, "planted_painted": planted_painted, "planted_legend": planted_legend,
+    "planted_masks": planted_masks, "planted_marks": planted_marks, "planted_pieces": planted_pieces, "planted_painted": planted_painted, "planted_legend": planted_legend,
     "planted_machine_prose": planted_machine_prose,
 }
 ORACLE_SQL = {
@@ -166,3 +176,4 @@ ORACLE_SQL = {
     + _values([(rule, RULES[rule][0], n) for rule, n in _counts().items()], "rule, name, n"),
     "planted_machine_prose": f"SELECT doc_id, {_counts()['deslop']}::BIGINT AS n FROM documents",
 }
+ORACLE_SQL["planted_pieces"] = ORACLE_SQL["planted_marks"]

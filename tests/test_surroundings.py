@@ -99,7 +99,7 @@ def test_queries_equal_their_sql(spark, sf_dir):
     import __spark_entry__ as entry
 
     con = duckdb.connect()
-    for name in ("documents", "conversations", "events"):
+    for name in ("documents", "conversations", "events", "pages"):
         con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     sql, queries = entry.oracle_sql(), entry.queries()
     for name in entry.prose.QUERIES:
