@@ -259,7 +259,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
     """``docs`` with ``ids`` (array of int) and ``decoded`` (the text decoded from them) added.
 
     Null texts count as empty and give no ids. Existing columns called ids or decoded are replaced; all others
-    are kept. An empty table gives no rows. ``vocabulary`` is the path of the vocabulary file on every executor.
+    are kept. An empty table gives no rows; a text is encoded whole, however long, so its ids are held in one row. ``vocabulary`` is the path of the vocabulary file on every executor.
     """
     path = vocabulary or default_vocabulary()
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
@@ -279,7 +279,11 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
 
 
 def digests(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` for every row, without moving the ids."""
+    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` for every row, without moving the ids.
+
+    Null texts count as empty, repeated rows give a row each, an empty table gives no rows, other columns are not read. A text is encoded
+    whole, however long.
+    """
     path = vocabulary or default_vocabulary()
 
     def batches(it):

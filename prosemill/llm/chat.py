@@ -206,7 +206,9 @@ def format_digests(events: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
     """Digests of each formatted conversation, read back from the output chunk by chunk and joined in order.
 
     A conversation that may be longer than ``row_bytes`` (its texts and roles, each byte escaped, and its turns'
-    frames) never meets in one row; the others need no Python.
+    frames) never meets in one row; the others need no Python. Null texts and roles count as empty, turns that share a number or have none
+    keep a fixed order, repeated rows are messages of their own, a null conv_id is a conversation, an empty table gives no rows, and other
+    columns are not read.
     """
     def size(name: str) -> Column:
         return F.coalesce(F.octet_length(name), F.lit(0)).cast("long")

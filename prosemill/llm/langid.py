@@ -224,7 +224,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_
     """``docs`` with ``lang_pred`` and ``score`` added, from the whole text alone; without the text if not ``keep_text``.
 
     Null texts, and texts without letters, are ``und`` with score 0. Existing columns with the added names are
-    replaced and all others kept; an empty table gives no rows.
+    replaced and all others kept; an empty table gives no rows; texts of any length are read whole.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     at = kept.index(text_col)

@@ -175,7 +175,8 @@ def edited_pairs(docs: DataFrame, pieces: int | None = None, k: int = SIZE) -> D
     Next means descending doc_id, null ids last, equal ids by text; the last is followed by the first. The last
     floor(n_chars / 2) code points are replaced by the first as many of the next text, or all of it if shorter.
     Null texts count as empty; a single row is followed by itself; an empty table gives no rows. ``n_distinct`` estimates
-    the text's distinct shingles and ``kept_by_edited`` the share of them that the edited text contains.
+    the text's distinct shingles and ``kept_by_edited`` the share of them that the edited text contains. Other columns are not read; texts of any
+    length are hashed whole. Rows of one id are one range: an id that a third of all rows share is one task's.
     """
     spark = docs.sparkSession
     pieces = pieces or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
