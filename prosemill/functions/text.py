@@ -62,7 +62,8 @@ def word_at(line: Column, column: Column) -> Column:
     """The word around a column of a line, trimmed of edge punctuation; null without a letter."""
     part = f"[{LETTERS}'’-]*"
     at = F.least(column, F.length(line))
-    before = F.regexp_extract(F.substr(line, F.lit(1), at), f"({part})$", 1)
+    # Up to the very end: ``$`` would also match before a line feed there. From where the run begins, so that a long one is passed once.
+    before = F.regexp_extract(F.substr(line, F.lit(1), at), f"(?<![{LETTERS}'’-])({part}+)\\z", 1)
     after = F.regexp_extract(F.substr(line, at + 1), f"^({part})", 1)
     word = F.regexp_replace(F.concat(before, after), "^[-'’]+|[-'’]+$", "")
     return F.when((column >= 0) & word.rlike(f"[{LETTERS}]"), word)
