@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +93,8 @@ def map_offset(offset: Column, edits: Column, bias: int) -> Column:
 
 EDITED = "doc_id long, part long, side int, starts array<long>, values array<long>, moves array<boolean>"
 PART = 256
+#: Pieces of two maps together up to which plain lists are faster than arrays.
+SHORT = 48
 
 
 def _edit(low: int, high: int, insert: int, side: int) -> tuple[list[int], list[int], list[bool]]:
@@ -105,11 +110,32 @@ def _edit(low: int, high: int, insert: int, side: int) -> tuple[list[int], list[
     return starts, [last[x][0] for x in starts], [last[x][1] for x in starts]
 
 
-def compose(first: tuple, then: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compose_short(first: tuple, then: tuple) -> tuple[list[int], list[int], list[bool]]:
+    """``compose`` for maps of a few pieces, which are most of those in a tree."""
+    (p, v, m), (q, w, n) = first, then
+    starts, values, moves = [], [], []
+    for i, (start, value, along) in enumerate(zip(p, v, m)):
+        k = bisect_right(q, value)
+        starts.append(start)
+        values.append(w[k - 1] + (value - q[k - 1] if n[k - 1] else 0))
+        moves.append(along and n[k - 1])
+        if along:
+            end = value + p[i + 1] - start if i + 1 < len(p) else 1 << 62
+            while k < len(q) and q[k] < end:
+                starts.append(start + q[k] - value)
+                values.append(w[k])
+                moves.append(n[k])
+                k += 1
+    return starts, values, moves
+
+
+def compose(first: tuple, then: tuple) -> tuple:
     """The map that applies ``first`` and ``then``: associative, so that maps of an edit log can be joined in any grouping.
 
     Where ``first`` moves along, the starts of ``then`` that its values pass are starts of the whole as well.
     """
+    if isinstance(first[0], list) and isinstance(then[0], list) and len(first[0]) + len(then[0]) <= SHORT:
+        return _compose_short(first, then)
     (p, v, m), (q, w, n) = (tuple(map(np.asarray, x)) for x in (first, then))
     ends = v + np.append(np.diff(p), 1 << 62)
     low, high = np.searchsorted(q, v, "right"), np.searchsorted(q, ends, "left")
@@ -136,20 +162,26 @@ def composed(edits: DataFrame) -> DataFrame:
             maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
-    def row(key: tuple, side: int, x: tuple) -> tuple:
-        return key[0], key[1], side, *(list(map(t, c)) for t, c in zip((int, int, bool), x))
+    columns = ["doc_id", "part", "side", "starts", "values", "moves"]
+
+    def row(doc_id: int, part: int, side: int, x: tuple) -> tuple:
+        return doc_id, part, side, *(c if isinstance(c, list) else c.tolist() for c in x)
 
-    def leaves(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("seq")[["from", "to", "insert"]].astype(int).values.tolist()
-        rows = [row(key, side, fold([_edit(a, b, n, side) for a, b, n in ordered])) for side in (-1, 1)]
-        return pd.DataFrame(rows, columns=["doc_id", "part", "side", "starts", "values", "moves"])
+    def leaves(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 500):
+                logs = ((doc_id, part, list(zip(*(x.tolist() for x in edit)))) for doc_id, part, *edit in frame.iloc[at : at + 500].itertuples(index=False))
+                yield pd.DataFrame([row(doc_id, part, side, fold([_edit(*e, side) for e in log])) for doc_id, part, log in logs for side in (-1, 1)], columns=columns)
 
     def parents(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values("part")
         whole = fold([(r.starts, r.values_, r.moves) for r in ordered.rename(columns={"values": "values_"}).itertuples()])
-        return pd.DataFrame([row(key, key[2], whole)], columns=["doc_id", "part", "side", "starts", "values", "moves"])
+        return pd.DataFrame([row(*key, whole)], columns=columns)
 
-    parts = edits.groupBy("doc_id", F.floor(F.col("seq") / PART).alias("part")).applyInPandas(leaves, EDITED)
+    # A part's edits, at most PART, meet in one row, so that a batch of many parts is one call.
+    own = F.array_sort(F.collect_list(F.struct("seq", "from", "to", "insert")))
+    logs = edits.groupBy("doc_id", F.floor(F.col("seq") / PART).alias("part")).agg(own.alias("e"))
+    parts = logs.select("doc_id", "part", *[F.transform("e", lambda x: x[c].cast("long")).alias(c) for c in ("from", "to", "insert")]).mapInPandas(leaves, EDITED)
     most = edits.agg(F.max("seq")).first()[0] or 0
     tiers = 0
     while most // PART >> 4 * tiers:
@@ -167,6 +199,15 @@ def remap(maps: DataFrame, offsets: DataFrame, side: int) -> DataFrame:
     return found.select("doc_id", F.col("cursor").alias("offset"), F.coalesce(moved, F.col("cursor")).cast("long").alias("moved"))
 
 
+def remap_sides(maps: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``doc_id, offset, to_left, to_right``: both sides of ``remap`` from one reading of the maps."""
+    sides = {-1: "to_left", 1: "to_right"}
+    keyed = maps.withColumn("doc_id", F.struct("doc_id", "side")).withColumn("side", F.lit(0))
+    asked = offsets.select("doc_id", "offset", F.explode(F.array(*map(F.lit, sides))).alias("side")).select(F.struct("doc_id", "side").alias("doc_id"), "offset")
+    found = remap(keyed, asked, 0).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.side").alias("side"), "offset", "moved")
+    return found.groupBy("doc_id", "offset").agg(*[F.max(F.when(F.col("side") == side, F.col("moved"))).alias(name) for side, name in sides.items()])
+
+
 def reveal(offset: Column, length: Column) -> Column:
     """An offset clamped to the document; null if negative."""
     return F.when(offset >= 0, F.least(offset, length))

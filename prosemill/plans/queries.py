@@ -280,8 +280,7 @@ def remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = events.select(F.col("user_id").alias("doc_id"), seq.cast("long").alias("seq"), low.alias("from"), (low + F.col("event_id") % 5).alias("to"), (F.col("event_id") % 4).alias("insert"))
     maps = navigate.composed(edits)
     offsets = events.select(F.col("user_id").alias("doc_id")).distinct().select("doc_id", F.explode(F.sequence(*[F.lit(x).cast("long") for x in (0, 600, 60)])).alias("offset"))
-    sides = [navigate.remap(maps, offsets, side).withColumnRenamed("moved", name) for side, name in ((-1, "to_left"), (1, "to_right"))]
-    return sides[0].join(sides[1], ["doc_id", "offset"])
+    return navigate.remap_sides(maps, offsets)
 
 
 def length_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
