@@ -29,6 +29,7 @@ BATCH_BYTES = 1 << 20
 # The word pattern, lines that always stand alone, where a plain sentence ends, and reframing constructions.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORD = re.compile(f"[{LETTERS}]+(?:['’-][{LETTERS}]+)*")
+WORD_PARTS = re.compile(f"({WORD.pattern})")
 STANDALONE = re.compile(rf"[{WS}]{{0,6}}(?:[-*+][{WS}]|[0-9]{{1,9}}[.)][{WS}]|>|#{{1,6}}[{WS}]|\||\[[ xX]\][{WS}])")
 PLAIN_END = re.compile(rf"(?<=[.!?])(?=[{WS}])")
 NEAR = re.compile(r"[ \t\n\r]{0,8}\Z")
@@ -254,13 +255,11 @@ class Scanner:
             found["reframes"] = [{"from": a, "to": b} for a, b in reframe_spans(masked)]
         if not needs_words:
             return found
-        tokens = WORD.findall(solid)
-        between = WORD.split(solid)[:-1]
+        parts = WORD_PARTS.split(solid)
+        tokens, between = parts[1::2], parts[:-1:2]
         lowers = "\n".join(tokens).lower().split("\n") if tokens else []
         n = len(tokens)
-        sizes = np.empty(2 * n, np.int64)
-        sizes[0::2], sizes[1::2] = np.fromiter(map(len, between), np.int64, n), np.fromiter(map(len, tokens), np.int64, n)
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, 2 * n + 1)[:-1])
         found |= {"tok_from": ends[0::2], "tok_to": ends[1::2], "token": tokens, "lower": lowers}
         gaps = np.fromiter(map(gap_of.__getitem__, between), np.int32, n)
         if needs_sentences:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from enum import IntFlag, auto
+from itertools import chain
 
 from prosemill.functions import lexicons as L
 
@@ -25,9 +26,7 @@ class Kind(IntFlag):
 
 
 CURLY = str.maketrans("’‘", "''")
-# Fixed value: endings that are not spoken.
-SILENT_END = re.compile("(?:[^laeiouy]es|[^taeiouyd]ed|[^laeiouy]e)$")
-VOWELS = re.compile("[aeiouy]+")
+GROUPS = str.maketrans({c: "a" if c in "aeiouy" else " " for c in map(chr, range(97, 123))})
 OTHER = re.compile("[^a-z]")
 _STOPS, _WEASELS, _HEDGES, _NOT_ADVERBS = map(frozenset, (L.STOPWORDS, L.WEASELS, L.HEDGES, L.NOT_ADVERBS))
 _AUXILIARIES, _MODALS, _BETWEEN = map(frozenset, ((*L.BE_FORMS, *L.GET_FORMS), L.MODALS, L.BETWEEN))
@@ -40,8 +39,23 @@ def base_form(word: str) -> str:
     return word[:cut] if cut > 0 else word
 
 
+_LISTED = frozenset(chain(_STOPS, _WEASELS, _HEDGES, _NOT_ADVERBS, _AUXILIARIES, _MODALS, _BETWEEN, _IRREGULAR, _NOT_PARTICIPLES, _ADJECTIVES, _NOT_AGENTS, ("by",)))
+_ENDS_LY, _ENDS_ED, _OTHERS = (int(x | Kind.AGENT) for x in (Kind.LY | Kind.BETWEEN, Kind.PARTICIPLE, Kind(0)))
+
+
 def kinds(word: str) -> int:
-    """The bits of a word in lower case. Those of the passive look at it with plain apostrophes."""
+    """The bits of a word in lower case. Those of the passive look at it with plain apostrophes.
+
+    Of a word that is in no list, and has no apostrophe, only the ending counts.
+    """
+    if word in _LISTED or "'" in word or "’" in word or "‘" in word:
+        return _listed_kinds(word)
+    if len(word) < 4:
+        return _OTHERS
+    return _ENDS_LY if word.endswith("ly") else _ENDS_ED if word.endswith("ed") else _OTHERS
+
+
+def _listed_kinds(word: str) -> int:
     plain = word.translate(CURLY)
 
     def adverb(w: str) -> bool:
@@ -58,11 +72,16 @@ def kinds(word: str) -> int:
 
 def syllables(word: str) -> int:
     """Vowel groups without silent endings, at least one; none without letters a to z."""
-    plain = OTHER.sub("", word)
+    plain = word if word.isascii() and word.isalpha() and word.islower() else OTHER.sub("", word)
     if len(plain) <= 3:
         return int(bool(plain))
-    spoken = SILENT_END.sub("", plain)
-    return max(1, len(VOWELS.findall(spoken[1:] if spoken.startswith("y") else spoken)))
+    silent = 0
+    if plain[-1] == "e":
+        silent = 2 * (plain[-2] not in "laeiouy")
+    elif plain[-2] == "e" and plain[-1] in "sd":
+        silent = 3 * (plain[-3] not in ("laeiouy" if plain[-1] == "s" else "taeiouyd"))
+    spoken = plain[: len(plain) - silent].removeprefix("y")
+    return max(1, len(spoken.translate(GROUPS).split()))
 
 
 class Memo(dict):
