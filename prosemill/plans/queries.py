@@ -259,9 +259,11 @@ def sql_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_functions(spark)
     _documents(spark, sf_dir).createOrReplaceTempView("sql_documents")
     return spark.sql("""
-        SELECT lang, source, count(*) AS words, CAST(sum(syllables(word)) AS BIGINT) AS syllables, max(syllables(word)) AS most,
-          ease_label(round1(100 - 10 * CAST(sum(syllables(word)) AS DOUBLE) / count(*))) AS ease
-        FROM (SELECT lang, source, explode(own) AS word FROM (SELECT lang, source, prose_words(text) AS own FROM sql_documents)) GROUP BY lang, source""")
+        SELECT lang, source, sum(n) AS words, CAST(sum(n * spoken) AS BIGINT) AS syllables, max(spoken) AS most,
+          ease_label(round1(100 - 10 * CAST(sum(n * spoken) AS DOUBLE) / sum(n))) AS ease
+        FROM (SELECT lang, source, n, syllables(word) AS spoken FROM (SELECT lang, source, word, count(*) AS n
+          FROM (SELECT lang, source, explode(own) AS word FROM (SELECT lang, source, prose_words(text) AS own FROM sql_documents)) GROUP BY lang, source, word))
+        GROUP BY lang, source""")
 
 
 def sql_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
