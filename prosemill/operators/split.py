@@ -8,10 +8,12 @@ map from the fence that is open before it to the one after it, and maps are join
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,8 @@ from prosemill.functions.text import SPACES
 from prosemill.operators.mask import CONTEXT, FENCE, STRIP
 
 CHUNK = 1 << 20
+#: Characters of parts that are cut before their pieces are passed on.
+BATCH = 1 << 20
 #: No construct that passes a blank line is longer than this.
 REACH = 5100
 #: A line that no phrase can pass, before a blank line: its last word and stop are prose, or the whole line is masked and long.
@@ -49,6 +53,8 @@ def safe_points(text: str, first: bool, size: int) -> list[int]:
 
 def fence_after(text: str, opener: str) -> str:
     """The fence that is open after a chunk, from the one before it: quote marks and run, or ``OUTSIDE``."""
+    if not opener and "```" not in text and "~~~" not in text:
+        return OUTSIDE
     for line in text.split("\n"):
         context = CONTEXT.match(line)
         fence = FENCE.match(line, context.end())
@@ -67,13 +73,22 @@ def _fragments(parts: DataFrame, size: int) -> DataFrame:
     names = ["doc_id", "part", "place", "at", "begins", "text"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.string()]
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for doc_id, part, start, front, text in zip(*(c.to_pylist() for c in batch.columns)):
                 points = [p for p in safe_points(text, start == 0, size) if start + p > front]
                 edges = [0, *points, len(text)]
-                rows = [(doc_id, part, i, start + a, i > 0, text[a:b]) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                rows += [(doc_id, part, i, start + a, i > 0, text[a:b]) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+                held += len(text)
+                if held >= BATCH:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return parts.select("doc_id", "part", "start", "front", "text").mapInArrow(cut, FRAGMENT)
 
@@ -102,6 +117,17 @@ def chunks(parts: DataFrame, size: int = CHUNK) -> DataFrame:
     return numbered.groupBy("doc_id", "chunk").agg(F.min("at").alias("at"), pieces.alias("p")).select("doc_id", "chunk", "at", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the checkpoint folder and read back; stored by the executors where no such folder is set."""
+    spark = rows.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return rows.persist(StorageLevel.DISK_ONLY)
+    path = f"{root.rstrip('/')}/pieces-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _after(texts: pd.Series, openers: pd.Series) -> pd.Series:
     return pd.Series([[fence_after(t, o) for o in own] for t, own in zip(texts, openers)], dtype=object)
@@ -110,13 +136,20 @@ def _after(texts: pd.Series, openers: pd.Series) -> pd.Series:
 def fenced(pieces: DataFrame) -> DataFrame:
     """``pieces`` with ``opener``, the fence that is open before each.
 
-    The fences that some piece leaves open are few; each piece maps every one of them, and ``OUTSIDE``, to what is open after it. New ones
-    among these are mapped in turn until there are none. The maps of a document are joined in order on their own, without texts.
+    The pieces are kept once. Where no piece of a document leaves a fence open, each begins outside. In the other documents the fences that some piece
+    leaves open are few; each piece maps every one of them, and ``OUTSIDE``, to what is open after it. New ones among these are mapped in turn
+    until there are none. The maps of a document are joined in order on their own, without texts.
     """
-    known = pieces.select("doc_id").distinct().select("doc_id", F.array(F.lit(OUTSIDE)).alias("openers"))
+    outside = F.array(F.lit(OUTSIDE))
+    kept = _kept(pieces.withColumn("_open", F.element_at(_after("text", outside), 1) != OUTSIDE))
+    known = kept.where("_open").select("doc_id").distinct().select("doc_id", outside.alias("openers"))
+    pieces = kept.drop("_open")
+    if known.isEmpty():
+        return pieces.withColumn("opener", F.lit(OUTSIDE))
     while True:
         maps = pieces.join(known, "doc_id").select("doc_id", "chunk", "openers", _after("text", "openers").alias("after"))
         wider = maps.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat("openers", "after"))))).alias("openers"))
+        wider = _kept(wider)
         if wider.join(known.withColumnRenamed("openers", "had"), "doc_id").where(F.size("openers") > F.size("had")).isEmpty():
             break
         known = wider
@@ -126,7 +159,8 @@ def fenced(pieces: DataFrame) -> DataFrame:
         return F.element_at(x["after"], F.array_position(x["openers"], state).cast("int"))
 
     states = running(F.col("m"), F.lit(OUTSIDE), then, lambda state, x: F.struct(x["chunk"].alias("chunk"), state.alias("opener")), "array<struct<chunk:bigint,opener:string>>")
-    return pieces.join(ordered.select("doc_id", F.explode_outer(states).alias("s")).select("doc_id", "s.*"), ["doc_id", "chunk"])
+    begun = ordered.select("doc_id", F.explode_outer(states).alias("s")).select("doc_id", "s.*")
+    return pieces.join(begun, ["doc_id", "chunk"], "left").withColumn("opener", F.coalesce("opener", F.lit(OUTSIDE)))
 
 
 def split(parts: DataFrame, size: int = CHUNK) -> DataFrame:
