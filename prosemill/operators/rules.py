@@ -31,7 +31,7 @@ MESSAGES = {
 }
 MARKS = "array<struct<from:int,to:int,rule:string,severity:string,message:string,word:string,seq:int>>"
 #: What the rules read of a scan.
-WORD_FIELDS = ("tok_from", "tok_to", "lower", "kind", "gap")
+WORD_FIELDS = ("near_from", "near_to", "near_lower", "near_kind", "near_gap")
 SENTENCE_FIELDS = ("sent_from", "sent_to", "words")
 PHRASE_FIELDS = ("phrases",)
 MACHINE_FIELDS = ("phrases", "dashes", "reframes")
@@ -53,12 +53,12 @@ def _at(name: str, i: Column) -> Column:
 
 def _is(i: Column, kind: Kind) -> Column:
     """Whether the word at a place is of any of these kinds; false beyond the ends."""
-    return F.coalesce(_at("kind", i).bitwiseAND(F.lit(int(kind))) != 0, F.lit(False))
+    return F.coalesce(_at("near_kind", i).bitwiseAND(F.lit(int(kind))) != 0, F.lit(False))
 
 
 def _follows(i: Column, gap: int) -> Column:
     """Whether the word at a place follows one of its own sentence after such a gap."""
-    return F.coalesce(_at("gap", i).bitwiseAND(F.lit(gap | FIRST)) == gap, F.lit(False))
+    return F.coalesce(_at("near_gap", i).bitwiseAND(F.lit(gap | FIRST)) == gap, F.lit(False))
 
 
 def long_marks(options: RuleOptions) -> Column:
@@ -88,22 +88,22 @@ def lexical_marks(options: RuleOptions) -> Column | None:
             *others, last = tests
             return reduce(lambda w, t: w.when(_is(i, t[1]), values[t[0]]), others, F.when(F.lit(False), "")).otherwise(values[last[0]])
 
-        return _mark(_at("tok_from", i), _at("tok_to", i), chosen({r: r for r, _ in tests}), "info", chosen(MESSAGES), _at("lower", i), 1)
+        return _mark(_at("near_from", i), _at("near_to", i), chosen({r: r for r, _ in tests}), "info", chosen(MESSAGES), _at("near_lower", i), 1)
 
     wanted = reduce(lambda a, b: a | b, [kind for _, kind in tests])
-    return F.transform(F.filter(positions(F.col("kind")), lambda i: _is(i, wanted)), mark)
+    return F.transform(F.filter(positions(F.col("near_kind")), lambda i: _is(i, wanted)), mark)
 
 
 def doubled_marks() -> Column:
     """A word repeated in its sentence with only white space of the original text between."""
 
     def again(i: Column) -> Column:
-        return _follows(i, PLAIN) & (_at("lower", i) == _at("lower", i - 1))
+        return _follows(i, PLAIN) & (_at("near_lower", i) == _at("near_lower", i - 1))
 
     def mark(i: Column) -> Column:
-        return _mark(_at("tok_from", i - 1), _at("tok_to", i), "doubled", "warn", MESSAGES["doubled"], _at("lower", i), 1)
+        return _mark(_at("near_from", i - 1), _at("near_to", i), "doubled", "warn", MESSAGES["doubled"], _at("near_lower", i), 1)
 
-    return F.transform(F.filter(positions(F.col("gap"), 1), again), mark)
+    return F.transform(F.filter(positions(F.col("near_gap"), 1), again), mark)
 
 
 def _greedy(items: Column, kind: str) -> Column:
@@ -134,7 +134,7 @@ def with_passive(scanned: DataFrame) -> DataFrame:
 
         return reach(1)
 
-    heads = F.filter(positions(F.col("kind")), lambda i: _is(i, Kind.AUXILIARY))
+    heads = F.filter(positions(F.col("near_kind")), lambda i: _is(i, Kind.AUXILIARY))
     found = F.filter(F.transform(heads, lambda i: F.struct(i.alias("first"), last(i).alias("last"))), lambda x: x["last"].isNotNull())
     return scanned.withColumn("_passive", found)
 
@@ -147,9 +147,9 @@ def passive_marks() -> Column:
 
     def mark(x: Column) -> Column:
         i = x["first"]
-        modal = (_at("gap", i).bitwiseAND(F.lit(FIRST)) == 0) & _is(i - 1, Kind.MODAL)
+        modal = (_at("near_gap", i).bitwiseAND(F.lit(FIRST)) == 0) & _is(i - 1, Kind.MODAL)
         message = F.when(modal, MESSAGES["passive modal"]).otherwise(MESSAGES["passive"])
-        return _mark(_at("tok_from", i), _at("tok_to", x["last"]), "passive", F.when(modal, "info").otherwise("warn"), message, None, 2)
+        return _mark(_at("near_from", i), _at("near_to", x["last"]), "passive", F.when(modal, "info").otherwise("warn"), message, None, 2)
 
     return F.transform(kept, mark)
 

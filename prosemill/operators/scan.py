@@ -1,12 +1,13 @@
 """One pass of Arrow batches over texts: what is prose, where sentences and words are, and which listed phrases begin where.
 
-A document stays one row. All places are code points of the original text, found as running sums of lengths; each distinct
-word and each distinct gap between words is judged once. Rules are Spark expressions over the arrays that come out.
+A document stays one row. All places are code points of the original text. Words are found in all texts of a piece of a batch
+at once (``tokens``). Rules are Spark expressions over the arrays that come out; they read only the words that a rule can look at.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from prosemill.operators.mask import HOLE, STRIP, WS, solid_text
 from prosemill.operators.segment import sentence_ends
+from prosemill.operators.tokens import Tokens
 from prosemill.operators.words import Kind, Memo, kinds, syllables
 
 #: Bits of the gap before a word: no word before it in its sentence; only white space of the original text; that and at most
@@ -29,7 +31,6 @@ BATCH_BYTES = 1 << 20
 # The word pattern, lines that always stand alone, where a plain sentence ends, and reframing constructions.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORD = re.compile(f"[{LETTERS}]+(?:['’-][{LETTERS}]+)*")
-WORD_PARTS = re.compile(f"({WORD.pattern})")
 STANDALONE = re.compile(rf"[{WS}]{{0,6}}(?:[-*+][{WS}]|[0-9]{{1,9}}[.)][{WS}]|>|#{{1,6}}[{WS}]|\||\[[ xX]\][{WS}])")
 PLAIN_END = re.compile(rf"(?<=[.!?])(?=[{WS}])")
 NEAR = re.compile(r"[ \t\n\r]{0,8}\Z")
@@ -43,7 +44,8 @@ REFRAMES = tuple(
         f"{_NOT_JUST}[,:—–.]{_S}{{0,4}}(?:it['’]s|it{_S}{{1,3}}is|they['’]re|that['’]s|this{_S}{{1,3}}is){_E}",
     )
 )
-NEGATION = re.compile("not|isn['’]t|aren['’]t", re.IGNORECASE | re.ASCII)
+NEGATIONS = ("not", "isn't", "isn’t", "aren't", "aren’t")
+SUBJECTS = ("it's", "it’s", "that's", "that’s", "this's", "this’s")
 
 _INTS, _STRINGS = pa.list_(pa.int32()), pa.list_(pa.string())
 _PHRASE = pa.struct([("from", pa.int32()), ("to", pa.int32()), ("rule", pa.string()), ("severity", pa.string()), ("word", pa.string()), ("folded", pa.bool_())])
@@ -53,10 +55,11 @@ _TERM = pa.struct(
     [("kind", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("offsets", _INTS), ("proper", pa.bool_()), ("doubles", pa.bool_())]
 )
 #: What a scan can give for each document. ``solid`` is the text with a mark for each masked character, ``words`` the words of
-#: each sentence, ``kind`` the bits of each word, ``gap`` those of the gap before it.
+#: each sentence, ``kind`` the bits of each word, ``gap`` those of the gap before it. ``near_`` are those of the words that rules look at.
 FIELDS = {
     "solid": pa.string(), "sent_from": _INTS, "sent_to": _INTS, "sent_text": _STRINGS, "words": _INTS, "syllables": _INTS, "spoken": _INTS, "sent_first": _INTS, "tok_from": _INTS,
-    "tok_to": _INTS, "token": _STRINGS, "lower": _STRINGS, "kind": _INTS, "gap": _INTS, "dashes": pa.list_(_DASH), "phrases": pa.list_(_PHRASE), "reframes": pa.list_(_SPAN), "terms": pa.list_(_TERM),
+    "tok_to": _INTS, "token": _STRINGS, "lower": _STRINGS, "kind": _INTS, "gap": _INTS,
+    "near_from": _INTS, "near_to": _INTS, "near_lower": _STRINGS, "near_kind": _INTS, "near_gap": _INTS, "dashes": pa.list_(_DASH), "phrases": pa.list_(_PHRASE), "reframes": pa.list_(_SPAN), "terms": pa.list_(_TERM),
 }
 
 
@@ -86,31 +89,37 @@ class Trie:
                 node = node.setdefault(word.translate(self.APOSTROPHES) if p.folded else word, {})
             node.setdefault("", p)
 
-    def matches(self, lowers: list[str], gaps: list[int]) -> list[tuple[int, int, Phrase]]:
-        """(first word, last word, phrase): from left to right the longest phrase at each place after the one before, for each trie."""
+    def matches(self, tokens: Tokens, gaps: np.ndarray) -> list[tuple[int, int, Phrase]]:
+        """(first word, last word, phrase): from left to right the longest phrase at each place after the one before, for each trie.
+
+        Only words that begin some phrase are looked at; no phrase passes the end of a text.
+        """
         found = []
+        codes, distinct = tokens.codes, tokens.distinct
         for folded, root in enumerate(self.roots):
             if not root:
                 continue
-            words = lowers
+            words = distinct
             near = TIGHT if folded else CLOSE
             if folded:
-                words = [w.translate(self.APOSTROPHES) if "’" in w or "‘" in w or "‛" in w else w for w in lowers]
-            end = -1
-            for i in [i for i, w in enumerate(words) if w in root]:
-                if i <= end:
+                words = [w.translate(self.APOSTROPHES) if "’" in w else w for w in distinct]
+            begins = np.fromiter(map(root.__contains__, words), bool, len(words))
+            last = -1
+            places = np.flatnonzero(begins[codes])
+            for i, limit in zip(places.tolist(), tokens.offsets[tokens.doc[places] + 1].tolist()):
+                if i <= last:
                     continue
-                node, j, best = root[words[i]], i, None
+                node, j, best = root[words[codes[i]]], i, None
                 while True:
                     if "" in node:
                         best = (i, j, node[""])
                     j += 1
-                    if j >= len(words) or not gaps[j] & near or words[j] not in node:
+                    if j >= limit or words[codes[j]] not in node or not gaps[j] & near:
                         break
-                    node = node[words[j]]
+                    node = node[words[codes[j]]]
                 if best:
                     found.append(best)
-                    end = best[1]
+                    last = best[1]
         return found
 
 
@@ -161,14 +170,15 @@ def sentence_spans(masked: str, blocks: list[tuple[int, int]], unicode: bool) ->
     return froms, tos
 
 
-def reframe_spans(masked: str) -> list[tuple[int, int]]:
-    """Reframing constructions, overlaps removed from left to right, longest first."""
-    if not NEGATION.search(masked):
-        return []
+def reframe_spans(masked: str, begins: Iterable[int]) -> list[tuple[int, int]]:
+    """Reframing constructions that begin at some of these places, overlaps removed from left to right, longest first."""
     longest: dict[int, int] = {}
     for pattern in REFRAMES:
-        for m in pattern.finditer(masked):
-            longest[m.start()] = max(m.end(), longest.get(m.start(), 0))
+        end = 0
+        for a in sorted(begins):
+            if a >= end and (m := pattern.match(masked, a)):
+                end = m.end()
+                longest[a] = max(end, longest.get(a, 0))
     kept, end = [], 0
     for a in sorted(longest):
         if a >= end:
@@ -177,43 +187,102 @@ def reframe_spans(masked: str) -> list[tuple[int, int]]:
     return kept
 
 
-def repeated_terms(tokens: list[str], lowers: list[str], stops: list[int], froms: list[int], sents: list[int], window: int, least: int, shortest: int) -> list[dict]:
-    """Words and pairs of words that some ``window`` sentences hold ``least`` times, with all their places.
+def reframed(tokens: Tokens, masks: list[str]) -> list[list[dict]]:
+    """The reframing constructions of each text: they begin with a negation before "only" or "just", or with the word before that."""
+    distinct, codes, doc = tokens.distinct, tokens.codes, tokens.doc
+    only = np.fromiter((w.startswith(("only", "just")) for w in distinct), bool, len(distinct))
+    begins: dict[int, set[int]] = {}
+    for i in np.flatnonzero(only[codes]).tolist():
+        for k, ends in ((i - 1, NEGATIONS), (i - 2, SUBJECTS)):
+            own = [end for end in ends if k >= 0 and doc[k] == doc[i] and distinct[codes[k]].endswith(end)]
+            if not own:
+                break
+            begins.setdefault(int(doc[i]), set()).update(int(tokens.high[k] - tokens.base[doc[i]]) - len(end) for end in own)
+    out: list[list[dict]] = [[] for _ in masks]
+    for d, places in begins.items():
+        out[d] = [{"from": a, "to": b} for a, b in reframe_spans(masks[d], places)]
+    return out
 
-    ``proper`` tells whether a word of the term is always capitalised inside sentences, ``doubles`` whether a pair has exactly
-    the places of a repeated word. Places are in order, so a term qualifies if a place and the one ``least`` - 1 later are near:
-    one pass with two pointers for each term.
+
+def _places_of(keys: np.ndarray, places: np.ndarray, sents: np.ndarray, window: int, least: int) -> dict[int, list[int]]:
+    """The places of each key that some ``window`` sentences hold ``least`` times.
+
+    Places of a key are in order, so it qualifies if a place and the one ``least`` - 1 later are near.
     """
-    places: dict[str | tuple[str, str], list[int]] = {}
-    before = None
-    for i, lower in enumerate(lowers):
-        if not stops[i] and len(lower) >= shortest:
-            places.setdefault(lower, []).append(i)
-        if before is not None and sents[i] == sents[i - 1] and not (stops[i] and stops[i - 1]):
-            places.setdefault((before, lower), []).append(i - 1)
-        before = lower
-    heard = {
-        term: own for term, own in places.items() if len(own) >= least and any(sents[b] - sents[a] < window for a, b in zip(own, own[least - 1 :]))
+    order = np.argsort(keys, kind="stable")
+    keys, places = keys[order], places[order]
+    n = max(0, len(keys) - least + 1)
+    later = slice(least - 1, least - 1 + n)
+    near = (keys[:n] == keys[later]) & (sents[places[later]] - sents[places[:n]] < window)
+    heard = np.unique(keys[:n][near])
+    return {
+        key: places[a:b].tolist() for key, a, b in zip(heard.tolist(), np.searchsorted(keys, heard, "left"), np.searchsorted(keys, heard, "right"))
     }
-    if not heard:
-        return []
-    parts = set(chain.from_iterable((t,) if isinstance(t, str) else t for t in heard))
-    common, capital = set(), set()
-    for i, lower in enumerate(lowers):
-        if lower in parts and i and sents[i] == sents[i - 1]:
-            (capital if tokens[i][0] != lower[0] else common).add(lower)
-    proper = capital - common
-    out = []
-    for term, own in heard.items():
-        single = isinstance(term, str)
-        doubles = not single and (heard.get(term[0]) == own or heard.get(term[1]) == [i + 1 for i in own])
-        out.append(
-            {"kind": "word" if single else "phrase", "term": term if single else " ".join(term), "count": len(own), "offsets": [froms[i] for i in own],
-             "proper": term in proper if single else not proper.isdisjoint(term), "doubles": doubles}
-        )
+
+
+def repeated_terms(tokens: Tokens, stops: np.ndarray, sents: np.ndarray, window: int, least: int, shortest: int) -> list[list[dict]]:
+    """For each text, words and pairs of words that some ``window`` sentences hold ``least`` times, with all their places.
+
+    ``proper`` tells whether a word of the term is always capitalised inside sentences, ``doubles`` whether a pair has exactly
+    the places of a repeated word. ``sents`` number the sentences of all texts.
+    """
+    out: list[list[dict]] = [[] for _ in tokens.base]
+    n, codes, distinct = len(tokens), tokens.codes.astype(np.int64), tokens.distinct
+    size = len(distinct)
+    own = tokens.doc * size + codes
+    single = np.flatnonzero(~stops & (tokens.high - tokens.low >= shortest))
+    words = _places_of(own[single], single, sents, window, least)
+    inner = np.flatnonzero((sents[1:] == sents[:-1]) & (tokens.doc[1:] == tokens.doc[:-1])) + 1
+    second = inner[~(stops[inner] & stops[inner - 1])]
+    pairs = _places_of(own[second - 1] * size + codes[second], second - 1, sents, window, least)
+    if not words and not pairs:
+        return out
+    parts = np.unique(np.array([*words, *(k // size for k in pairs), *(k // size // size * size + k % size for k in pairs)], np.int64))
+    about = inner[np.isin(own[inner], parts)]
+    capital = tokens.capital[about]
+    proper = set(own[about[capital]].tolist()) - set(own[about[~capital]].tolist())
+    low, base = tokens.low, tokens.base
+
+    def add(kind: str, term: str, places: list[int], named: bool, doubles: bool) -> None:
+        doc = tokens.doc[places[0]]
+        out[doc].append({"kind": kind, "term": term, "count": len(places), "offsets": (low[places] - base[doc]).tolist(), "proper": named, "doubles": doubles})
+
+    for key, places in words.items():
+        add("word", distinct[key % size], places, key in proper, False)
+    for key, places in pairs.items():
+        a = key // size
+        b = a // size * size + key % size
+        doubles = words.get(a) == places or words.get(b) == [i + 1 for i in places]
+        add("phrase", f"{distinct[a % size]} {distinct[b % size]}", places, a in proper or b in proper, doubles)
     return out
 
 
+#: How far the passive looks from a form of be or get: one word before it and five after.
+REACH = range(-1, 6)
+
+
+def near_words(tokens: Tokens, kind: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that a rule can look at, and the bits of the gaps before them; one whose neighbour is left out counts as its sentence's first.
+
+    These are words of a list or in -ly, words that repeat the one before, and those around an auxiliary that a participle or an adverb follows.
+    """
+    n = len(tokens)
+    kept = kind & int(Kind.WEASEL | Kind.HEDGE | Kind.LY) != 0
+    alike = (tokens.codes[1:] == tokens.codes[:-1]) & (gap[1:] & (PLAIN | FIRST) == PLAIN) & (tokens.doc[1:] == tokens.doc[:-1])
+    kept[1:] |= alike
+    kept[:-1] |= alike
+    heads = np.flatnonzero((kind[:-1] & int(Kind.AUXILIARY) != 0) & (kind[1:] & int(Kind.PARTICIPLE | Kind.BETWEEN) != 0))
+    for k in REACH:
+        at = heads + k
+        own = (at >= 0) & (at < n)
+        at, head = at[own], heads[own]
+        kept[at[tokens.doc[at] == tokens.doc[head]]] = True
+    places = np.flatnonzero(kept)
+    gaps = gap[places]
+    gaps[1:][np.diff(places) > 1] = FIRST
+    return places, gaps
+
+
 @dataclass(frozen=True)
 class Scanner:
     """How texts are scanned and which ``FIELDS`` are given. ``echo`` is (window, least count, least length) of repeated terms."""
@@ -225,66 +294,75 @@ class Scanner:
     echo: tuple[int, int, int] = (4, 3, 4)
 
     def scan(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, bits, gaps, spoken = Trie(self.phrases), Memo(kinds), Memo(gap_bits), Memo(syllables)
-        wanted = set(self.fields)
-        needs_words = wanted - {"solid", "sent_from", "sent_to", "sent_text", "dashes", "reframes"}
-        needs_sentences = wanted - {"solid", "reframes", "token", "lower", "kind", "tok_from", "tok_to", "phrases"}
+        trie, memos = Trie(self.phrases), (Memo(kinds), Memo(gap_bits), Memo(syllables))
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            out: dict[str, list] = {c: [] for c in self.fields}
-            for text in texts:
-                found = self._document(text or "", trie, bits, gaps, spoken, wanted, needs_words, needs_sentences)
-                for c in self.fields:
-                    out[c].append(found[c])
-            columns = [_lists(out[c], FIELDS[c]) for c in self.fields]
-            yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *self.fields])
-
-    def _document(self, text: str, trie: Trie, bits: Memo, gap_of: Memo, spoken: Memo, wanted: set, needs_words: set, needs_sentences: set) -> dict:
-        found: dict = {}
-        found["solid"] = solid = solid_text(text) if self.markdown else text
-        masked = solid.replace(HOLE, " ")
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            found = self._found(texts, trie, *memos)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[found[c] for c in self.fields]], ["doc_id", *self.fields])
+
+    def _found(self, texts: list[str], trie: Trie, bits: Memo, gap_of: Memo, spoken_of: Memo) -> dict[str, pa.Array]:
+        """The fields of some texts as columns. Places are first those in all texts laid end to end."""
+        wanted = set(self.fields)
+        needs_words = wanted - {"solid", "sent_from", "sent_to", "sent_text", "dashes"}
+        needs_sentences = wanted - {"solid", "reframes", "token", "lower", "kind", "tok_from", "tok_to", "phrases", "near_from", "near_to", "near_lower", "near_kind"}
+        found: dict[str, pa.Array] = {}
+        solids = [solid_text(text) for text in texts] if self.markdown else texts
+        masks = [solid.replace(HOLE, " ") for solid in solids]
+        found["solid"] = solids
         if needs_sentences:
-            froms, tos = sentence_spans(masked, block_spans(text, masked), self.unicode)
-            found |= {"sent_from": froms, "sent_to": tos}
+            spans = [sentence_spans(masked, block_spans(text, masked), self.unicode) for text, masked in zip(texts, masks)]
+            of_sentences = np.cumsum([0, *(len(froms) for froms, _ in spans)])
+            froms, tos = (np.fromiter(chain.from_iterable(x[side] for x in spans), np.int64, of_sentences[-1]) for side in (0, 1))
+            found |= {"sent_from": _listed(of_sentences, froms), "sent_to": _listed(of_sentences, tos)}
         if "sent_text" in wanted:
-            found["sent_text"] = [masked[a:b].replace("\n", " ") for a, b in zip(froms, tos)]
+            found["sent_text"] = [[masked[a:b].replace("\n", " ") for a, b in zip(*own)] for masked, own in zip(masks, spans)]
         if "dashes" in wanted:
-            places = [m.start() for m in re.finditer("—", masked)]
-            found["dashes"] = [{"at": at, "sent": int(k) - 1} for at, k in zip(places, np.searchsorted(froms, places, "right"))]
-        if "reframes" in wanted:
-            found["reframes"] = [{"from": a, "to": b} for a, b in reframe_spans(masked)]
-        if not needs_words:
-            return found
-        parts = WORD_PARTS.split(solid)
-        tokens, between = parts[1::2], parts[:-1:2]
-        lowers = "\n".join(tokens).lower().split("\n") if tokens else []
-        n = len(tokens)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, 2 * n + 1)[:-1])
-        found |= {"tok_from": ends[0::2], "tok_to": ends[1::2], "token": tokens, "lower": lowers}
-        gaps = np.fromiter(map(gap_of.__getitem__, between), np.int32, n)
-        if needs_sentences:
-            first = np.searchsorted(ends[0::2], froms)
-            counts = np.searchsorted(ends[0::2], tos) - first
-            gaps[first[counts > 0]] |= FIRST
-            found |= {"words": counts, "sent_first": first}
-        found["gap"] = gaps
-        if "kind" in wanted or "terms" in wanted:
-            found["kind"] = np.fromiter(map(bits.__getitem__, lowers), np.int32, n)
-        if wanted & {"syllables", "spoken"}:
-            found["spoken"] = own = np.fromiter(map(spoken.__getitem__, lowers), np.int32, n)
-            upto = np.concatenate(([0], np.cumsum(own)))
-            found["syllables"] = upto[first + counts] - upto[first]
-        if "phrases" in wanted:
-            hits = trie.matches(lowers, gaps.tolist())
-            low, high = found["tok_from"], found["tok_to"]
-            found["phrases"] = [
-                {"from": int(low[i]), "to": int(high[j]), "rule": p.rule, "severity": p.severity, "word": p.text, "folded": p.folded} for i, j, p in hits
-            ]
-        if "terms" in wanted:
-            sents = np.repeat(np.arange(len(counts)), counts).tolist()
-            stops = (found["kind"] & int(Kind.STOP)).tolist()
-            found["terms"] = repeated_terms(tokens, lowers, stops, ends[0::2].tolist(), sents, *self.echo)
-        return found
+            found["dashes"] = [dash_places(masked, own) for masked, (own, _) in zip(masks, spans)]
+        if needs_words:
+            tokens = Tokens(solids)
+            of_words, base = tokens.offsets, tokens.base[tokens.doc]
+            low, high = tokens.low - base, tokens.high - base
+            found |= {"tok_from": _listed(of_words, low), "tok_to": _listed(of_words, high)}
+            gap = tokens.gaps(gap_of)
+            if needs_sentences:
+                at = np.repeat(tokens.base, np.diff(of_sentences))
+                first = np.searchsorted(tokens.low, froms + at)
+                counts = np.searchsorted(tokens.low, tos + at) - first
+                gap[first[counts > 0]] |= FIRST
+                own_first = first - np.repeat(of_words[:-1], np.diff(of_sentences))
+                found |= {"words": _listed(of_sentences, counts), "sent_first": _listed(of_sentences, own_first)}
+            found["gap"] = _listed(of_words, gap)
+            if "token" in wanted:
+                found["token"] = _listed(of_words, tokens.written())
+            if "lower" in wanted:
+                found["lower"] = _listed(of_words, tokens.lower())
+            if wanted & {"kind", "terms", "near_from", "near_to", "near_lower", "near_kind", "near_gap"}:
+                kind = tokens.kinds(bits)
+                found["kind"] = _listed(of_words, kind)
+            if wanted & {"near_from", "near_to", "near_lower", "near_kind", "near_gap"}:
+                places, gaps = near_words(tokens, kind, gap)
+                of_near = np.searchsorted(places, of_words)
+                near = {"from": low[places], "to": high[places], "kind": kind[places], "gap": gaps}
+                found |= {f"near_{c}": _listed(of_near, x) for c, x in near.items()}
+                found["near_lower"] = _listed(of_near, pa.array([tokens.distinct[c] for c in tokens.codes[places]], pa.string()))
+            if wanted & {"syllables", "spoken"}:
+                spoken = tokens.judged(spoken_of)
+                found["spoken"] = _listed(of_words, spoken)
+                if needs_sentences:
+                    upto = np.concatenate(([0], np.cumsum(spoken)))
+                    found["syllables"] = _listed(of_sentences, upto[first + counts] - upto[first])
+            if "reframes" in wanted:
+                found["reframes"] = reframed(tokens, masks)
+            if "phrases" in wanted:
+                hits = sorted(trie.matches(tokens, gap), key=lambda hit: tokens.doc[hit[0]])
+                begin, end = (np.array([hit[k] for hit in hits], np.int64) for k in (0, 1))
+                columns = [pa.array(low[begin], pa.int32()), pa.array(high[end], pa.int32())]
+                columns += [pa.array([getattr(p, c) for _, _, p in hits], kind) for c, kind in (("rule", pa.string()), ("severity", pa.string()), ("text", pa.string()), ("folded", pa.bool_()))]
+                found["phrases"] = _listed(np.searchsorted(tokens.doc[begin], np.arange(len(texts) + 1)), pa.StructArray.from_arrays(columns, fields=list(_PHRASE)))
+            if "terms" in wanted:
+                sents = np.repeat(np.arange(len(counts)), counts)
+                found["terms"] = repeated_terms(tokens, kind & int(Kind.STOP) != 0, sents, *self.echo)
+        return {c: found[c] if isinstance(found[c], pa.Array) else pa.array(found[c], FIELDS[c]) for c in self.fields}
 
     def schema(self, docs: DataFrame) -> T.StructType:
         from pyspark.sql.pandas.types import from_arrow_type
@@ -295,17 +373,15 @@ class Scanner:
         return out
 
 
-def _lists(rows: list, kind: pa.DataType) -> pa.Array:
-    """An Arrow column of one value or list for each document; lists of numbers and strings are laid end to end."""
-    if not pa.types.is_list(kind) or pa.types.is_struct(kind.value_type):
-        return pa.array(rows, kind)
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)), out=offsets[1:])
-    if pa.types.is_string(kind.value_type):
-        values = pa.array(list(chain.from_iterable(rows)), kind.value_type)
-    else:
-        values = pa.array(np.concatenate([np.empty(0, np.int32), *[np.asarray(r, np.int32) for r in rows]]), kind.value_type)
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
+def _listed(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
+    """Values laid end to end as one list for each text; numbers are of 32 bits."""
+    items = values if isinstance(values, pa.Array) else pa.array(np.ascontiguousarray(values, np.int32))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items)
+
+
+def dash_places(masked: str, froms: list[int]) -> list[dict]:
+    """Em dashes with the number of their sentence."""
+    return [{"at": m.start(), "sent": bisect_right(froms, m.start()) - 1} for m in re.finditer("—", masked)] if "—" in masked else []
 
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

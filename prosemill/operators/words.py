@@ -39,8 +39,8 @@ def base_form(word: str) -> str:
     return word[:cut] if cut > 0 else word
 
 
-_LISTED = frozenset(chain(_STOPS, _WEASELS, _HEDGES, _NOT_ADVERBS, _AUXILIARIES, _MODALS, _BETWEEN, _IRREGULAR, _NOT_PARTICIPLES, _ADJECTIVES, _NOT_AGENTS, ("by",)))
-_ENDS_LY, _ENDS_ED, _OTHERS = (int(x | Kind.AGENT) for x in (Kind.LY | Kind.BETWEEN, Kind.PARTICIPLE, Kind(0)))
+LISTED = frozenset(chain(_STOPS, _WEASELS, _HEDGES, _NOT_ADVERBS, _AUXILIARIES, _MODALS, _BETWEEN, _IRREGULAR, _NOT_PARTICIPLES, _ADJECTIVES, _NOT_AGENTS, ("by",)))
+_ENDS_LY, _ENDS_ED, OTHERS = (int(x | Kind.AGENT) for x in (Kind.LY | Kind.BETWEEN, Kind.PARTICIPLE, Kind(0)))
 
 
 def kinds(word: str) -> int:
@@ -48,11 +48,11 @@ def kinds(word: str) -> int:
 
     Of a word that is in no list, and has no apostrophe, only the ending counts.
     """
-    if word in _LISTED or "'" in word or "’" in word or "‘" in word:
+    if word in LISTED or "'" in word or "’" in word or "‘" in word:
         return _listed_kinds(word)
     if len(word) < 4:
-        return _OTHERS
-    return _ENDS_LY if word.endswith("ly") else _ENDS_ED if word.endswith("ed") else _OTHERS
+        return OTHERS
+    return _ENDS_LY if word.endswith("ly") else _ENDS_ED if word.endswith("ed") else OTHERS
 
 
 def _listed_kinds(word: str) -> int:
