@@ -17,6 +17,8 @@ BIN = 64
 def _swept(items: DataFrame, cursors: DataFrame, item: Column, at: str, forward: bool, tie: tuple[str, ...], strict: bool) -> DataFrame:
     """Each (doc_id, cursor) once, with ``hit``: the last item at or before it, or the first after it if ``forward``; null if none.
 
+    ``end`` is the document's last item, or its first one if ``forward``; null if it has none.
+
     Items and cursors of a document are put in one order and run through once, so that 100,000 of either cost a sort and no pairs.
     ``strict`` leaves out items at the cursor itself. Items of one place are told apart by ``tie``.
     """
@@ -27,15 +29,16 @@ def _swept(items: DataFrame, cursors: DataFrame, item: Column, at: str, forward:
     # Backward, a cursor comes after the items at its place unless these do not count; forward all is the other way round.
     order = [F.desc("_at") if forward else F.asc("_at"), F.asc(is_cursor) if not strict else F.desc(is_cursor), F.desc("_tie") if forward else F.asc("_tie")]
     window = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("hit", F.last("_item", ignorenulls=True).over(window)).where(is_cursor).select("doc_id", "cursor", "hit")
+    last = F.last("_item", ignorenulls=True)
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return both.withColumns({"hit": last.over(window), "end": last.over(whole)}).where(is_cursor).select("doc_id", "cursor", "hit", "end")
 
 
 def step_mark(marks: DataFrame, cursors: DataFrame, forward: bool = True) -> DataFrame:
     """For each (doc_id, cursor): the next mark after it, else the first; or the last before it, else the last."""
-    item, order = F.struct("from", "to", "rule", "message"), F.struct("from", "to", "rule")
-    found = _swept(marks, cursors, item, "from", forward, ("to", "rule"), strict=True)
-    ends = marks.groupBy("doc_id").agg((F.min_by if forward else F.max_by)(item, order).alias("wrapped"))
-    return found.join(ends, "doc_id").select("doc_id", "cursor", F.coalesce("hit", "wrapped").alias("x")).select("doc_id", "cursor", "x.*")
+    item = F.struct("from", "to", "rule", "message")
+    found = _swept(marks, cursors, item, "from", forward, ("to", "rule"), strict=True).where("doc_id is not null and end is not null")
+    return found.select("doc_id", "cursor", F.coalesce("hit", "end").alias("x")).select("doc_id", "cursor", "x.*")
 
 
 def nth_of_rule(marks: DataFrame, walks: DataFrame) -> DataFrame:

@@ -90,3 +90,12 @@ def test_long_logs(spark):
         got = {(r["doc_id"], r["offset"]): r["moved"] for r in N.remap(maps, spark.createDataFrame(offsets, "doc_id long, offset long"), side).collect()}
         assert got == {(d, x): fold(x, logs.get(d, []), side) for d, x in offsets}
     maps.unpersist()
+
+
+def test_step_mark_reads_the_marks_once(spark):
+    marks = spark.createDataFrame([(1, 5, 9, "adverb", "m"), (1, 20, 24, "hedge", "m"), (None, 3, 4, "hedge", "m")], "doc_id long, `from` int, `to` int, rule string, message string")
+    cursors = spark.createDataFrame([(1, 0), (1, 5), (1, 20), (1, 30), (2, 7), (None, 1)], "doc_id long, cursor int")
+    for forward, expected in ((True, {0: 5, 5: 20, 20: 5, 30: 5}), (False, {0: 20, 5: 20, 20: 5, 30: 20})):
+        found = N.step_mark(marks, cursors, forward)
+        assert {r["cursor"]: r["from"] for r in found.collect()} == expected
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
