@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from prosemill.operators.mask import HOLE, STRIP, WS, solid_text
-from prosemill.operators.segment import sentence_ends
+from prosemill.operators.sentences import sentences_of
 from prosemill.operators.tokens import Tokens
 from prosemill.operators.words import Kind, Memo, kinds, syllables
 
@@ -28,11 +28,9 @@ from prosemill.operators.words import Kind, Memo, kinds, syllables
 #: eight characters; at most eight blanks of the masked text.
 FIRST, PLAIN, CLOSE, TIGHT = 1, 2, 4, 8
 BATCH_BYTES = 1 << 20
-# The word pattern, lines that always stand alone, where a plain sentence ends, and reframing constructions.
+# The word pattern, and reframing constructions.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORD = re.compile(f"[{LETTERS}]+(?:['’-][{LETTERS}]+)*")
-STANDALONE = re.compile(rf"[{WS}]{{0,6}}(?:[-*+][{WS}]|[0-9]{{1,9}}[.)][{WS}]|>|#{{1,6}}[{WS}]|\||\[[ xX]\][{WS}])")
-PLAIN_END = re.compile(rf"(?<=[.!?])(?=[{WS}])")
 NEAR = re.compile(r"[ \t\n\r]{0,8}\Z")
 _B, _E, _S = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])", f"[{WS}]"
 _NOT_JUST = f"(?:{_B}(?:it|that|this)['’]s{_S}{{1,3}})?{_B}(?:isn['’]t|aren['’]t|not){_S}{{1,3}}just{_E}[^\\n.;]{{1,60}}?"
@@ -89,10 +87,18 @@ class Trie:
                 node = node.setdefault(word.translate(self.APOSTROPHES) if p.folded else word, {})
             node.setdefault("", p)
 
+    def _among(self, listed: Iterable[str], tokens: Tokens, folded: int) -> np.ndarray:
+        """Whether each distinct word is one of these."""
+        found = tokens.among(listed)
+        if folded:
+            for k in tokens.curly.tolist():
+                found[k] = tokens.distinct[k].translate(self.APOSTROPHES) in listed
+        return found
+
     def matches(self, tokens: Tokens, gaps: np.ndarray) -> list[tuple[int, int, Phrase]]:
         """(first word, last word, phrase): from left to right the longest phrase at each place after the one before, for each trie.
 
-        Only words that begin some phrase are looked at; no phrase passes the end of a text.
+        Only words that begin some phrase, and are one or precede the second word of one, are looked at; no phrase passes the end of a text.
         """
         found = []
         codes, distinct = tokens.codes, tokens.distinct
@@ -101,11 +107,17 @@ class Trie:
                 continue
             words = distinct
             near = TIGHT if folded else CLOSE
-            if folded:
-                words = [w.translate(self.APOSTROPHES) if "’" in w else w for w in distinct]
-            begins = np.fromiter(map(root.__contains__, words), bool, len(words))
+            if folded and len(tokens.curly):
+                words = list(distinct)
+                for k in tokens.curly.tolist():
+                    words[k] = distinct[k].translate(self.APOSTROPHES)
+            begins = self._among(root, tokens, folded)
+            single = self._among([w for w, node in root.items() if "" in node], tokens, folded)
+            second = self._among([*chain.from_iterable(root.values())], tokens, folded)
             last = -1
             places = np.flatnonzero(begins[codes])
+            after = np.minimum(places + 1, len(codes) - 1)
+            places = places[single[codes[places]] | (second[codes[after]] & (gaps[after] & near != 0))]
             for i, limit in zip(places.tolist(), tokens.offsets[tokens.doc[places] + 1].tolist()):
                 if i <= last:
                     continue
@@ -128,48 +140,6 @@ def gap_bits(gap: str) -> int:
     return PLAIN * blank + CLOSE * (blank and len(gap) <= 8) + TIGHT * bool(NEAR.match(gap.replace(HOLE, " ")))
 
 
-def block_spans(text: str, masked: str) -> list[tuple[int, int]]:
-    """Runs of lines joined by soft wraps; standalone lines are blocks of their own.
-
-    A block starts at a line that is not blank and stands alone or follows a blank or standalone line; blank is judged on
-    the masked text, standing alone on the original.
-    """
-    if "\n" not in masked:
-        return [(0, len(masked))] if masked.strip(STRIP) else []
-    spans: list[list[int]] = []
-    at, joins = 0, False
-    for raw, line in zip(text.split("\n"), masked.split("\n")):
-        end = at + len(line)
-        if line.strip(STRIP):
-            alone = STANDALONE.match(raw) is not None
-            if joins and not alone:
-                spans[-1][1] = end
-            else:
-                spans.append([at, end])
-            joins = not alone
-        else:
-            joins = False
-        at = end + 1
-    return [(a, b) for a, b in spans]
-
-
-def sentence_spans(masked: str, blocks: list[tuple[int, int]], unicode: bool) -> tuple[list[int], list[int]]:
-    """Sentences of the masked text without white space at their ends; blank ones are left out."""
-    froms, tos = [], []
-    for low, high in blocks:
-        chunk = masked[low:high].replace("\n", " ")
-        ends = sentence_ends(chunk) if unicode else [*(m.start() for m in PLAIN_END.finditer(chunk)), len(chunk)]
-        start = 0
-        for end in ends:
-            piece = chunk[start:end]
-            left = piece.lstrip(STRIP)
-            if left:
-                froms.append(low + end - len(left))
-                tos.append(low + start + len(piece.rstrip(STRIP)))
-            start = end
-    return froms, tos
-
-
 def reframe_spans(masked: str, begins: Iterable[int]) -> list[tuple[int, int]]:
     """Reframing constructions that begin at some of these places, overlaps removed from left to right, longest first."""
     longest: dict[int, int] = {}
@@ -190,7 +160,7 @@ def reframe_spans(masked: str, begins: Iterable[int]) -> list[tuple[int, int]]:
 def reframed(tokens: Tokens, masks: list[str]) -> list[list[dict]]:
     """The reframing constructions of each text: they begin with a negation before "only" or "just", or with the word before that."""
     distinct, codes, doc = tokens.distinct, tokens.codes, tokens.doc
-    only = np.fromiter((w.startswith(("only", "just")) for w in distinct), bool, len(distinct))
+    only = tokens.beginning("only") | tokens.beginning("just")
     begins: dict[int, set[int]] = {}
     for i in np.flatnonzero(only[codes]).tolist():
         for k, ends in ((i - 1, NEGATIONS), (i - 2, SUBJECTS)):
@@ -309,15 +279,17 @@ class Scanner:
         solids = [solid_text(text) for text in texts] if self.markdown else texts
         masks = [solid.replace(HOLE, " ") for solid in solids]
         found["solid"] = solids
+
+        def own(places: np.ndarray, d: int) -> list[int]:
+            return places[of_sentences[d] : of_sentences[d + 1]].tolist()
+
         if needs_sentences:
-            spans = [sentence_spans(masked, block_spans(text, masked), self.unicode) for text, masked in zip(texts, masks)]
-            of_sentences = np.cumsum([0, *(len(froms) for froms, _ in spans)])
-            froms, tos = (np.fromiter(chain.from_iterable(x[side] for x in spans), np.int64, of_sentences[-1]) for side in (0, 1))
+            of_sentences, froms, tos = sentences_of(texts, masks, self.unicode)
             found |= {"sent_from": _listed(of_sentences, froms), "sent_to": _listed(of_sentences, tos)}
         if "sent_text" in wanted:
-            found["sent_text"] = [[masked[a:b].replace("\n", " ") for a, b in zip(*own)] for masked, own in zip(masks, spans)]
+            found["sent_text"] = [[masked[a:b].replace("\n", " ") for a, b in zip(own(froms, d), own(tos, d))] for d, masked in enumerate(masks)]
         if "dashes" in wanted:
-            found["dashes"] = [dash_places(masked, own) for masked, (own, _) in zip(masks, spans)]
+            found["dashes"] = [dash_places(masked, own(froms, d)) if "—" in masked else [] for d, masked in enumerate(masks)]
         if needs_words:
             tokens = Tokens(solids)
             of_words, base = tokens.offsets, tokens.base[tokens.doc]
@@ -381,7 +353,7 @@ def _listed(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
 
 def dash_places(masked: str, froms: list[int]) -> list[dict]:
     """Em dashes with the number of their sentence."""
-    return [{"at": m.start(), "sent": bisect_right(froms, m.start()) - 1} for m in re.finditer("—", masked)] if "—" in masked else []
+    return [{"at": m.start(), "sent": bisect_right(froms, m.start()) - 1} for m in re.finditer("—", masked)]
 
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

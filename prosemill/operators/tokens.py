@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import cached_property, reduce
 
 import numpy as np
@@ -97,6 +98,19 @@ class Tokens:
         words = self._coded[1]
         return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().split("\n") if len(words) else []
 
+    def among(self, listed: Iterable[str]) -> np.ndarray:
+        """Whether each distinct word is one of these."""
+        return np.array(pc.is_in(self._coded[1], value_set=pa.array(sorted(listed), pa.string())), bool)
+
+    def beginning(self, letters: str) -> np.ndarray:
+        """Whether each distinct word begins so."""
+        return np.array(pc.starts_with(self._coded[1], letters), bool)
+
+    @cached_property
+    def curly(self) -> np.ndarray:
+        """The distinct words with a typographic apostrophe."""
+        return np.flatnonzero(np.array(pc.match_substring(self._coded[1], "’"), bool))
+
     def lower(self) -> pa.Array:
         return self._coded[1].take(pa.array(self.codes))
 
