@@ -7,36 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 256
+CHUNK = 32
 
 
 def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
     """``out(state, item)`` of every item, where ``step`` moves the state on; ``kind`` is the result's type.
 
-    An array that grows item by item is copied each time, so long arrays are folded in chunks first and each chunk is
-    run from its own state. ``items`` is read several times: it should be a column or a lambda's variable.
+    What has been found so far is copied with each item, so long arrays are folded in chunks first and each chunk is run from
+    its own state; what ``out`` gives should be small. ``items`` is read several times: it should be a column or a lambda's variable.
     """
 
-    def run(part: Column, state: Column) -> Column:
+    def item(k: Column) -> Column:
+        return F.get(items, k)
+
+    def run(places: Column, state: Column) -> Column:
         start = F.struct(state.alias("state"), F.array().cast(kind).alias("outs"))
 
-        def merge(a: Column, x: Column) -> Column:
-            return F.struct(step(a["state"], x).alias("state"), F.concat(a["outs"], F.array(out(a["state"], x)).cast(kind)).alias("outs"))
+        def merge(a: Column, k: Column) -> Column:
+            return F.struct(step(a["state"], item(k)).alias("state"), F.concat(a["outs"], F.array(out(a["state"], item(k))).cast(kind)).alias("outs"))
 
-        return F.aggregate(part, start, merge, lambda a: a["outs"])
+        return F.aggregate(places, start, merge, lambda a: a["outs"])
 
     def chunk(i: Column) -> Column:
-        return F.slice(items, i * CHUNK + 1, F.lit(CHUNK))
+        return F.sequence(i * CHUNK, F.least((i + 1) * CHUNK, F.size(items)) - 1)
 
     numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
     first = F.struct(zero.alias("state"), F.slice(F.array(zero), 1, 0).alias("starts"))
     starts = F.aggregate(
         numbers,
         first,
-        lambda a, i: F.struct(F.aggregate(chunk(i), a["state"], step).alias("state"), F.concat(a["starts"], F.array(a["state"])).alias("starts")),
+        lambda a, i: F.struct(F.aggregate(chunk(i), a["state"], lambda state, k: step(state, item(k))).alias("state"), F.concat(a["starts"], F.array(a["state"])).alias("starts")),
         lambda a: a["starts"],
     )
-    return F.when(F.size(items) <= CHUNK, run(items, zero)).otherwise(F.flatten(F.zip_with(numbers, starts, lambda i, state: run(chunk(i), state))))
+    return F.when(F.size(items) <= CHUNK, run(positions(items), zero)).otherwise(F.flatten(F.zip_with(numbers, starts, lambda i, state: run(chunk(i), state))))
 
 
 def positions(items: Column, first: int = 0) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.functions.arrays import running
+from prosemill.functions.arrays import positions, running
 
 # Precedence of marks on the same span.
 RANKS = {"doubled": 70, "deslop": 60, "cliche": 50, "passive": 40, "hedge": 30, "weasel": 25, "adverb": 10}
@@ -48,7 +48,10 @@ def without_ignored(marks: Column, words: list[str]) -> Column:
 
 
 def with_resolved(rows: DataFrame, name: str = "marks") -> DataFrame:
-    """``resolve_containment`` within each row, on its array of marks: sorted, then run through once with the reach so far."""
+    """``resolve_containment`` within each row, on its array of marks: sorted, then run through once with the reach so far.
+
+    Where each mark reaches beyond the one before it, none is inside another. Only reaches are run through, not the marks.
+    """
 
     def keyed(m: Column) -> Column:
         layered = ~m["rule"].isin("longSentence", "doubled")
@@ -58,13 +61,15 @@ def with_resolved(rows: DataFrame, name: str = "marks") -> DataFrame:
     def step(reach: Column, x: Column) -> Column:
         return F.when(x["layered"], F.greatest(reach, -x["end"])).otherwise(reach)
 
-    def kept(reach: Column, x: Column) -> Column:
+    def kept(x: Column, reach: Column) -> Column:
         return F.when(~x["layered"] | (-x["end"] > reach), x["mark"])
 
-    kind = rows.schema[name].dataType.simpleString()
     ordered = rows.withColumn("_ordered", F.sort_array(F.transform(name, keyed)))
-    found = running(F.col("_ordered"), F.lit(-1), step, kept, kind)
-    return ordered.withColumn(name, F.when(F.size("_ordered") > 1, F.filter(found, lambda m: m.isNotNull())).otherwise(F.col(name))).drop("_ordered")
+    ordered = ordered.withColumn("_ends", F.transform(F.filter("_ordered", lambda x: x["layered"]), lambda x: x["end"]))
+    inside = F.exists(positions(F.col("_ends"), 1), lambda k: F.get(F.col("_ends"), k) >= F.get(F.col("_ends"), k - 1))
+    reaches = running(F.col("_ordered"), F.lit(-1), step, lambda reach, x: reach, "array<int>")
+    found = F.filter(F.zip_with("_ordered", reaches, kept), lambda m: m.isNotNull())
+    return ordered.withColumn(name, F.when(inside, found).otherwise(F.transform("_ordered", lambda x: x["mark"]))).drop("_ordered", "_ends")
 
 
 def counts_by_rule(marks: DataFrame) -> DataFrame:

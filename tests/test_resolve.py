@@ -65,3 +65,16 @@ def test_within_rows_equals_pairwise(spark):
     got = with_resolved(df).select("doc_id", F.explode("marks").alias("x")).select("doc_id", "x.*").collect()
     want = set().union(*(pairwise([(c, *m) for m in marks]) for c, marks in cases.items()))
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_only_reaches_are_run_through(spark, monkeypatch):
+    """What is run through a row's marks is copied with each of them, so it holds numbers and no marks; nested marks far apart are told."""
+    from prosemill.operators import resolve
+
+    kinds, running = [], resolve.running
+    monkeypatch.setattr(resolve, "running", lambda *args: kinds.append(args[-1]) or running(*args))
+    marks = [(0, 10_000, "cliche", 0), *((i * 10, i * 10 + 4, "adverb", 1) for i in range(2000)), (15_001, 15_030, "longSentence", 0)]
+    df = spark.createDataFrame([(1, marks), (2, marks[1:]), (3, []), (4, marks[:1])], "doc_id int, marks array<struct<from:int,to:int,rule:string,seq:int>>")
+    got = {r["doc_id"]: [tuple(m) for m in r["marks"]] for r in resolve.with_resolved(df).collect()}
+    assert got == {1: sorted([marks[0], *marks[1001:]]), 2: sorted(marks[1:]), 3: [], 4: marks[:1]}
+    assert kinds == ["array<int>"]
