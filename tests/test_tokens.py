@@ -38,3 +38,19 @@ def test_rules_read_few_words():
     assert near == [[], ["nets", "were", "torn", "by", "rocks", "and", "boats", "slowly", "slowly"], [], []]
     gaps = found.column("near_gap").to_pylist()[1]
     assert gaps[7] == S.FIRST and gaps[8] & (S.FIRST | S.PLAIN) == S.PLAIN
+
+
+def test_phrases_are_looked_for_before_their_second_word():
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    trie = S.Trie([S.Phrase("at the end", "cliche", "info", False), S.Phrase("it’s key", "deslop", "info", True), S.Phrase("delve", "deslop", "info", True)])
+    trie.roots = tuple(Counting(root) for root in trie.roots)
+    tokens = Tokens(["at sea " * 50, "At the end, it’s key. We delve at", "the end; at the. End"])
+    found = trie.matches(tokens, tokens.gaps(W.Memo(S.gap_bits)))
+    assert [(tokens.distinct[tokens.codes[a]], b - a, p.text) for a, b, p in found] == [("at", 2, "at the end"), ("it’s", 1, "it’s key"), ("delve", 0, "delve")]
+    assert Counting.asked <= 5
